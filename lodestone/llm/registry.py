@@ -1,7 +1,7 @@
 """All queries of the subpackage with their SQL, by name."""
 
-from . import mixing, sharding
+from . import mixing, quality, sharding
 
-MODULES = (sharding, mixing)
+MODULES = (sharding, quality, mixing)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
