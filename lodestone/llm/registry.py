@@ -1,7 +1,7 @@
 """All queries of the subpackage with their SQL, by name."""
 
-from . import mixing, quality, sharding
+from . import decontaminate, mixing, quality, sharding, warc
 
-MODULES = (sharding, quality, mixing)
+MODULES = (warc, sharding, quality, mixing, decontaminate)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
