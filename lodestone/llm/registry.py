@@ -1,7 +1,7 @@
 """All queries of the subpackage with their SQL, by name."""
 
-from . import decontaminate, jaccard, mixing, quality, sharding, warc
+from . import decontaminate, jaccard, lattice, mixing, quality, sharding, warc
 
-MODULES = (warc, sharding, quality, jaccard, mixing, decontaminate)
+MODULES = (warc, lattice, sharding, quality, jaccard, mixing, decontaminate)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
