@@ -150,73 +150,94 @@ def normalised(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.regexp_extract("path", r"archive=([^/]+)/", 1).alias("archive"), "content")
 
 
+def members_of(content: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, record) of each gzip member."""
+    at, view = 0, memoryview(content)
+    while at < len(view):
+        stream, fed, record = zlib.decompressobj(31), at, bytearray()
+        while not stream.eof:
+            if fed >= len(view):
+                raise ValueError("an archive ends inside a member")
+            record += stream.decompress(view[fed : fed + 16384])
+            fed = min(fed + 16384, len(view))
+        end = fed - len(stream.unused_data)
+        yield at, end - at, bytes(record)
+        at = end
+        while at < len(view) and view[at] == 0:
+            at += 1
+
+
 def index_of(spark: SparkSession, path: str) -> DataFrame:
     """The sidecar index of the archives below path, a row for each record."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, content in zip(b["archive"], b["content"], strict=True):
-                rows, at, view = [], 0, memoryview(content)
-                while at < len(view):
-                    stream, size = zlib.decompressobj(31), 0
-                    head = stream.decompress(view[at : at + 4096], 4096)
-                    size = 4096
-                    while not stream.eof:
-                        if stream.unconsumed_tail:
-                            stream.decompress(stream.unconsumed_tail, 1 << 20)
-                        elif at + size < len(view):
-                            stream.decompress(view[at + size : at + size + 65536], 1 << 20)
-                            size += 65536
-                        else:
-                            raise ValueError("an archive ends inside a member")
-                    end = min(at + size, len(view)) - len(stream.unused_data)
-                    fields, _ = header_of(head if b"\r\n\r\n" in head else zlib.decompress(view[at:end], 31))
-                    rows.append((name, at, end - at, fields["warc-record-id"], fields["warc-type"], fields.get("warc-target-uri")))
-                    at = end
-                    while at < len(view) and view[at] == 0:
-                        at += 1
+                rows = []
+                for at, size, record in members_of(content):
+                    fields, _ = header_of(record)
+                    rows.append((name, at, size, fields["warc-record-id"], fields["warc-type"], fields.get("warc-target-uri")))
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in FIELDS.split(", ")])
 
     return normalised(spark, path).mapInPandas(run, FIELDS)
 
 
-def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
-    """The records that index names, each inflated alone by its offset; response payloads are checked against their digests."""
+def _number(urn: str | None) -> int | None:
+    value = (urn or "").strip("<>").rpartition(":")[2]
+    return int(value) if value.lstrip("-").isdigit() else None
+
+
+def parse(record: bytes) -> tuple:
+    """The fields of RECORD; a response's payload is checked against its digest."""
+    fields, at = header_of(record)
+    block = record[at : at + int(fields["content-length"])]
+    kind, digest, size = fields["warc-type"], fields["warc-payload-digest"].partition(":")[2], int(fields["payload-bytes"])
+    if kind == "response":
+        payload = block[block.index(b"\r\n\r\n") + 4 :]
+        size, found = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        if found != digest:
+            raise ValueError(f"{fields['warc-record-id']}: the payload doesn't match its digest")
+    return _number(fields["warc-record-id"]), size, digest, kind, _number(fields.get("warc-refers-to")), fields.get("warc-target-uri")
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
+
 
-    def number(urn: str | None) -> int | None:
-        value = (urn or "").strip("<>").rpartition(":")[2]
-        return int(value) if value.lstrip("-").isdigit() else None
+def read_all(spark: SparkSession, path: str) -> DataFrame:
+    """All records with the archive, offset and length of their members."""
+    schema = f"archive string, offset long, length long, {RECORD}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, content in zip(b["archive"], b["content"], strict=True):
+                yield _frame([(name, at, size, *parse(record)) for at, size, record in members_of(content)], schema)
+
+    return normalised(spark, path).mapInPandas(run, schema)
+
+
+def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
+    """Only the records that index names, each inflated alone by its offset."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for content, spans in zip(b["content"], b["spans"], strict=True):
-                rows, view = [], memoryview(content)
-                for span in spans:
-                    record = zlib.decompress(view[span["offset"] : span["offset"] + span["length"]], 31)
-                    fields, at = header_of(record)
-                    block = record[at : at + int(fields["content-length"])]
-                    kind, digest, size = fields["warc-type"], fields["warc-payload-digest"].partition(":")[2], int(fields["payload-bytes"])
-                    if kind == "response":
-                        payload = block[block.index(b"\r\n\r\n") + 4 :]
-                        size, found = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                        if found != digest:
-                            raise ValueError(f"{fields['warc-record-id']}: the payload doesn't match its digest")
-                    rows.append((number(fields["warc-record-id"]), size, digest, kind, number(fields.get("warc-refers-to")), fields.get("warc-target-uri")))
-                out = pd.DataFrame(rows, columns=[x.split()[0] for x in RECORD.split(", ")])
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+                view = memoryview(content)
+                yield _frame([parse(zlib.decompress(view[s["offset"] : s["offset"] + s["length"]], 31)) for s in spans], RECORD)
 
     spans = index.groupBy("archive").agg(F.collect_list(F.struct("offset", "length")).alias("spans"))
     return normalised(spark, path).join(spans, "archive").select("content", "spans").mapInPandas(run, RECORD)
 
 
 def op1_warc_normaliser(spark, sf_dir: str) -> DataFrame:
-    """Writes monolithic archives of all pages, normalises and indexes them, and reads every record back by its offset."""
+    """Writes monolithic archives of all pages, normalises and indexes them, and reads back every record that the index has."""
     home = shared_path(spark, "warc")
     write_monolithic(records_of(table(spark, sf_dir, "pages")), f"{home}/monolithic")
     normalise(spark, f"{home}/monolithic", f"{home}/members")
     index_of(spark, f"{home}/members").write.parquet(f"{home}/index")
     index = spark.read.schema(FIELDS).parquet(f"{home}/index")
-    return read_records(spark, f"{home}/members", index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = read_all(spark, f"{home}/members").join(index.select("archive", "offset", "length"), ["archive", "offset", "length"])
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES = {"op1_warc_normaliser": op1_warc_normaliser}
