@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 part = part.assign(sig=[signature(s).tobytes() for s in sets], shingles=[s.tobytes() for s in sets])[right]
                 yield part.drop(columns=["text", "key"])
 
-    full = docs.join(placed, "doc_id").mapInPandas(payload, "doc_id long, comp long, size long, n_docs long, sig binary, shingles binary")
+    full = docs.join(placed.hint("merge"), "doc_id").mapInPandas(payload, "doc_id long, comp long, size long, n_docs long, sig binary, shingles binary")
     full = full.withColumnRenamed("doc_id", "class_id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     full = full.withColumn("whole", F.col("blocks") == 1).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.expr("CASE WHEN whole THEN array(0) ELSE sequence(0, blocks - 1) END"))
