@@ -1,7 +1,7 @@
 """All queries of the subpackage with their SQL, by name."""
 
-from . import decontaminate, extract, jaccard, lattice, mixing, quality, sharding, templates, warc
+from . import decontaminate, extract, jaccard, lattice, mixing, quality, sharding, substrings, templates, warc
 
-MODULES = (warc, lattice, templates, sharding, quality, jaccard, extract, mixing, decontaminate)
+MODULES = (warc, lattice, templates, sharding, quality, substrings, jaccard, extract, mixing, decontaminate)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
