@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, table
 
-K1, B, BLOCK, SHARE, OVERLAP, GRAM, MIN_ITEM_WORDS, SHARD_BYTES = 1.2, 0.75, 16, 0.6, 0.6, 3, 5, 1 << 20
+K1, B, BLOCK, SHARE, OVERLAP, GRAM, MIN_ITEM_WORDS, SHARD_BYTES = 1.2, 0.75, 4, 0.6, 0.6, 3, 5, 1 << 18
 _word = re.compile(r"\w+")
 _sentence = re.compile(r"(?<=[.!?])\s+")
 
