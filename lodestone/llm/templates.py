@@ -35,6 +35,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """text_key, pos, line (masked, single blanks), n, leaf of lines that have a word."""
     split = docs.filter("text IS NOT NULL").select(_digest("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     masked = F.regexp_replace("raw", rf"(?<![^{BLANK}])[^{BLANK}0-9]*+[0-9][^{BLANK}]*", "<*>")
+    masked = F.when(F.col("raw").rlike("[0-9]"), masked).otherwise(F.col("raw"))
     line = F.trim(F.regexp_replace(masked, rf"[{BLANK}]+", " "))
     out = split.select("text_key", "pos", line.alias("line")).filter("line <> ''")
     out = out.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
