@@ -28,18 +28,23 @@ BLANK = r"\x20\x09-\x0D"
 
 
 def _digest(*cols) -> F.Column:
-    return F.unhex(F.md5(F.concat_ws("\n", *cols).cast("binary")))
+    """128 bits, never null: two 64-bit hashes with different seeds."""
+    return F.struct(F.xxhash64(F.lit(1), *cols).alias("a"), F.xxhash64(F.lit(2), *cols).alias("b"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """text_key, pos, line (masked, single blanks), n, leaf of lines that have a word."""
-    split = docs.filter("text IS NOT NULL").select(_digest("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    # Digest and split come below the generator, or the whole text would be hashed once a line; the
+    # outer form as split is never empty, and the plain one would split a second time to test that.
+    parts = docs.filter("text IS NOT NULL").select(_digest("text").alias("text_key"), F.split("text", "\n").alias("parts"))
+    raw = parts.select("text_key", F.posexplode_outer("parts").alias("pos", "raw")).filter(F.col("raw").rlike(rf"[^{BLANK}]"))
     masked = F.regexp_replace("raw", rf"(?<![^{BLANK}])[^{BLANK}0-9]*+[0-9][^{BLANK}]*", "<*>")
     masked = F.when(F.col("raw").rlike("[0-9]"), masked).otherwise(F.col("raw"))
-    line = F.trim(F.regexp_replace(masked, rf"[{BLANK}]+", " "))
-    out = split.select("text_key", "pos", line.alias("line")).filter("line <> ''")
+    uneven = F.col("raw").rlike(rf"[{BLANK}]{{2}}|[\x09-\x0D]")
+    line = F.trim(F.when(uneven, F.regexp_replace(masked, rf"[{BLANK}]+", " ")).otherwise(masked))
+    out = raw.select("text_key", "pos", line.alias("line"))
     out = out.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
-    return out.withColumn("leaf", _digest(F.col("n").cast("string"), F.substring_index("line", " ", DEPTH)))
+    return out.withColumn("leaf", _digest("n", F.substring_index("line", " ", DEPTH)))
 
 
 def recurring(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
@@ -65,15 +70,16 @@ def drop_recurring(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     if clash := {"kept_text", "n_lines", "n_dropped"} & set(docs.columns):
         raise ValueError(f"columns exist already: {sorted(clash)}")
     dropped = spool(recurring(docs, min_texts), "recurring")
-    lines = lines_of(docs).select("text_key", "pos", _digest("line").alias("line_key")).distinct()
+    lines = lines_of(docs).select("text_key", "pos", _digest("line").alias("line_key"))
     at = lines.join(dropped, "line_key", "left_semi").groupBy("text_key").agg(F.collect_set("pos").alias("_at"))
     out = docs.withColumn("_key", _digest("text")).join(at.withColumnRenamed("text_key", "_key"), "_key", "left")
-    split = F.split("text", "\n")
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_at"), i)), "\n")
+    out = out.withColumn("_parts", F.split("text", "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), "_at")
+    kept = F.array_join(F.transform(left, lambda i: F.col("_parts")[i]), "\n")
     return out.select(
         *[out[c] for c in docs.columns],
         F.when(F.col("_at").isNull(), F.col("text")).otherwise(kept).alias("kept_text"),
-        F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("_parts"), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_at"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
