@@ -272,7 +272,10 @@ def extract(page: str | None, weights: np.ndarray) -> str:
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars."""
-    sample = pages.select("html", F.xxhash64("page_id").alias("h")).orderBy("h").limit(SAMPLE_PAGES)
+    # The hashes alone find the sample's edge, so that tasks don't each send SAMPLE_PAGES whole pages.
+    hashed = pages.select("html", F.xxhash64("page_id").alias("h"))
+    edge = hashed.select("h").orderBy("h").limit(SAMPLE_PAGES).agg(F.max("h")).first()[0]
+    sample = hashed.filter(F.col("h") <= F.lit(edge)).orderBy("h", "html").limit(SAMPLE_PAGES)
     weights = fit(sorted(r[0] or "" for r in sample.select("html").collect()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
