@@ -149,6 +149,15 @@ def test_templates(spark, empty):
     assert templates.drop_recurring(empty).count() == 0
 
 
+def test_templates_keep_other_lines_as_they_are(spark, odd):
+    assert {(r["doc_id"], r["kept_text"]) for r in templates.drop_recurring(odd).collect()} == {(r[0], r[1]) for r in ODD}
+    rows = [(k, f"  alpha\tbeta {k}\n\nown {'y' * k} line\n \t\nalpha beta x{k}  \n") for k in range(10)]
+    got = {r["doc_id"]: r for r in templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k]["kept_text"] == f"\nown {'y' * k} line\n \t\n" and got[k]["n_dropped"] == 2 for k in range(1, 10))
+    long = spark.createDataFrame([(k, "\n".join(["same line here", *(f"row{'q' * j} {k}" for j in range(3000))])) for k in range(10)], "doc_id long, text string")
+    assert {(r["n_lines"], r["n_dropped"], r["kept_text"]) for r in templates.drop_recurring(long).collect()} == {(3001, 3001, "")}
+
+
 def test_decontamination(spark, odd):
     item = "The first question asks about rivers and lakes of the north. The answer names seven of them by length."
     bench = spark.createDataFrame([(1, item), (2, None), (3, "too short")], "item_id long, text string")
@@ -175,6 +184,15 @@ def test_extraction():
     assert extract.extract(None, w) == "" and extract.extract("", w) == ""
 
 
+def test_extraction_of_odd_tables(spark):
+    kind, said = "page_id long, url string, html string", "One long sentence of the article, which ends here."
+    page, n = f"<article><p>{said}</p></article>", len(said)
+    assert extract.extract_text(spark.createDataFrame([], kind)).count() == 0
+    rows = [(1, None, None), (None, "u", ""), (None, "u", page), (2, "v", page), (2, "v", page)]
+    got = [(r["page_id"], r["n_chars"]) for r in extract.extract_text(spark.createDataFrame(rows, kind)).collect()]
+    assert sorted(got, key=str) == sorted([(1, 0), (None, 0), (None, n), (2, n), (2, n)], key=str)
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://c/", None), (4, "http://d/\r\nX: y", "q" * 100_000)]
     home = shared_path(spark, "warc-test")
