@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 word_of = re.compile(WORD)
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,23 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def set_aside(df: DataFrame, known: tuple[str, ...] = DOCUMENT) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns beyond the known ones numbered, so that none clashes with an operator's own; and their names."""
+    names = {f"_own{k}": c for k, c in enumerate(df.columns) if c not in known}
+    return df.withColumnsRenamed({c: k for k, c in names.items()}), names
+
+
+def put_back(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Gives set_aside's columns their names; one that df has itself by now gets _in appended."""
+    have, back = {c.lower() for c in df.columns}, {}
+    for k, c in names.items():
+        while c.lower() in have:
+            c += "_in"
+        have.add(c.lower())
+        back[k] = c
+    return df.withColumnsRenamed(back)
+
+
 def n_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

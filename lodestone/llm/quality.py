@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, spool, table, word_of
+from .common import put_back, set_aside, slices, spool, table, word_of
 
 MIN_WORDS, THRESHOLD, ROUNDS = 50, 0.5, 60
 #: Very common short words of English, French, German and Spanish.
@@ -173,10 +173,14 @@ def judge(stats: DataFrame) -> DataFrame:
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with the columns of docs; each row is judged by its own text, so no join is needed."""
+    """The documents that are kept, with the columns of docs; each row is judged by its own text, so no join is needed.
+
+    Columns of docs that are named like the counts or the verdicts come through as they are.
+    """
     names = [x.split()[0] for x in STATS.split(", ")]
+    docs, own = set_aside(docs)
     scored = spool(add_stats(docs, keep=tuple(docs.columns)), "stats")
-    return judge(scored).filter("kept").drop(*names, "p_good", "base_failed", "kept")
+    return put_back(judge(scored).filter("kept").drop(*names, "p_good", "base_failed", "kept"), own)
 
 
 def op5_weak_supervision(spark, sf_dir: str) -> DataFrame:
