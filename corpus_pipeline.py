@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, jaccard, mixing, quality, sharding
-from lodestone.llm.common import spool, table, words
+from lodestone.llm.common import put_back, set_aside, spool, table, words
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,15 +30,18 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; columns named like the mix's own come through as they are."""
+    docs, own = set_aside(docs)
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
     mixed = mixing.mix(docs, words(F.col("text")), mixing.quality_weight(F.col("text")), keep=rest).filter("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    mixed = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return put_back(mixed, own)
 
 
 def uniform_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents, with shard and slot."""
-    return sharding.hypergeometric_shuffle(docs, 24, ("doc_id", "text"))
+    """The columns of documents, with shard and slot; columns that already have these names become shard_in and slot_in."""
+    docs, own = set_aside(docs)
+    return put_back(sharding.hypergeometric_shuffle(docs, 24, ("doc_id", "text")), own)
 
 
 STAGES = [
