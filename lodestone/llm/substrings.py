@@ -15,8 +15,8 @@ form a context. Contexts are dealt to buckets by anchor, as two hashes and a pla
 A bucket holds about BUCKET_BYTES of text's anchors, and suffixes are sorted in parts of a bucket.
 
 Earlier means a smaller doc_id, or the same document and an earlier start; null ids come last. Rows
-with equal ids count as one document each in any order. Null text: empty, nothing removed.
-Empty table: empty result.
+with equal or null ids count as one document each, in the order of a hash of their texts. Null text:
+empty, nothing removed. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -204,7 +204,7 @@ def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 PLACES = ("<u8", "<u8", "<i8", "<u4", "u1", "u1")
-FOUND = "doc_id long, bucket int, covered binary, wanted binary"
+FOUND = "row long, bucket int, covered binary, wanted binary"
 
 
 def _runs(docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,18 +222,27 @@ def _by_doc(docs: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(docs[i]), slice(i, j)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with row: unique, in the order of ids, then of hashes of the texts; only once stored does it stay the same."""
+    keys = ["no_id", "doc_id", "_hash", "_nth"]
+    x = docs.withColumns({"_hash": F.xxhash64("data"), "_nth": F.monotonically_increasing_id()})
+    return x.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "no_id", "data", F.monotonically_increasing_id().alias("row"))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary: the remaining bytes) of docs (doc_id, text)."""
     spark = docs.sparkSession
     last = (1 << 63) - 1
-    docs = docs.select(F.coalesce("doc_id", F.lit(last)).alias("doc_id"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("data"))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
+    docs = docs.select(F.coalesce("doc_id", F.lit(last)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("data"))
+    by_id = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("data")).alias("size"))
+    size, most = by_id.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    docs = docs.withColumn("row", F.col("doc_id")) if most < 2 else spool(_numbered(docs), "rows")
     buckets = max(n_tasks(spark), size // BUCKET_BYTES)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b = b.sort_values("doc_id", kind="stable")
-            data, ids = b["data"].tolist(), b["doc_id"].to_numpy(np.int64)
+            b = b.sort_values("row", kind="stable")
+            data, ids = b["data"].tolist(), b["row"].to_numpy(np.int64)
             for i, j in slices(data):
                 c = contexts(data[i:j])
                 c["doc"] = ids[i:j][c["doc"]]
@@ -275,21 +284,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 at = keep[part]
                 gone, ask = at[~new[at]], at[wanted[at]]
                 rows.append((d, bucket, _pack(start[gone], n[gone]) if len(gone) else None, _pack(start[ask], n[ask], part_no[ask]) if len(ask) else None))
-        return pd.DataFrame(rows, columns=["doc_id", "bucket", "covered", "wanted"]).astype({"doc_id": "int64", "bucket": "int32"})
+        return pd.DataFrame(rows, columns=["row", "bucket", "covered", "wanted"]).astype({"row": "int64", "bucket": "int32"})
 
-    placed = docs.mapInPandas(place, "bucket int, later boolean, places binary")
+    placed = docs.select("row", "data").mapInPandas(place, "bucket int, later boolean, places binary")
     found = spool(placed.groupBy("bucket").applyInPandas(meet, FOUND), "contexts")
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["bucket", "doc_id", "starts", "sizes", "parts", "bytes"]
+        columns = ["bucket", "row", "starts", "sizes", "parts", "bytes"]
         for b in batches:
             rows = []
-            for d, data, asked in zip(b["doc_id"], b["data"], b["asked"], strict=True):
+            for d, data, asked in zip(b["row"], b["data"], b["asked"], strict=True):
                 for one in asked:
                     start, n, part = _unpack(one["wanted"], "<u4", "u1", "u1")
                     span = n.astype(np.uint32) + np.uint32(LENGTH - 1)
-                    if len(start) and int(start.max()) + LENGTH <= len(data):
-                        rows.append((one["bucket"], d, _pack(start), _pack(span), _pack(part), b"".join(data[s : s + x] for s, x in zip(start.tolist(), span.tolist(), strict=True))))
+                    rows.append((one["bucket"], d, _pack(start), _pack(span), _pack(part), b"".join(data[s : s + x] for s, x in zip(start.tolist(), span.tolist(), strict=True))))
                 if len(rows) > 20_000:
                     yield pd.DataFrame(rows, columns=columns)
                     rows = []
@@ -298,7 +306,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         pieces: list[bytes] = []
         doc, start, part = [], [], []
-        for d, s, z, p, data in zip(group["doc_id"], group["starts"], group["sizes"], group["parts"], group["bytes"], strict=True):
+        for d, s, z, p, data in zip(group["row"], group["starts"], group["sizes"], group["parts"], group["bytes"], strict=True):
             at = 0
             for x in np.frombuffer(z, "<u4").tolist():
                 pieces.append(data[at : at + x])
@@ -317,17 +325,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         order = np.lexsort((s, d))
         d, s, n = _runs(d[order], s[order])
         out = [(x, _pack(s[k].astype("<u4"), n[k].astype("<u4"))) for x, k in _by_doc(d)]
-        return pd.DataFrame(out, columns=["doc_id", "covered"]).astype({"doc_id": "int64"})
+        return pd.DataFrame(out, columns=["row", "covered"]).astype({"row": "int64"})
 
-    asked = found.filter("wanted IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "wanted")).alias("asked"))
-    schema = "bucket int, doc_id long, starts binary, sizes binary, parts binary, bytes binary"
-    fetched = docs.join(asked.hint("merge"), "doc_id").mapInPandas(fetch, schema)
-    sorted_ = fetched.groupBy("bucket").applyInPandas(compare, "doc_id long, covered binary")
+    asked = found.filter("wanted IS NOT NULL").groupBy("row").agg(F.collect_list(F.struct("bucket", "wanted")).alias("asked"))
+    schema = "bucket int, row long, starts binary, sizes binary, parts binary, bytes binary"
+    fetched = docs.select("row", "data").join(asked.hint("merge"), "row").mapInPandas(fetch, schema)
+    sorted_ = fetched.groupBy("bucket").applyInPandas(compare, "row long, covered binary")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for d, data, short, long_ in zip(b["doc_id"], b["data"], b["short"], b["long"], strict=True):
+            for data, short, long_ in zip(b["data"], b["short"], b["long"], strict=True):
                 kept, removed, spans = data, 0, 0
                 if (short is not None and len(short)) or (long_ is not None and len(long_)):
                     edge = np.zeros(len(data) + 1, np.int32)
@@ -340,13 +348,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     removed = int(gone.sum())
                     spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                     kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                rows.append((d if d != last else None, len(data), removed, spans, hashlib.sha256(kept).hexdigest(), kept))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-            yield out.astype({"doc_id": "Int64"})
-
-    short = found.filter("covered IS NOT NULL").groupBy("doc_id").agg(F.collect_list("covered").alias("short"))
-    long_ = sorted_.groupBy("doc_id").agg(F.collect_list("covered").alias("long"))
-    full = docs.join(short.hint("merge"), "doc_id", "left").join(long_.hint("merge"), "doc_id", "left")
+                rows.append((len(data), removed, spans, hashlib.sha256(kept).hexdigest(), kept))
+            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            out.insert(0, "doc_id", pd.arrays.IntegerArray(b["doc_id"].to_numpy(np.int64), b["no_id"].to_numpy(bool).copy()))
+            yield out
+
+    short = found.filter("covered IS NOT NULL").groupBy("row").agg(F.collect_list("covered").alias("short"))
+    long_ = sorted_.groupBy("row").agg(F.collect_list("covered").alias("long"))
+    full = docs.join(short.hint("merge"), "row", "left").join(long_.hint("merge"), "row", "left")
     return full.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

@@ -119,6 +119,17 @@ def test_substrings_against_brute_force(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_substrings_of_repeated_and_null_ids(spark):
+    rng = np.random.default_rng(6)
+    a, b, c, d, e = (bytes(rng.integers(97, 123, 500).astype(np.uint8)).decode() for _ in range(5))
+    rows = [(3, a), (3, a), (3, b), (7, c[:150] + a[:200]), (7, d), (None, e[:250] + e[:250]), (None, c[150:] + b[:150]), ((1 << 63) - 1, d + c[:50]), (3, None), (None, None)]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # no text depends on the order of others with its id, but that one of the two equal rows stays whole
+    kept = brute_removed([(t or "").encode() for _, t in rows])
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r["doc_id"], bytes(r["kept"])) for r in got), key=key) == sorted(((i, k) for (i, _), k in zip(rows, kept, strict=True)), key=key)
+
+
 def test_suffix_array_is_sorted():
     text = np.frombuffer(b"banana", np.uint8) + np.uint8(1)
     code = np.append(text, 0).astype(np.uint8)
