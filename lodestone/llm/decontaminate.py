@@ -13,10 +13,13 @@ sentence, or the second half where there is one sentence only.
 
 Passages are windows over the whole text of twice the longest item's words, moved by half of that, so each item lies whole in
 one passage. The index is built in shards of about SHARD_BYTES of item text, so what is
-broadcast has a fixed bound; each shard is a pass over the documents.
+broadcast has a fixed bound; each shard is a pass over the documents. Number of items, mean length,
+longest item and document frequencies are those of all items in every shard, and scores are exactly
+rounded sums, so the shards change no result.
 
-Null and empty texts match nothing; null, empty and under MIN_ITEM_WORDS-word items are never
-matched. Repeated documents or items each get their rows. Empty tables: empty result.
+In scripts without blanks each character is a word, and two of them count as one towards
+MIN_ITEM_WORDS. Null and empty texts match nothing; null, empty and under MIN_ITEM_WORDS-word items
+are never matched. Repeated documents or items each get their rows. Empty tables: empty result.
 """
 
 from __future__ import annotations
@@ -31,16 +34,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, spool, table
 
 K1, B, BLOCK, SHARE, OVERLAP, GRAM, MIN_ITEM_WORDS, SHARD_BYTES = 1.2, 0.75, 4, 0.6, 0.6, 3, 5, 1 << 18
-_word = re.compile(r"\w+")
-_sentence = re.compile(r"(?<=[.!?])\s+")
+#: Thai, Lao, Myanmar, Khmer, kana and Han.
+UNSPACED = "\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ecd\u1000-\u109f\u1780-\u17d3\u3005-\u3007\u3041-\u3096\u309d-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_spaced, _mixed, _unspaced = re.compile(r"\w+"), re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+"), re.compile(f"[{UNSPACED}]")
+_sentence = re.compile(r"(?<=[.!?])\s+|(?<=[\u3002\uff01\uff1f\uff61])\s*")
+
+
+def words_of(text: str) -> list[str]:
+    text = text.lower()
+    return (_spaced if text.isascii() or not _unspaced.search(text) else _mixed).findall(text)
+
+
+def long_enough(found: list[str]) -> bool:
+    return len(found) >= MIN_ITEM_WORDS and len(found) - sum(map(bool, map(_unspaced.match, found))) / 2 >= MIN_ITEM_WORDS
 
 
 def parts_of(text: str) -> tuple[list[str], list[str]]:
     """Words of the question and of the answer."""
-    sentences = [w for w in (_word.findall(s.lower()) for s in _sentence.split(text.strip())) if w]
+    sentences = [w for w in (words_of(s) for s in _sentence.split(text.strip())) if w]
     if len(sentences) > 1:
         return [w for s in sentences[:-1] for w in s], sentences[-1]
     found = sentences[0] if sentences else []
@@ -52,36 +66,40 @@ def grams(found: list[str], n: int) -> set[tuple[str, ...]]:
 
 
 class Index:
-    """Impacts, block maxima and thresholds of one shard of items."""
+    """Impacts, block maxima and thresholds of one shard of items; whole: number, mean length and longest of all items and document frequencies of the shard's words among them (if None, the shard is all)."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], whole: tuple[int, float, int, dict[str, int]] | None = None):
         split = [(i, parts_of(t or "")) for i, t in items]
-        split = [(i, q, a) for i, (q, a) in split if len(q) + len(a) >= MIN_ITEM_WORDS]
+        split = [(i, q, a) for i, (q, a) in split if long_enough(q + a)]
         self.ids, self.parts = [i for i, _, _ in split], [(q, a) for _, q, a in split]
         bags = [q + a for _, q, a in split]
-        mean = max(1.0, sum(map(len, bags)) / max(1, len(bags)))
         counts: dict[str, dict[int, int]] = defaultdict(dict)
         for k, bag in enumerate(bags):
             for w in bag:
                 counts[w][k] = counts[w].get(k, 0) + 1
+        if whole is None:
+            whole = len(bags), sum(map(len, bags)) / max(1, len(bags)), max(map(len, bags), default=1), {w: len(got) for w, got in counts.items()}
+        n_items, mean, longest, have = whole
         self.terms = {w: t for t, w in enumerate(counts)}
         self.n_blocks = -(-len(bags) // BLOCK)
         self.block_max = np.zeros((len(counts) + 1, self.n_blocks), np.float32)
-        self.own = np.zeros(len(bags))
+        self.impacts: list[dict[int, float]] = [{} for _ in bags]
         self.postings: list[tuple[np.ndarray, np.ndarray]] = []
-        for t, got in enumerate(counts.values()):
-            idf = math.log(1 + (len(bags) - len(got) + 0.5) / (len(got) + 0.5))
+        for t, (w, got) in enumerate(counts.items()):
+            idf = math.log(1 + (n_items - have[w] + 0.5) / (have[w] + 0.5))
             at = np.fromiter(got, np.int64, len(got))
             tf = np.fromiter(got.values(), float, len(got))
             size = np.array([len(bags[k]) for k in got], float)
             impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
             self.postings.append((at, impact))
             np.maximum.at(self.block_max[t], at // BLOCK, impact.astype(np.float32))
-            self.own[at] += impact
+            for k, x in zip(got, impact.tolist(), strict=True):
+                self.impacts[k][t] = x
+        self.own = np.array([math.fsum(x.values()) for x in self.impacts])
         self.least = SHARE * self.own
         edges = range(0, len(bags), BLOCK)
         self.block_least = np.array([self.least[k : k + BLOCK].min() for k in edges], np.float32) * np.float32(0.9999)
-        self.window = 2 * max(map(len, bags), default=1)
+        self.window = 2 * longest
 
     def retrieve(self, terms: np.ndarray, blocks: np.ndarray) -> list[tuple[int, float]]:
         """Items of the blocks with their scores, where these reach the threshold; terms are distinct."""
@@ -92,7 +110,7 @@ class Index:
             here = [int(terms[k]) for k in order if bounds[k, b] > 0]
             rest = np.append(np.cumsum([self.block_max[t, b] for t in here][::-1])[::-1], 0.0)
             low, high = b * BLOCK, min(len(self.ids), (b + 1) * BLOCK)
-            score, least = np.zeros(high - low), self.least[low:high]
+            score, least = np.zeros(high - low), self.least[low:high] * (1 - 1e-9)
             for k, t in enumerate(here):
                 if not (score + rest[k] * 1.0001 >= least).any():
                     break
@@ -100,14 +118,17 @@ class Index:
                 i, j = np.searchsorted(at, (low, high))
                 score[at[i:j] - low] += impact[i:j]
             else:
-                found += [(low + k, float(score[k])) for k in np.nonzero(score >= least)[0]]
+                for k in (low + np.nonzero(score >= least)[0]).tolist():
+                    exact = math.fsum(self.impacts[k].get(t, 0.0) for t in here)
+                    if exact >= self.least[k]:
+                        found.append((k, exact))
         return found
 
     def matches(self, text: str | None) -> list[tuple[int, float, float, float, int]]:
         """(item, score, question overlap, answer overlap, first word of the passage) of the best passage for each item."""
         if not text or not self.ids:
             return []
-        found, none = _word.findall(text.lower()), len(self.terms)
+        found, none = words_of(text), len(self.terms)
         if len(found) < MIN_ITEM_WORDS:
             return []
         get = self.terms.get
@@ -144,14 +165,30 @@ class Index:
         return len(wanted & grams(passage, n)) / len(wanted)
 
 
+def _words_of_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        bags = [q + a for q, a in map(parts_of, b["text"])]
+        yield pd.DataFrame([(k, len(w), sorted(set(w))) for k, w in zip(b["shard"], bags, strict=True) if long_enough(w)], columns=["shard", "n", "words"])
+
+
 def shards_of(benchmark: DataFrame) -> Iterator[Index]:
     """Indexes over shards of the items of about SHARD_BYTES each."""
     items = benchmark.select("item_id", "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = -(-max(1, size) // SHARD_BYTES)
+    whole = None
+    if n > 1:
+        items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+        bags = spool(items.filter("text IS NOT NULL").mapInPandas(_words_of_items, "shard long, n long, words array<string>"), "items")
+        n_items, total, longest = bags.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
+        uses = bags.select("shard", F.explode("words").alias("word")).groupBy("shard", "word").agg(F.count("*").alias("n"))
+        have = spool(uses.join(uses.groupBy("word").agg(F.sum("n").alias("have")), "word").select("shard", "word", "have"), "frequencies")
     for k in range(n):
-        here = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield Index(sorted(((r[0], r[1]) for r in here.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
+        here = items
+        if n > 1:
+            here = items.filter(F.col("shard") == k)
+            whole = n_items, total / max(1, n_items), longest, {r[0]: r[1] for r in have.filter(F.col("shard") == k).select("word", "have").collect()}
+        yield Index(sorted(((r[0], r[1]) for r in here.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), whole)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -177,6 +177,24 @@ def test_decontamination(spark, odd):
     assert 50 not in {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()}
 
 
+def test_decontamination_is_the_same_in_one_shard_and_many(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    said = [[f"w{k}" for k in np.minimum(rng.zipf(1.3, rng.integers(12, 60)), 500)] for _ in range(80)]
+    bench = spark.createDataFrame([(k, " ".join(w[:-6]) + ". " + " ".join(w[-6:]) + ".") for k, w in enumerate(said)], "item_id long, text string")
+    partly = [(k, " ".join([*w[: len(w) // 3 * (k % 2)], *w[len(w) // 3 :], *(f"w{x}" for x in rng.integers(1, 500, 300))])) for k, w in enumerate(said)]
+    docs = spark.createDataFrame(partly, "doc_id long, text string")
+    one = sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 4000)
+    assert sorted(map(tuple, decontaminate.contaminated(docs, bench).collect())) == one and 40 <= len(one)
+
+
+def test_decontamination_of_scripts_without_blanks(spark):
+    item = "\u5730\u7403\u4e0a\u6700\u957f\u7684\u6cb3\u6d41\u662f\u54ea\u4e00\u6761\uff1f\u5c3c\u7f57\u6cb3\u662f\u6700\u957f\u7684\u6cb3\u6d41\u3002"
+    bench = spark.createDataFrame([(1, item), (2, item[:6])], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "\u4eca\u5929" * 50 + item + "\u660e\u5929" * 50), (2, item[:12]), (3, LONG)], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, 1)]
+
+
 def test_min_cut_against_all_labellings():
     rng = np.random.default_rng(2)
     for _ in range(20):
