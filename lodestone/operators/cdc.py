@@ -6,7 +6,10 @@ that changes nothing does not move the stored position, and conflicts are judged
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ENVELOPE = "payload struct<op:string,before:string,after:string,source:struct<lsn:bigint,ts_ms:bigint,snapshot:string,table:string>>"
@@ -47,61 +50,82 @@ def advance(checkpoint: DataFrame, events: DataFrame) -> DataFrame:
     return both.groupBy("source_topic", "kafka_partition").agg(F.max("kafka_offset").alias("kafka_offset"))
 
 
-def _transition(a: Column, e: Column) -> tuple[Column, Column]:
-    """(disposition, whether the event is taken) of an event in a state."""
-    none, newer = a["lsn"].isNull(), e["lsn"] > a["lsn"]
-    same, gone = a["digest"] == e["digest"], a["deleted"]
-    delete = e["op"] == "d"
-    say = (
-        F.when(delete & (none | newer), "deleted")
-        .when(delete, "stale_skipped")
-        .when(none, "inserted")
-        .when(gone & ~newer, "stale_skipped")
-        .when(gone & (e["op"] == "c"), "inserted")
-        .when(gone, "conflict_update_after_delete")
-        .when(newer & same, "unchanged")
-        .when(newer, "updated")
-        .when((e["lsn"] == a["lsn"]) & same, "unchanged")
-        .when(e["lsn"] == a["lsn"], "conflict_same_lsn")
-        .otherwise("stale_skipped")
-    )
-    return say, say.isin("inserted", "updated", "deleted")
+def _transition(now: tuple, op: str | None, lsn: int | None, digest: str | None) -> str:
+    """Disposition of an event in a state (lsn, deleted, digest, record); unknown positions and digests compare as in SQL."""
+    at, gone, held, _ = now
+    none, newer = at is None, at is not None and lsn is not None and lsn > at
+    same = held is not None and held == digest
+    if op == "d":
+        return "deleted" if none or newer else "stale_skipped"
+    if none:
+        return "inserted"
+    if gone and not newer and lsn is not None:
+        return "stale_skipped"
+    if gone:
+        return "inserted" if op == "c" else "conflict_update_after_delete"
+    if newer:
+        return "unchanged" if same else "updated"
+    if lsn == at:
+        return "unchanged" if same else "conflict_same_lsn"
+    return "stale_skipped"
+
+
+def fold_rows(events: DataFrame, key: str, state: DataFrame | None = None) -> DataFrame:
+    """(key, kafka_offset, disposition, state, is_last): a row an event of (key, kafka_offset, operation, source_lsn, digest, record), and at a key's end a row with its state and is_last. state: a stored one (key, state).
+
+    Rows pass in order and only the state of the key at hand is held, so a key may have any number of events.
+    """
+    by = [key, "_new", "kafka_offset", "operation", "source_lsn", "digest", "record"]
+    x = events.select(key, F.lit(True).alias("_new"), F.col("kafka_offset").cast("long").alias("kafka_offset"), "operation", F.col("source_lsn").cast("long").alias("source_lsn"), "digest", "record", F.lit(False).alias("_deleted"))
+    if state is not None:
+        old = state.select(key, F.lit(False).alias("_new"), F.lit(None).cast("long").alias("kafka_offset"), F.lit(None).cast("string").alias("operation"), F.col("state.lsn").alias("source_lsn"), "state.digest", "state.record", F.col("state.deleted").alias("_deleted"))
+        x = x.unionByName(old)
+    kind = x.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = pa.struct([("lsn", pa.int64()), ("deleted", pa.bool_()), ("digest", pa.string()), ("record", pa.string())])
+        begun, at, now, key_type = False, None, (None,) * 4, None
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (key_type, pa.int64(), pa.string(), shape, pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[key, "kafka_offset", "disposition", "state", "is_last"])
+
+        def ended() -> tuple:
+            return at, None, None, dict(zip(("lsn", "deleted", "digest", "record"), now, strict=True)), True
+
+        for b in batches:
+            rows, key_type, records = [], b.schema.field(key).type, b.column("record")
+            for i, (k, new, off, op, lsn, digest, deleted) in enumerate(zip(*(b.column(c).to_pylist() for c in (key, "_new", "kafka_offset", "operation", "source_lsn", "digest", "_deleted")), strict=True)):
+                if not begun or k != at:
+                    if begun:
+                        rows.append(ended())
+                    begun, at, now = True, k, (None,) * 4
+                if not new:
+                    now = lsn, deleted, digest, records[i].as_py()
+                    continue
+                say = _transition(now, op, lsn, digest)
+                if say == "deleted":
+                    now = lsn, True, None, None
+                elif say in ("inserted", "updated"):
+                    now = lsn, None if op is None else False, digest, records[i].as_py()
+                rows.append((k, off, say, None, False))
+            yield out(rows)
+        if begun:
+            yield out([ended()])
+
+    return x.repartition(F.col(key)).sortWithinPartitions(*by).mapInArrow(run, f"`{key}` {kind}, kafka_offset long, disposition string, state {STATE}, is_last boolean")
 
 
 def fold_current_state(events: DataFrame, key: str, state: DataFrame | None = None) -> DataFrame:
-    """(key, state, dispositions as (offset, disposition)) of events (key, kafka_offset, operation, source_lsn, digest, record) after a stored state (key, state)."""
-    one = F.struct(F.col("kafka_offset").alias("off"), F.col("operation").alias("op"), F.col("source_lsn").alias("lsn"), F.col("digest").alias("digest"), F.col("record").alias("record"))
-    x = events.groupBy(key).agg(F.sort_array(F.collect_list(one)).alias("events"))
-    x = x.join(state.select(key, F.col("state").alias("_old")), key, "full") if state is not None else x.withColumn("_old", F.lit(None).cast(STATE))
-    start = F.struct(
-        F.col("_old.lsn").alias("lsn"), F.col("_old.deleted").alias("deleted"), F.col("_old.digest").alias("digest"), F.col("_old.record").alias("record"),
-        F.expr("cast(array() as array<struct<off:bigint,disposition:string>>)").alias("log"),
-    )
-
-    def step(a: Column, e: Column) -> Column:
-        say, takes = _transition(a, e)
-        return F.struct(
-            F.when(takes, e["lsn"]).otherwise(a["lsn"]).alias("lsn"),
-            F.when(takes, e["op"] == "d").otherwise(a["deleted"]).alias("deleted"),
-            F.when(takes & (e["op"] != "d"), e["digest"]).when(takes, F.lit(None)).otherwise(a["digest"]).alias("digest"),
-            F.when(takes & (e["op"] != "d"), e["record"]).when(takes, F.lit(None)).otherwise(a["record"]).alias("record"),
-            F.concat(a["log"], F.array(F.struct(e["off"].cast("long").alias("off"), say.alias("disposition")))).alias("log"),
-        )
-
-    events_ = F.coalesce("events", F.expr("cast(array() as array<struct<off:bigint,op:string,lsn:bigint,digest:string,record:string>>)"))
-    x = x.withColumn("out", F.aggregate(events_, start, step))
-    return x.select(key, F.expr(f"cast(struct(out.lsn, out.deleted, out.digest, out.record) as {STATE})").alias("state"), F.col("out.log").alias("dispositions"))
+    """fold_rows as one row a key: (key, state, dispositions as (offset, disposition) in order of the offsets). Holds a key's dispositions in one row; fold_rows doesn't."""
+    x = fold_rows(events, key, state)
+    log = F.sort_array(F.collect_list(F.when(~F.col("is_last"), F.struct(F.col("kafka_offset").alias("off"), "disposition"))))
+    return x.groupBy(key).agg(F.max_by("state", "is_last").alias("state"), log.alias("dispositions"))
 
 
 def fold_event_log(events: DataFrame, key: str) -> DataFrame:
     """(key, offset, disposition): a delete is always appended and frees the key; others are appended once until then."""
-    one = F.struct(F.col("kafka_offset").alias("off"), F.col("operation").alias("op"))
-    x = events.groupBy(key).agg(F.sort_array(F.collect_list(one)).alias("events"))
-    start = F.struct(F.lit(False).alias("active"), F.expr("cast(array() as array<struct<off:bigint,disposition:string>>)").alias("log"))
-
-    def step(a: Column, e: Column) -> Column:
-        say = F.when((e["op"] != "d") & a["active"], "duplicate_primary_key").otherwise("appended")
-        return F.struct((e["op"] != "d").alias("active"), F.concat(a["log"], F.array(F.struct(e["off"].cast("long").alias("off"), say.alias("disposition")))).alias("log"))
-
-    x = x.withColumn("out", F.aggregate("events", start, step))
-    return x.select(key, F.explode("out.log").alias("l")).select(key, F.col("l.off").alias("kafka_offset"), F.col("l.disposition").alias("disposition"))
+    before = F.lag("operation").over(Window.partitionBy(key).orderBy("kafka_offset", "operation"))
+    say = F.when((F.col("operation") != "d") & (before != "d"), "duplicate_primary_key").otherwise("appended")
+    return events.select(key, F.col("kafka_offset").cast("long").alias("kafka_offset"), say.alias("disposition"))

@@ -254,14 +254,14 @@ def _changes(spark, sf, late: bool = True):
 @query()
 def cdc_current_state(spark, sf):
     """Out-of-order change events folded into one state a key; checked against a row-by-row version in the tests."""
-    x = cdc.fold_current_state(_changes(spark, sf), "user_id")
+    x = cdc.fold_rows(_changes(spark, sf), "user_id").filter("is_last")
     return x.select("user_id", F.col("state.lsn").alias("lsn"), F.col("state.deleted").alias("is_deleted"), F.col("state.digest").alias("digest"))
 
 
 @query()
 def cdc_dispositions(spark, sf):
-    x = cdc.fold_current_state(_changes(spark, sf), "user_id").select(F.explode("dispositions").alias("x"))
-    return gates.accounting(x.select("x.disposition"), "disposition")
+    x = cdc.fold_rows(_changes(spark, sf), "user_id").filter("NOT is_last")
+    return gates.accounting(x.select("disposition"), "disposition")
 
 
 @query(f"""WITH c AS (SELECT user_id, event_id AS kafka_offset, {CHANGE} AS op, lag({CHANGE}) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events)

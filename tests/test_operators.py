@@ -95,6 +95,26 @@ def test_unchanged_does_not_move_the_position(spark):
     assert [d["disposition"] for d in cdc.fold_current_state(df, "id").first()["dispositions"]] == ["inserted", "unchanged", "updated"]
 
 
+def test_folds_hold_no_group_of_a_key(spark):
+    r, far = random.Random(4), 1 << 60
+    rows = [(7 if k % 3 else k % 5, k, r.choice("rcud"), far + r.randrange(60_000), r.choice("xyz")) for k in range(60_000)]
+    rows += [(9, 60_000, "u", far + 5, "x"), (10, 60_001, "d", far + 9, "x")]
+    df = spark.createDataFrame([(*x, f"{x[1]}") for x in rows], "id long, kafka_offset long, operation string, source_lsn long, digest string, record string")
+    old = {9: (far + 5, False, "y", "o"), 11: (far, True, None, None)}
+    stored = spark.createDataFrame(list(old.items()), "id long, state struct<lsn:bigint,deleted:boolean,digest:string,record:string>")
+    got = cdc.fold_rows(df, "id", stored)
+    state, say, log, active = {k: v[:3] for k, v in old.items()}, {}, {}, {}
+    for key, off, op, lsn, digest in rows:
+        say[off], state[key] = changes.apply_event(state.get(key), op, lsn, digest)
+        log[off] = "duplicate_primary_key" if op != "d" and active.get(key) else "appended"
+        active[key] = op != "d"
+    assert {x["kafka_offset"]: x["disposition"] for x in got.filter("NOT is_last").collect()} == say
+    assert {x["id"]: tuple(x["state"])[:3] for x in got.filter("is_last").collect()} == state
+    assert {x["kafka_offset"]: x["disposition"] for x in cdc.fold_event_log(df, "id").collect()} == log
+    for x in (got, cdc.fold_event_log(df, "id")):
+        assert "collect_list" not in x._jdf.queryExecution().toString()
+
+
 def test_streaming_state_goes_on_between_runs(spark, tmp_path):
     rows = _events()
     schema = "id long, kafka_offset long, operation string, source_lsn long, digest string"
