@@ -5,7 +5,7 @@ grams (each 100-byte string has one, by its content alone). Neighbouring strings
 form a context. Contexts are dealt to buckets by anchor, as two hashes and a place:
 
 1. Of contexts that are equal as a whole, all but the first are covered. Those equal inside one
-   slice of a task are told apart there, so a text with very many copies sends one row a slice.
+   slice (SLICE_BYTES) of a task are told apart there, so a text with very many copies sends one row a slice.
 2. Where an anchor has several different contexts (or one that repeats inside itself), the bytes
    of the first of each are sent, and sorted as suffixes in two stages: suffixes that are smaller than
    their successors are sorted directly, the others are induced by a scan over the buckets of first
@@ -30,14 +30,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_tasks, slices, spool, table
+from .common import n_tasks, spool, table
 
-LENGTH, GRAM, BUCKET_BYTES, PARTS = 100, 24, 16 << 20, 64
+LENGTH, GRAM, BUCKET_BYTES, PARTS, SLICE_BYTES = 100, 24, 16 << 20, 64, 1 << 19
 SPAN = LENGTH - GRAM + 1
 _M = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-@lru_cache(1)
+@lru_cache(2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     base = 0x5851F42D4C957F2D
     out = []
@@ -102,6 +102,23 @@ def contexts(texts: list[bytes]) -> dict[str, np.ndarray]:
     return {"anchor": low, "whole": whole, "doc": doc, "start": (start - offsets[:-1][doc]).astype(np.uint32), "n": n.astype(np.uint8), "again": again}
 
 
+def stretches(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[list[bytes], list[tuple[int, int]]]]:
+    """Runs of about limit bytes, with (index of the text, where in it) of each: a longer text is cut into stretches that overlap by one byte less than a string."""
+    parts: list[bytes] = []
+    places: list[tuple[int, int]] = []
+    size = 0
+    for k, x in enumerate(texts):
+        for at in range(0, max(1, len(x) - LENGTH + 1), limit):
+            parts.append(x[at : at + limit + LENGTH - 1])
+            places.append((k, at))
+            size += len(parts[-1])
+            if size >= limit:
+                yield parts, places
+                parts, places, size = [], [], 0
+    if parts:
+        yield parts, places
+
+
 def suffix_array(text: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Suffixes of text in order of their first LENGTH codes or more; left: codes up to the next separator (code 0)."""
     size = len(text)
@@ -243,9 +260,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for b in batches:
             b = b.sort_values("row", kind="stable")
             data, ids = b["data"].tolist(), b["row"].to_numpy(np.int64)
-            for i, j in slices(data):
-                c = contexts(data[i:j])
-                c["doc"] = ids[i:j][c["doc"]]
+            for parts, at in stretches(data):
+                c = contexts(parts)
+                text, start = np.array(at, np.int64).reshape(-1, 2)[c["doc"]].T
+                c["doc"], c["start"] = ids[text], (c["start"] + start).astype(np.uint32)
                 order = np.lexsort((c["whole"], c["anchor"]))
                 same = (c["anchor"][order][1:] == c["anchor"][order][:-1]) & (c["whole"][order][1:] == c["whole"][order][:-1])
                 later = np.zeros(len(order), bool)
