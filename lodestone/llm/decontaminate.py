@@ -1,42 +1,53 @@
-"""Benchmark decontamination: BM25 over an inverted index of test items, pruned by block maxima.
-
-The items are the indexed side; each training passage is a query. Postings hold BM25 impacts;
-items lie in blocks of BLOCK, and each term has its largest impact in each block. A passage's sum
-of block maxima bounds the score of every item in the block, so blocks whose bound stays under
-the lowest threshold among their items are skipped (first over a sliding window for all passages
-of a document at once, then over a passage's distinct terms); in the others the lists are
-walked in order of their remaining bounds, and items that can no longer reach their threshold
-drop out. All items with a score of at least SHARE times their own score (that of the item as a
-query for itself) are retrieved, and each is then checked: of the word 3-grams of its question
-and of those of its answer, OVERLAP or more must be in the passage. The answer is the last
-sentence, or the second half where there is one sentence only.
+"""Benchmark decontamination: BM25 over an inverted index of test items, with block-max WAND.
+
+The items are the indexed side; each training passage is a query, and all items with a score of at
+least SHARE times their own score (that of the item as a query for itself) are retrieved. Postings
+hold BM25 impacts; items lie in blocks of BLOCK, and each term has its largest impact in each block.
+
+1. WAND: a passage whose terms' largest impacts anywhere sum up to less than the lowest threshold is skipped.
+2. Block maxima: of the other passages, the blocks are skipped whose maxima over the passage's terms
+   sum up to less than the lowest threshold of the block's items. Maxima of terms that are in many
+   blocks are a dense matrix, those of the others a sparse one; all windows of a stretch are summed up at once.
+3. Scores: of the items of the blocks that are left.
+
+Nothing in this is approximate: what is retrieved is what scoring every item would retrieve. Each retrieved item
+is then checked: of the word 3-grams of its question and of those of its answer, OVERLAP or more
+must be in the passage. The answer is the last sentence, or the second half where there is one
+sentence only. An item of fewer than MIN_ITEM_WORDS words must be in the passage as a phrase, whole.
 
 Passages are windows over the whole text of twice the longest item's words, moved by half of that, so each item lies whole in
-one passage. The index is built in shards of about SHARD_BYTES of item text, so what is
-broadcast has a fixed bound; each shard is a pass over the documents. Number of items, mean length,
-longest item and document frequencies are those of all items in every shard, and scores are exactly
-rounded sums, so the shards change no result.
+one passage. The index is sparse and built in shards of about SHARD_BYTES of item text, so what is
+broadcast has a fixed bound; a text is split into words once for all shards of a pass
+(SHARDS_PER_PASS). Number of items, mean length, longest item and document frequencies are those of
+all items in every shard, and scores are exactly rounded sums, so the shards change no result.
 
 In scripts without blanks each character is a word, and two of them count as one towards
-MIN_ITEM_WORDS. Null and empty texts match nothing; null, empty and under MIN_ITEM_WORDS-word items
-are never matched. Repeated documents or items each get their rows. Empty tables: empty result.
+MIN_ITEM_WORDS. Null and empty texts match nothing; null and empty items are never matched.
+Repeated documents or items each get their rows. Null ids stay null. Empty tables: empty result.
+Other columns, whatever their names, pass through drop_contaminated untouched and are not read by
+contaminated.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, spool, table
+from .common import spool, table
 
-K1, B, BLOCK, SHARE, OVERLAP, GRAM, MIN_ITEM_WORDS, SHARD_BYTES = 1.2, 0.75, 4, 0.6, 0.6, 3, 5, 1 << 18
+K1, B, BLOCK, SHARE, OVERLAP, GRAM, MIN_ITEM_WORDS, SHARD_BYTES, SHARDS_PER_PASS = 1.2, 0.75, 4, 0.6, 0.6, 3, 5, 4 << 20, 4
+#: Windows that are bounded at once; a term in more than one in COMMON blocks is in the dense matrix.
+STRETCH, COMMON = 256, 8
 #: Thai, Lao, Myanmar, Khmer, kana and Han.
 UNSPACED = "\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ecd\u1000-\u109f\u1780-\u17d3\u3005-\u3007\u3041-\u3096\u309d-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _spaced, _mixed, _unspaced = re.compile(r"\w+"), re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+"), re.compile(f"[{UNSPACED}]")
@@ -65,97 +76,127 @@ def grams(found: list[str], n: int) -> set[tuple[str, ...]]:
     return set(zip(*(found[k:] for k in range(n)), strict=False))
 
 
+class Block(NamedTuple):
+    """A block's first item, its terms in order, and impacts (terms x items)."""
+
+    first: int
+    terms: np.ndarray
+    impacts: np.ndarray
+
+
 class Index:
-    """Impacts, block maxima and thresholds of one shard of items; whole: number, mean length and longest of all items and document frequencies of the shard's words among them (if None, the shard is all)."""
+    """Blocks, maxima and thresholds of one shard of items; whole: number, mean length and longest of all items and document frequencies of the shard's words among them (if None, the shard is all)."""
 
     def __init__(self, items: list[tuple[int, str]], whole: tuple[int, float, int, dict[str, int]] | None = None):
         split = [(i, parts_of(t or "")) for i, t in items]
-        split = [(i, q, a) for i, (q, a) in split if long_enough(q + a)]
+        split = [(i, q, a) for i, (q, a) in split if q or a]
         self.ids, self.parts = [i for i, _, _ in split], [(q, a) for _, q, a in split]
-        bags = [q + a for _, q, a in split]
-        counts: dict[str, dict[int, int]] = defaultdict(dict)
-        for k, bag in enumerate(bags):
-            for w in bag:
-                counts[w][k] = counts[w].get(k, 0) + 1
+        bags = [q + a for q, a in self.parts]
+        self.short = [not long_enough(bag) for bag in bags]
+        counts = [Counter(bag) for bag in bags]
         if whole is None:
-            whole = len(bags), sum(map(len, bags)) / max(1, len(bags)), max(map(len, bags), default=1), {w: len(got) for w, got in counts.items()}
+            whole = len(bags), sum(map(len, bags)) / max(1, len(bags)), max(map(len, bags), default=1), Counter(w for c in counts for w in c)
         n_items, mean, longest, have = whole
-        self.terms = {w: t for t, w in enumerate(counts)}
-        self.n_blocks = -(-len(bags) // BLOCK)
-        self.block_max = np.zeros((len(counts) + 1, self.n_blocks), np.float32)
-        self.impacts: list[dict[int, float]] = [{} for _ in bags]
-        self.postings: list[tuple[np.ndarray, np.ndarray]] = []
-        for t, (w, got) in enumerate(counts.items()):
-            idf = math.log(1 + (n_items - have[w] + 0.5) / (have[w] + 0.5))
-            at = np.fromiter(got, np.int64, len(got))
-            tf = np.fromiter(got.values(), float, len(got))
-            size = np.array([len(bags[k]) for k in got], float)
-            impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
-            self.postings.append((at, impact))
-            np.maximum.at(self.block_max[t], at // BLOCK, impact.astype(np.float32))
-            for k, x in zip(got, impact.tolist(), strict=True):
-                self.impacts[k][t] = x
-        self.own = np.array([math.fsum(x.values()) for x in self.impacts])
-        self.least = SHARE * self.own
-        edges = range(0, len(bags), BLOCK)
-        self.block_least = np.array([self.least[k : k + BLOCK].min() for k in edges], np.float32) * np.float32(0.9999)
         self.window = 2 * longest
-
-    def retrieve(self, terms: np.ndarray, blocks: np.ndarray) -> list[tuple[int, float]]:
-        """Items of the blocks with their scores, where these reach the threshold; terms are distinct."""
+        self.terms = {w: t for t, w in enumerate(sorted({w for c in counts for w in c}))}
+        rows = []
+        for c, bag in zip(counts, bags, strict=True):
+            length = K1 * (1 - B + B * len(bag) / mean)
+            rows.append({self.terms[w]: math.log(1 + (n_items - have[w] + 0.5) / (have[w] + 0.5)) * tf * (K1 + 1) / (tf + length) for w, tf in c.items()})
+        self.impacts = rows
+        self.least = np.array([SHARE * math.fsum(x.values()) for x in rows])
+        self.blocks: list[Block] = []
+        for lo in range(0, len(rows), BLOCK):
+            some = rows[lo : lo + BLOCK]
+            terms = np.array(sorted(set().union(*some)), np.int64)
+            impacts = np.array([[x.get(t, 0.0) for x in some] for t in terms.tolist()])
+            self.blocks.append(Block(lo, terms, impacts))
+        if not rows:
+            return
+        n_terms = len(self.terms)
+        term = np.concatenate([b.terms for b in self.blocks])
+        block = np.repeat(np.arange(len(self.blocks)), [len(b.terms) for b in self.blocks])
+        top = np.concatenate([b.impacts.max(axis=1) for b in self.blocks])
+        self.block_least = np.minimum.reduceat(self.least, np.arange(0, len(rows), BLOCK)) * (1 - 1e-4)
+        self.top = np.zeros(n_terms)
+        np.maximum.at(self.top, term, top)
+        uses = np.bincount(term, minlength=n_terms)
+        common = np.flatnonzero(uses * COMMON > len(self.blocks))
+        self.dense_row = np.full(n_terms, -1)
+        self.dense_row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), len(self.blocks)), np.float32)
+        often = self.dense_row[term] >= 0
+        self.dense[self.dense_row[term[often]], block[often]] = top[often]
+        order = np.flatnonzero(~often)[np.argsort(term[~often], kind="stable")]
+        self.sparse_n = np.where(self.dense_row >= 0, 0, uses)
+        self.sparse_from = np.cumsum(self.sparse_n) - self.sparse_n
+        self.sparse_block, self.sparse_top = block[order], top[order]
+
+    def retrieve(self, terms: np.ndarray, blocks: np.ndarray, have: np.ndarray) -> list[tuple[int, float]]:
+        """Items of the blocks with their scores, where these reach the threshold; terms are distinct, have is all False."""
         found = []
-        bounds = self.block_max[terms]
-        for b in blocks:
-            order = np.argsort(-bounds[:, b], kind="stable")
-            here = [int(terms[k]) for k in order if bounds[k, b] > 0]
-            rest = np.append(np.cumsum([self.block_max[t, b] for t in here][::-1])[::-1], 0.0)
-            low, high = b * BLOCK, min(len(self.ids), (b + 1) * BLOCK)
-            score, least = np.zeros(high - low), self.least[low:high] * (1 - 1e-9)
-            for k, t in enumerate(here):
-                if not (score + rest[k] * 1.0001 >= least).any():
-                    break
-                at, impact = self.postings[t]
-                i, j = np.searchsorted(at, (low, high))
-                score[at[i:j] - low] += impact[i:j]
-            else:
-                for k in (low + np.nonzero(score >= least)[0]).tolist():
-                    exact = math.fsum(self.impacts[k].get(t, 0.0) for t in here)
-                    if exact >= self.least[k]:
-                        found.append((k, exact))
+        have[terms] = True
+        for b in blocks.tolist():
+            block = self.blocks[b]
+            here = have[block.terms]
+            score = block.impacts[here].sum(axis=0)
+            for k in (block.first + np.nonzero(score >= self.least[block.first : block.first + BLOCK] * (1 - 1e-9))[0]).tolist():
+                exact = math.fsum(x for t, x in self.impacts[k].items() if have[t])
+                if exact >= self.least[k]:
+                    found.append((k, exact))
+        have[terms] = False
         return found
 
-    def matches(self, text: str | None) -> list[tuple[int, float, float, float, int]]:
-        """(item, score, question overlap, answer overlap, first word of the passage) of the best passage for each item."""
-        if not text or not self.ids:
-            return []
-        found, none = words_of(text), len(self.terms)
-        if len(found) < MIN_ITEM_WORDS:
-            return []
-        get = self.terms.get
-        ids = np.fromiter((get(w, none) for w in found), np.int64, len(found))
+    def _open(self, ids: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Windows lo to hi whose bounds reach a threshold: each with its terms and the blocks to score."""
+        step, n_terms, n_blocks = self.window // 2, len(self.terms), len(self.blocks)
+        part = ids[lo * step : (hi - 1) * step + self.window]
+        at = np.flatnonzero(part < n_terms)
+        # a word lies in the window that begins in its own step and in the one before
+        window = np.concatenate([at // step, at // step - 1])
+        inside = (window >= 0) & (window < hi - lo)
+        window, term = np.divmod(np.unique(window[inside] * n_terms + np.concatenate([part[at], part[at]])[inside]), n_terms)
+        wand = np.bincount(window, self.top[term], hi - lo) >= self.block_least.min()
+        keep = wand[window]
+        window, term = window[keep], term[keep]
+        row = self.dense_row[term]
+        have = np.zeros((hi - lo, len(self.dense)), np.float32)
+        have[window[row >= 0], row[row >= 0]] = 1
+        bound = have @ self.dense
+        n = self.sparse_n[term]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.sparse_from[term], n)
+        bound += np.bincount(np.repeat(window, n) * n_blocks + self.sparse_block[within], self.sparse_top[within], (hi - lo) * n_blocks).reshape(hi - lo, n_blocks)
+        open_ = bound >= self.block_least
+        for k in np.flatnonzero(open_.any(axis=1)).tolist():
+            i, j = np.searchsorted(window, (k, k + 1))
+            yield lo + k, term[i:j], np.flatnonzero(open_[k])
+
+    def matches(self, found: list[str]) -> list[tuple[int, float, float, float, int]]:
+        """(item, score, question overlap, answer overlap, first word of the passage) of the best passage for each item; found: a text's words."""
         best: dict[int, tuple[float, float, float, int]] = {}
-        step, chunk = self.window // 2, 8192
-        starts = np.arange(0, max(1, len(found) - self.window + step), step)
-        for lo in range(0, len(starts), max(1, chunk // step)):
-            some = starts[lo : lo + max(1, chunk // step)]
-            part = ids[some[0] : some[-1] + self.window]
-            sums = np.zeros((len(part) + 1, self.n_blocks))
-            np.cumsum(self.block_max[part], axis=0, out=sums[1:])
-            ends = np.minimum(some - some[0] + self.window, len(part))
-            bound = sums[ends] - sums[some - some[0]]
-            for k in np.nonzero((bound >= self.block_least).any(axis=1))[0]:
-                at = int(some[k])
-                terms = np.unique(ids[at : at + self.window])
-                terms = terms[terms < none]
-                blocks = np.nonzero(self.block_max[terms].sum(axis=0) * np.float32(1.0001) >= self.block_least)[0]
-                if len(blocks):
-                    passage = found[at : at + self.window]
-                    for item, score in self.retrieve(terms, blocks):
-                        shares = [self._share(p, passage) for p in self.parts[item]]
-                        if min(shares) >= OVERLAP and score > best.get(item, (0.0,))[0]:
-                            best[item] = (score, *shares, at)
+        if not found or not self.ids:
+            return []
+        none, step = len(self.terms), self.window // 2
+        ids = np.fromiter(map(self.terms.get, found, repeat(none)), np.int64, len(found))
+        have = np.zeros(none + 1, bool)
+        n_windows = 1 + max(0, -(-(len(found) - self.window) // step))
+        for lo in range(0, n_windows, STRETCH):
+            for window, terms, blocks in self._open(ids, lo, min(lo + STRETCH, n_windows)):
+                start = window * step
+                for item, score in self.retrieve(terms, blocks, have):
+                    shares = self._shares(item, found[start : start + self.window])
+                    if min(shares) >= OVERLAP and score > best.get(item, (0.0,))[0]:
+                        best[item] = (score, *shares, start)
         return [(self.ids[i], *rest) for i, rest in sorted(best.items())]
 
+    def _shares(self, item: int, passage: list[str]) -> tuple[float, float]:
+        """Of the item's question and of its answer, how much of it is in the passage."""
+        if self.short[item]:
+            q, a = self.parts[item]
+            whole = f" {' '.join(q + a)} " in f" {' '.join(passage)} "
+            return float(whole), float(whole)
+        return tuple(self._share(p, passage) for p in self.parts[item])
+
     @staticmethod
     def _share(part: list[str], passage: list[str]) -> float:
         n = min(GRAM, len(part))
@@ -168,7 +209,7 @@ class Index:
 def _words_of_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         bags = [q + a for q, a in map(parts_of, b["text"])]
-        yield pd.DataFrame([(k, len(w), sorted(set(w))) for k, w in zip(b["shard"], bags, strict=True) if long_enough(w)], columns=["shard", "n", "words"])
+        yield pd.DataFrame([(k, len(w), sorted(set(w))) for k, w in zip(b["shard"], bags, strict=True) if w], columns=["shard", "n", "words"])
 
 
 def shards_of(benchmark: DataFrame) -> Iterator[Index]:
@@ -191,36 +232,58 @@ def shards_of(benchmark: DataFrame) -> Iterator[Index]:
         yield Index(sorted(((r[0], r[1]) for r in here.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), whole)
 
 
+def passes(benchmark: DataFrame) -> Iterator[list[Index]]:
+    """The shards' indexes, SHARDS_PER_PASS at a time."""
+    some: list[Index] = []
+    for index in shards_of(benchmark):
+        some.append(index)
+        if len(some) == SHARDS_PER_PASS:
+            yield some
+            some = []
+    if some:
+        yield some
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap, passage_start for each item that a document holds."""
     out = None
-    for index in shards_of(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    for indexes in passes(benchmark):
+        sent = docs.sparkSession.sparkContext.broadcast(indexes)
 
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            index = sent.value
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = [(d, *m) for d, t in zip(b["doc_id"], b["text"], strict=True) for m in index.matches(t)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "passage_start"])
-
-        got = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long")
+                at, rows = [], []
+                for k, t in enumerate(b.column("text")):
+                    found = words_of(t.as_py() or "")
+                    for index in sent.value:
+                        for m in index.matches(found):
+                            at.append(k)
+                            rows.append(m)
+                columns = list(zip(*rows, strict=True)) or [()] * 5
+                kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+                names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "passage_start"]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=names)
+
+        got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long")
         out = got if out is None else out.unionByName(got)
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold an item; rows are judged where they lie, so nothing is shuffled."""
-    for index in shards_of(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    place = docs.columns.index("text")
+    for indexes in passes(benchmark):
+        sent = docs.sparkSession.sparkContext.broadcast(indexes)
 
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                texts = b["text"].tolist()
-                for i, j in slices(texts):
-                    clean = [not sent.value.matches(t) for t in texts[i:j]]
-                    yield b.iloc[i:j][clean]
+                clean = []
+                for t in b.column(place):
+                    found = words_of(t.as_py() or "")
+                    clean.append(not any(index.matches(found) for index in sent.value))
+                yield b.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInPandas(run, docs.schema)
+        docs = docs.mapInArrow(run, docs.schema)
     return docs
 
 
