@@ -37,6 +37,12 @@ def control_total(df: DataFrame, amount: Column, name: str) -> DataFrame:
     return df.agg(F.coalesce(F.sum(amount), F.lit(0)).cast("decimal(38,4)").alias(name))
 
 
+def count_identity(name: str, expected: DataFrame, found: DataFrame) -> DataFrame:
+    """(check_name, n_violations): by how many rows the counts differ."""
+    a, b = (df.agg(F.count("*").alias(n)) for df, n in ((expected, "a"), (found, "b")))
+    return a.crossJoin(F.broadcast(b)).select(F.lit(name).alias("check_name"), F.abs(F.col("a") - F.col("b")).alias("n_violations"))
+
+
 def reconcile(mart: DataFrame, fact: DataFrame, count: str, total: str, amount: str) -> DataFrame:
     """One row: whether the mart's counts and totals add up to the fact's."""
     a = mart.agg(F.sum(count).alias("mart_rows"), F.sum(total).alias("mart_total"))
@@ -50,3 +56,38 @@ def require(report: DataFrame, condition: str, message: str) -> None:
     bad = report.filter(f"NOT coalesce({condition}, false)").limit(5).collect()
     if bad:
         raise GateError(f"{message}: {bad}")
+
+
+def require_all(problems: Sequence[str]) -> None:
+    """Raises with every problem, not with the first."""
+    if problems:
+        raise GateError("; ".join(problems))
+
+
+def references(rules: Sequence[tuple[str, str, DataFrame, DataFrame, str, bool]]) -> DataFrame:
+    """(child, column_name, n_null, n_orphans) of (name, column, child, parent, key, may be null): nulls count only where they are forbidden."""
+    out = []
+    for name, column, child, parent, key, optional in rules:
+        known = parent.select(F.col(key).alias("_pk")).distinct().withColumn("_known", F.lit(True))
+        x = child.select(F.col(column).alias("_fk")).join(known, F.col("_fk") == F.col("_pk"), "left")
+        n_null = F.lit(0).cast("long") if optional else F.count_if(F.col("_fk").isNull())
+        one = x.agg(n_null.alias("n_null"), F.count_if(F.col("_fk").isNotNull() & F.col("_known").isNull()).alias("n_orphans"))
+        out.append(one.select(F.lit(name).alias("child"), F.lit(column).alias("column_name"), "n_null", "n_orphans"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def row_counts(tables: Mapping[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(table_name, source_rows, target_rows, passed)."""
+    out = []
+    for name, (source, target) in tables.items():
+        a, b = source.agg(F.count("*").alias("source_rows")), target.agg(F.count("*").alias("target_rows"))
+        out.append(a.crossJoin(F.broadcast(b)).select(F.lit(name).alias("table_name"), "source_rows", "target_rows", (F.col("source_rows") == F.col("target_rows")).alias("passed")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def column_tests(df: DataFrame, unique: Sequence[str] = (), not_null: Sequence[str] = ()) -> DataFrame:
+    """(test, n_failures) of unique and not_null tests of single columns, nulls in one pass."""
+    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"not_null_{c}") for c in not_null]) if not_null else None
+    out = [nulls.unpivot([], nulls.columns, "test", "n_failures")] if nulls is not None else []
+    out += [repeated_keys(df.filter(F.col(c).isNotNull()), [c]).agg(F.count("*").alias("n_failures")).select(F.lit(f"unique_{c}").alias("test"), "n_failures") for c in unique]
+    return reduce(DataFrame.unionByName, out)

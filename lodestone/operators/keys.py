@@ -6,17 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
+
 UNKNOWN_KEY, UNKNOWN_NAME = -1, "UNKNOWN"
 
 
-def assign_keys(natural: DataFrame, registry: DataFrame, name: str, parts: int = 32) -> DataFrame:
+def assign_keys(natural: DataFrame, registry: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     """registry (name, surrogate_key) with keys for the new values of natural, numbered in order after the largest.
 
-    New values are split into ranges by their order, counted per range, and numbered inside each:
-    no task gets them all.
+    New values are split into ranges by their order and stored with their range, so that counting and
+    numbering see the same ranges; they are counted per range, and numbered inside each: no task gets them all.
     """
     new = natural.select(name).filter(F.col(name).isNotNull()).distinct().join(registry, name, "left_anti")
-    ranged = new.repartitionByRange(parts, name).withColumn("_part", F.spark_partition_id())
+    parts = parts or int(natural.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(new.repartitionByRange(parts, name).withColumn("_part", F.spark_partition_id()), "keys")
     counts = ranged.groupBy("_part").count()
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_from"))

@@ -2,34 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import cdc, checks, dedupe, gates, keys, merge
 from . import entities as E
 from . import rules, silver
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            """Sums are exact decimals up to here; the result carries them as doubles, which all engines print alike."""
-            out = f(spark, sf_dir)
-            return out.withColumns({n: out[n].cast("double") for n, kind in out.dtypes if kind.startswith("decimal")})
-
-        QUERIES[f.__name__] = run
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 COUNTS = "count(*) AS transaction_count, CAST(sum(amount) AS DOUBLE) AS total_amount"
 
@@ -161,12 +141,6 @@ def kpis(spark, sf):
     return _enriched(spark, sf).agg(F.count("*").alias("transactions"), F.sum("amount").cast("decimal(28,2)").alias("amount"), one("APPROVED").alias("approved"), one("DECLINED").alias("declined"), F.count_if(F.col("status") == "DECLINED").alias("declined_count"), F.count_distinct("program").alias("programs"))
 
 
-@query(f"WITH {E.SETTLEMENTS}, t AS (SELECT (SELECT CAST(sum(gross) AS DOUBLE) FROM stl) AS expected, (SELECT CAST(sum(actual) AS DOUBLE) FROM stl) AS actual, (SELECT CAST(sum(net + fee) AS DOUBLE) FROM stl) AS settled) SELECT *, expected = settled AS passed FROM t")
-def control_totals(spark, sf):
-    s = E.settlements(spark, sf)
-    return s.agg(*[F.coalesce(F.sum(e), F.lit(0)).cast("decimal(38,4)").alias(n) for e, n in ((F.col("gross"), "expected"), (F.col("actual"), "actual"), (F.col("net") + F.col("fee"), "settled"))]).withColumn("passed", F.col("expected") == F.col("settled"))
-
-
 @query("""SELECT 'lineitem_order' AS check_name, count(*) AS n_violations FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)
 UNION ALL SELECT 'order_customer', count(*) FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)
 UNION ALL SELECT 'customer_nation', count(*) FROM customer WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey)

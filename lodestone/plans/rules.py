@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import reward
 
 
-def qualify_offers(txns: DataFrame, offers: DataFrame) -> DataFrame:
-    """Each approved transaction with the first offer (by offer_id) of its program that is valid on its date and fits its code."""
-    a, b = txns.alias("t"), offers.alias("o")
-    fits = F.expr("t.program_id = o.program_id AND t.txn_date BETWEEN o.valid_from AND o.valid_to AND (o.eligible_mcc IS NULL OR o.eligible_mcc = t.mcc)")
-    hit = a.filter("t.status = 'APPROVED'").join(b, fits)
-    best = hit.groupBy("t.transaction_id").agg(F.min_by(F.struct("t.amount", "t.txn_date", "o.*"), F.col("o.offer_id")).alias("x"))
-    out = best.select("transaction_id", "x.amount", "x.txn_date", "x.offer_id", "x.offer_type", "x.offer_value", "x.min_amount")
+def qualify_offers(txns: DataFrame, offers: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Each approved transaction with the first offer (by offer_id) of its program that is valid on its date and fits its code; keep: more columns of txns.
+
+    Offers are spread over the months they are valid in, so a transaction meets those of its program and month only.
+    """
+    months = F.explode(F.sequence(F.trunc("valid_from", "month"), F.trunc("valid_to", "month"), F.expr("INTERVAL '1' MONTH")))
+    a, b = txns.filter("status = 'APPROVED'").withColumn("_month", F.trunc("txn_date", "month")).alias("t"), offers.filter("valid_from <= valid_to").withColumn("_month", months).alias("o")
+    fits = F.expr("t.program_id = o.program_id AND t._month = o._month AND t.txn_date BETWEEN o.valid_from AND o.valid_to AND (o.eligible_mcc IS NULL OR o.eligible_mcc = t.mcc)")
+    best = a.join(b, fits).groupBy("t.transaction_id").agg(F.min_by(F.struct("t.amount", "t.txn_date", *[f"t.{c}" for c in keep], "o.*"), F.col("o.offer_id")).alias("x"))
+    out = best.select("transaction_id", "x.amount", "x.txn_date", *[f"x.{c}" for c in keep], "x.offer_id", "x.offer_type", "x.offer_value", "x.min_amount")
     paid = reward(F.col("amount"), F.col("offer_type"), F.col("offer_value"), F.col("min_amount"))
     return out.withColumn("reward_amount", paid).withColumn("qualification_status", F.when(F.col("reward_amount") > 0, "QUALIFIED").otherwise("NOT_QUALIFIED"))
 

@@ -55,6 +55,19 @@ def write_snapshot(df: DataFrame, root: str, version: str) -> str:
     return path
 
 
+def read_current(spark: SparkSession, root: str) -> DataFrame | None:
+    """The last version below root by name; None if there is none."""
+    try:
+        found = spark.read.option("basePath", root).parquet(f"{root}/version=*")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    # versions are partitions, so only the last one's files are read
+    last = found.agg(F.max(F.col("version").cast("string"))).first()[0]
+    return found.filter(F.col("version").cast("string") == last).drop("version")
+
+
 def append_log(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     if not df.isEmpty():
         df.write.mode("append").partitionBy(*by).parquet(path)
