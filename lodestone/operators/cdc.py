@@ -12,31 +12,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ENVELOPE = "payload struct<op:string,before:string,after:string,source:struct<lsn:bigint,ts_ms:bigint,snapshot:string,table:string>>"
+ENVELOPE = """payload struct<op:string,before:string,after:string,
+ source:struct<connector:string,name:string,db:string,schema:string,table:string,lsn:bigint,ts_ms:bigint,snapshot:string>,
+ transaction:struct<id:string,total_order:bigint,data_collection_order:bigint>>"""
 STATE = "struct<lsn:bigint,deleted:boolean,digest:string,record:string>"
 
 
-def parse_envelope(df: DataFrame, value: str = "value", topic: str = "topic") -> DataFrame:
-    """Operation, images, position and table of raw messages; `problem` says why a message can't be used. A null value is a tombstone (t)."""
-    body = F.from_json(value, ENVELOPE)
-    x = df.withColumn("_b", body["payload"])
-    op = F.when(F.col(value).isNull(), "t").otherwise(F.col("_b.op"))
+def parse_envelope(df: DataFrame, value: str = "value", topic: str = "topic", key: str | None = None) -> DataFrame:
+    """Operation, images, position and origin of raw messages; `problem` says why a message can't be used. A null value is a tombstone (t); a key that isn't JSON is a problem too."""
+    x = df.withColumn("_b", F.from_json(value, ENVELOPE)["payload"])
+    b = F.col("_b")
+    op = F.when(F.col(value).isNull(), "t").otherwise(b["op"])
+    bad_key = F.lit(False) if key is None else F.col(key).isNotNull() & F.get_json_object(key, "$").isNull()
     problem = (
-        F.when(F.col(value).isNull(), None)
+        F.when(bad_key, "malformed_key").when(F.col(value).isNull(), None)
         .when(F.get_json_object(value, "$").isNull(), "malformed_json")
-        .when(F.col("_b").isNull(), "missing_payload")
-        .when(F.col("_b.op").isNull(), "missing_op")
-        .when(~F.col("_b.op").isin("r", "c", "u", "d"), "unknown_op")
-        .when((F.col("_b.op") == "d") & F.col("_b.before").isNull(), "missing_payload_for_operation")
-        .when((F.col("_b.op") != "d") & F.col("_b.after").isNull(), "missing_payload_for_operation")
-    )
+        .when(b.isNull(), "missing_payload")
+        .when(b["op"].isNull(), "missing_op")
+        .when(~b["op"].isin("r", "c", "u", "d"), "unknown_op")
+        .when((b["op"] == "d") & b["before"].isNull(), "missing_payload_for_operation")
+        .when((b["op"] != "d") & b["after"].isNull(), "missing_payload_for_operation")
+    )
+    source = b["source"]
     return x.withColumns({
-        "operation": op, "before": F.col("_b.before"), "after": F.col("_b.after"), "source_lsn": F.col("_b.source.lsn"),
-        "source_timestamp_ms": F.col("_b.source.ts_ms"), "snapshot_indicator": F.nullif(F.col("_b.source.snapshot"), F.lit("false")),
-        "source_table": F.element_at(F.split(topic, r"\."), -1), "problem": problem,
+        "event_key": F.lit(None).cast("string") if key is None else F.coalesce(F.get_json_object(key, "$.payload"), F.col(key)),
+        "operation": op, "before": b["before"], "after": b["after"], "source_lsn": source["lsn"], "source_timestamp_ms": source["ts_ms"],
+        "snapshot_indicator": F.nullif(source["snapshot"], F.lit("false")), "source_connector": source["connector"], "source_name": source["name"], "source_database": source["db"], "source_schema": source["schema"],
+        "source_table": F.element_at(F.split(topic, r"\."), -1), "transaction_id": b["transaction"]["id"], "transaction_total_order": b["transaction"]["total_order"],
+        "transaction_data_collection_order": b["transaction"]["data_collection_order"], "problem": problem,
     }).drop("_b")
 
 
+BRONZE = (
+    "source_topic", "kafka_partition", "kafka_offset", "event_key", "operation", "before", "after", "source_connector", "source_name", "source_schema", "source_table", "source_database", "source_lsn", "source_timestamp_ms",
+    "snapshot_indicator", "transaction_id", "transaction_total_order", "transaction_data_collection_order", "cdc_received_at_utc",
+)
+
+
+def bronze_records(parsed: DataFrame) -> DataFrame:
+    """The record that is kept of each usable message, with the time it was received."""
+    return parsed.filter("problem IS NULL").withColumn("cdc_received_at_utc", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")).select(*BRONZE)
+
+
 def unseen(events: DataFrame, checkpoint: DataFrame) -> DataFrame:
     """Events after their (topic, partition)'s checkpoint."""
     seen = checkpoint.select("source_topic", "kafka_partition", F.col("kafka_offset").alias("_seen"))
@@ -71,12 +88,12 @@ def _transition(now: tuple, op: str | None, lsn: int | None, digest: str | None)
 
 
 def fold_rows(events: DataFrame, key: str, state: DataFrame | None = None) -> DataFrame:
-    """(key, kafka_offset, disposition, state, is_last): a row an event of (key, kafka_offset, operation, source_lsn, digest, record), and at a key's end a row with its state and is_last. state: a stored one (key, state).
+    """(key, kafka_offset, disposition, state, is_last): a row an event other than a tombstone of (key, kafka_offset, operation, source_lsn, digest, record), and at a key's end a row with its state and is_last. state: a stored one (key, state).
 
     Rows pass in order and only the state of the key at hand is held, so a key may have any number of events.
     """
     by = [key, "_new", "kafka_offset", "operation", "source_lsn", "digest", "record"]
-    x = events.select(key, F.lit(True).alias("_new"), F.col("kafka_offset").cast("long").alias("kafka_offset"), "operation", F.col("source_lsn").cast("long").alias("source_lsn"), "digest", "record", F.lit(False).alias("_deleted"))
+    x = events.filter("operation IS NULL OR operation <> 't'").select(key, F.lit(True).alias("_new"), F.col("kafka_offset").cast("long").alias("kafka_offset"), "operation", F.col("source_lsn").cast("long").alias("source_lsn"), "digest", "record", F.lit(False).alias("_deleted"))
     if state is not None:
         old = state.select(key, F.lit(False).alias("_new"), F.lit(None).cast("long").alias("kafka_offset"), F.lit(None).cast("string").alias("operation"), F.col("state.lsn").alias("source_lsn"), "state.digest", "state.record", F.col("state.deleted").alias("_deleted"))
         x = x.unionByName(old)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def latest_wins(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], compare: str, order: str) -> DataFrame:
@@ -21,6 +23,14 @@ def insert_if_absent(target: DataFrame, source: DataFrame, keys: Sequence[str])
     return source.dropDuplicates(list(keys)).join(target, list(keys), "left_anti")
 
 
+def insert_counts(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row: source_rows, inserted, skipped (repeats of a key in source, and keys that the target has)."""
+    have = target.select(*keys).distinct().withColumn("_have", F.lit(True))
+    x = source.groupBy(*keys).agg(F.count("*").alias("_n")).join(have, list(keys), "left")
+    new = F.coalesce(F.count_if(F.col("_have").isNull()), F.lit(0))
+    return x.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("source_rows"), new.alias("inserted")).withColumn("skipped", F.col("source_rows") - F.col("inserted"))
+
+
 def append_immutable(published: DataFrame, batch: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:
     """batch with its disposition: appended, unchanged, or immutability_conflict with what is published (or came first)."""
     first = W.partitionBy(*keys).orderBy(order)
@@ -33,26 +43,65 @@ def append_immutable(published: DataFrame, batch: DataFrame, keys: Sequence[str]
     ).drop("_old", "_n", "_first")
 
 
-def fresh_upsert(state: DataFrame, batch: DataFrame, key: str, stamp: str, digest: str, order: str) -> DataFrame:
-    """(key, dispositions in batch order, stamp, digest of the result): each key's rows are applied one after the other.
+def _freshness(now: tuple, stamp, digest: str | None) -> str:
+    at, held = now
+    if held is None:
+        return "inserted"
+    if held == digest:
+        return "unchanged"
+    if at is None or stamp is None or at == stamp:
+        return "upsert_conflict"
+    return "updated" if stamp > at else "stale_skipped"
+
+
+def fresh_upsert_rows(state: DataFrame, batch: DataFrame, key: str, stamp: str, digest: str, order: str) -> DataFrame:
+    """(key, order, disposition, stamp, digest, is_last): a row for each of the batch's, and at a key's end one with what it holds by then.
 
     inserted if the key is absent; unchanged if the digest is the same; otherwise updated by a newer
-    stamp, stale_skipped by an older one, upsert_conflict by an equal or missing one.
+    stamp, stale_skipped by an older one, upsert_conflict by an equal or missing one. A key's rows pass in
+    order, and only what the key holds is kept.
     """
-    rows = batch.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(stamp).alias("s"), F.col(digest).alias("d")))).alias("rows"))
-    old = state.select(key, F.col(stamp).alias("_s"), F.col(digest).alias("_d"))
-    start = F.struct(F.col("_s").alias("s"), F.col("_d").alias("d"), F.expr("cast(array() as array<string>)").alias("log"))
-
-    def step(a, r):
-        say = (
-            F.when(a["d"].isNull(), "inserted").when(a["d"] == r["d"], "unchanged").when(a["s"].isNull() | r["s"].isNull(), "upsert_conflict")
-            .when(r["s"] > a["s"], "updated").when(r["s"] < a["s"], "stale_skipped").otherwise("upsert_conflict")
-        )
-        takes = say.isin("inserted", "updated")
-        return F.struct(F.when(takes, r["s"]).otherwise(a["s"]).alias("s"), F.when(takes, r["d"]).otherwise(a["d"]).alias("d"), F.concat(a["log"], F.array(say)).alias("log"))
-
-    x = rows.join(old, key, "left").withColumn("out", F.aggregate("rows", start, step))
-    return x.select(key, F.col("out.log").alias("dispositions"), F.col("out.s").alias(stamp), F.col("out.d").alias(digest))
+    new = batch.select(key, F.lit(1).alias("_new"), order, stamp, digest)
+    old = state.select(key, F.lit(0).alias("_new"), F.lit(None).cast(new.schema[order].dataType).alias(order), F.col(stamp).cast(new.schema[stamp].dataType).alias(stamp), digest)
+    kinds = {n: new.schema[n].dataType for n in (key, order, stamp, digest)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, at, now, shape = False, None, (None, None), None
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            types = (shape.field(key).type, shape.field(order).type, pa.string(), shape.field(stamp).type, shape.field(digest).type, pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[key, order, "disposition", stamp, digest, "is_last"])
+
+        for b in batches:
+            shape, rows = b.schema, []
+            for k, is_new, o, s, d in zip(*(b.column(c).to_pylist() for c in (key, "_new", order, stamp, digest)), strict=True):
+                if not begun or k != at:
+                    if begun:
+                        rows.append((at, None, None, *now, True))
+                    begun, at, now = True, k, (None, None)
+                if not is_new:
+                    now = s, d
+                    continue
+                say = _freshness(now, s, d)
+                if say in ("inserted", "updated"):
+                    now = s, d
+                rows.append((k, o, say, s, d, False))
+            yield out(rows)
+        if begun:
+            yield out([(at, None, None, *now, True)])
+
+    schema = T.StructType([T.StructField(key, kinds[key]), T.StructField(order, kinds[order]), T.StructField("disposition", T.StringType()), T.StructField(stamp, kinds[stamp]), T.StructField(digest, kinds[digest]), T.StructField("is_last", T.BooleanType())])
+    return old.unionByName(new).repartition(F.col(key)).sortWithinPartitions(key, "_new", order, stamp, digest).mapInArrow(run, schema)
+
+
+def fresh_upsert(state: DataFrame, batch: DataFrame, key: str, stamp: str, digest: str, order: str) -> DataFrame:
+    """fresh_upsert_rows as one row a key of the batch: (key, dispositions in batch order, stamp, digest). Holds a key's dispositions in one row."""
+    x = fresh_upsert_rows(state, batch, key, stamp, digest, order)
+    log = F.transform(F.sort_array(F.collect_list(F.when(~F.col("is_last"), F.struct(order, "disposition")))), lambda r: r["disposition"])
+    last = F.max(F.when(F.col("is_last"), F.struct(stamp, digest)))
+    out = x.groupBy(key).agg(log.alias("dispositions"), last.alias("_last")).filter(F.size("dispositions") > 0)
+    return out.select(key, "dispositions", F.col("_last")[stamp].alias(stamp), F.col("_last")[digest].alias(digest))
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -48,7 +48,8 @@ def dirty_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS seq",
         "CASE WHEN o_orderkey % 53 = 0 THEN ' ' WHEN o_orderkey % 41 = 0 THEN cast(o_orderkey + 1 AS string) ELSE cast(o_orderkey AS string) END AS transaction_id",
-        "cast(o_custkey AS string) AS merchant_id",
+        "CASE WHEN o_orderkey % 83 = 0 THEN '' ELSE cast(o_custkey AS string) END AS merchant_id", "concat('Shop ', cast(o_custkey % 700 AS string), ' ') AS merchant_name",
+        "cast(5000 + o_orderkey % 40 AS string) AS mcc", "CASE o_custkey % 4 WHEN 0 THEN 'gb' WHEN 1 THEN ' FR' WHEN 2 THEN 'de' ELSE 'ES' END AS country_code",
         "CASE WHEN o_orderkey % 59 = 0 THEN 'N/A' WHEN o_orderkey % 61 = 0 THEN '-15.00' ELSE cast(cast(o_totalprice AS decimal(18,2)) AS string) END AS amount",
         "CASE WHEN o_orderkey % 67 = 0 THEN 'XXX' WHEN o_orderkey % 71 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 'usd' WHEN o_orderkey % 3 = 1 THEN ' EUR' ELSE 'GBP' END AS currency_code",
         "CASE WHEN o_orderkey % 73 = 0 THEN 'not-a-date' ELSE cast(cast(o_orderdate AS date) AS string) END AS transaction_timestamp",
@@ -59,7 +60,8 @@ def dirty_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DIRTY = f"""dirty AS (SELECT o_orderkey AS seq,
   CASE WHEN o_orderkey % 53 = 0 THEN ' ' WHEN o_orderkey % 41 = 0 THEN CAST(o_orderkey + 1 AS VARCHAR) ELSE CAST(o_orderkey AS VARCHAR) END AS transaction_id,
-  CAST(o_custkey AS VARCHAR) AS merchant_id,
+  CASE WHEN o_orderkey % 83 = 0 THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS merchant_id, 'Shop ' || CAST(o_custkey % 700 AS VARCHAR) || ' ' AS merchant_name,
+  CAST(5000 + o_orderkey % 40 AS VARCHAR) AS mcc, CASE o_custkey % 4 WHEN 0 THEN 'gb' WHEN 1 THEN ' FR' WHEN 2 THEN 'de' ELSE 'ES' END AS country_code,
   CASE WHEN o_orderkey % 59 = 0 THEN 'N/A' WHEN o_orderkey % 61 = 0 THEN '-15.00' ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS amount,
   CASE WHEN o_orderkey % 67 = 0 THEN 'XXX' WHEN o_orderkey % 71 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 'usd' WHEN o_orderkey % 3 = 1 THEN ' EUR' ELSE 'GBP' END AS currency_code,
   CASE WHEN o_orderkey % 73 = 0 THEN 'not-a-date' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS transaction_timestamp,
@@ -67,10 +69,12 @@ DIRTY = f"""dirty AS (SELECT o_orderkey AS seq,
   lower(o_orderpriority) AS card_network FROM orders),
 flagged AS (SELECT *, array_to_string(list_filter([
   CASE WHEN trim(transaction_id) = '' THEN 'missing_transaction_id' END,
+  CASE WHEN trim(merchant_id) = '' THEN 'missing_merchant_id' END,
   CASE WHEN coalesce(TRY_CAST(amount AS DECIMAL(18,2)), 0) <= 0 THEN 'invalid_amount' END,
   CASE WHEN coalesce(upper(trim(currency_code)) NOT IN ('GBP', 'EUR', 'USD'), TRUE) THEN 'invalid_currency' END,
   CASE WHEN TRY_CAST(transaction_timestamp AS TIMESTAMP) IS NULL THEN 'invalid_timestamp' END,
   CASE WHEN upper(trim(transaction_status)) NOT IN ('APPROVED', 'DECLINED', 'PENDING', 'REFUNDED') THEN 'invalid_status' END], lambda x: x IS NOT NULL), ';') AS reason FROM dirty),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY seq) AS n FROM flagged WHERE reason = ''),
 silver AS (SELECT trim(transaction_id) AS transaction_id, merchant_id, CAST(amount AS DECIMAL(18,2)) AS amount, upper(trim(currency_code)) AS currency_code,
-  CAST(transaction_timestamp AS DATE) AS txn_date, upper(trim(transaction_status)) AS transaction_status, upper(trim(card_network)) AS card_network FROM ranked WHERE n = 1)"""
+  CAST(transaction_timestamp AS DATE) AS txn_date, upper(trim(transaction_status)) AS transaction_status, upper(trim(card_network)) AS card_network,
+  trim(merchant_name) AS merchant_name, mcc, upper(trim(country_code)) AS country_code FROM ranked WHERE n = 1)"""

@@ -29,7 +29,7 @@ def rejection_reasons(spark, sf):
     return gates.accounting(_silver(spark, sf)[1], "rejection_reason")
 
 
-for _name, _col in (("status_summary", "transaction_status"), ("currency_summary", "currency_code"), ("card_network_summary", "card_network"), ("merchant_summary", "merchant_id")):
+for _name, _col in (("status_summary", "transaction_status"), ("currency_summary", "currency_code"), ("card_network_summary", "card_network"), ("mcc_summary", "mcc"), ("country_summary", "country_code")):
 
     def _summary(spark, sf, col=_col):
         return silver.summarize(_silver(spark, sf)[0], col)
@@ -38,6 +38,23 @@ for _name, _col in (("status_summary", "transaction_status"), ("currency_summary
     query(f"WITH {E.DIRTY} SELECT {_col}, {COUNTS} FROM silver GROUP BY {_col}")(_summary)
 
 
+@query(f"""WITH {E.DIRTY}, m AS (SELECT CAST(row_number() OVER (ORDER BY merchant_id, merchant_name) AS INT) AS merchant_key, merchant_id, merchant_name FROM (SELECT DISTINCT merchant_id, merchant_name FROM silver))
+ SELECT m.merchant_key, m.merchant_id, m.merchant_name, {COUNTS} FROM silver s LEFT JOIN m ON s.merchant_id = m.merchant_id AND s.merchant_name = m.merchant_name GROUP BY ALL""")
+def merchant_summary(spark, sf):
+    star = silver.star(_silver(spark, sf)[0])
+    return silver.merchant_summary(*star[:2])
+
+
+@query(f"""WITH {E.DIRTY}, m AS (SELECT merchant_id FROM (SELECT DISTINCT merchant_id, merchant_name FROM silver) GROUP BY merchant_id HAVING count(*) > 1), f AS (SELECT * FROM silver)
+ SELECT * FROM (SELECT 'rows differ' AS check_name, CAST(0 AS BIGINT) AS n_violations UNION ALL SELECT 'repeated transaction_id', (SELECT count(*) FROM (SELECT transaction_id FROM f GROUP BY 1 HAVING count(*) > 1))
+ UNION ALL SELECT 'missing merchant_key', 0 UNION ALL SELECT 'missing date_key', 0 UNION ALL SELECT 'merchant_key not in dimension', 0 UNION ALL SELECT 'date_key not in dimension', 0
+ UNION ALL SELECT 'amount not positive', (SELECT count(*) FROM f WHERE amount <= 0) UNION ALL SELECT 'repeated merchant_id', (SELECT count(*) FROM m) UNION ALL SELECT 'repeated date_key', 0)""")
+def star_checks(spark, sf):
+    """The dirty track's star against its silver rows."""
+    good = _silver(spark, sf)[0]
+    return silver.star_checks(good, *silver.star(good))
+
+
 @query(f"WITH {E.DIRTY}, d AS (SELECT CASE WHEN reason <> '' THEN 'rejected' WHEN n > 1 THEN 'duplicate' ELSE 'silver' END AS disposition FROM flagged LEFT JOIN ranked USING (seq, reason)) SELECT disposition, count(*) AS n_rows FROM d GROUP BY disposition")
 def disposition_accounting(spark, sf):
     good, bad = _silver(spark, sf)
@@ -172,14 +189,15 @@ def dim_date(spark, sf):
     return days.select("full_date", *[c.alias(n) for n, c in X.iso_calendar(F.col("full_date")).items()])
 
 
-@query("""WITH old AS (SELECT p_type, CAST(row_number() OVER (ORDER BY p_type) AS INT) AS surrogate_key FROM (SELECT DISTINCT p_type FROM part WHERE p_partkey % 2 = 0)),
-new AS (SELECT p_name, CAST(row_number() OVER (ORDER BY p_name) AS INT) AS surrogate_key FROM (SELECT DISTINCT p_name FROM part)) SELECT p_name, surrogate_key FROM new UNION ALL SELECT 'UNKNOWN', -1""")
+@query("""WITH old AS (SELECT p_name, CAST(row_number() OVER (ORDER BY p_name) AS INT) AS surrogate_key FROM (SELECT DISTINCT p_name FROM part WHERE p_size <= 2)),
+new AS (SELECT p_name, CAST((SELECT max(surrogate_key) FROM old) + row_number() OVER (ORDER BY p_name) AS INT) AS surrogate_key FROM (SELECT DISTINCT p_name FROM part WHERE p_name NOT IN (SELECT p_name FROM old)))
+SELECT p_name, surrogate_key FROM old UNION ALL SELECT p_name, surrogate_key FROM new UNION ALL SELECT 'UNKNOWN', -1""")
 def registry_keys(spark, sf):
+    """Keys given out for the small parts stay; all other names are numbered after them."""
+    part = E.table(spark, sf, "part")
     empty = spark.createDataFrame([], "p_name string, surrogate_key int")
-    return keys.with_unknown(keys.assign_keys(E.table(spark, sf, "part"), empty, "p_name"), "surrogate_key", "p_name")
-
-
-DAILY = "daily AS (SELECT CAST(o_orderdate AS DATE) AS rate_date, CAST(o_custkey % 5 AS INT) AS base, CAST(avg(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS rate, count(*) AS n FROM orders GROUP BY 1, 2)"
+    old = keys.assign_keys(part.filter("p_size <= 2"), empty, "p_name")
+    return keys.with_unknown(keys.assign_keys(part, old, "p_name"), "surrogate_key", "p_name")
 
 
 @query("""WITH f AS (SELECT DISTINCT o_custkey, max(o_orderkey) OVER (PARTITION BY o_custkey) AS k FROM orders), pub AS (SELECT o_custkey, k FROM f WHERE o_custkey % 2 = 0),
@@ -198,10 +216,18 @@ def latest_wins_merge(spark, sf):
     return merge.latest_wins(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), ["user_id"], "event_type", "event_id")
 
 
-@query("SELECT user_id, min(event_id) AS first_event FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 10 = 0) GROUP BY user_id")
+@query("SELECT user_id, min(event_id) AS first_event FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND user_id % 3 = 0) GROUP BY user_id")
 def insert_if_absent(spark, sf):
     e = E.table(spark, sf, "events")
-    return merge.insert_if_absent(e.filter("event_id % 10 = 0").select("user_id").distinct(), e.groupBy("user_id").agg(F.min("event_id").alias("first_event")), ["user_id"])
+    have = e.filter("event_type = 'purchase' AND user_id % 3 = 0").select("user_id").distinct()
+    return merge.insert_if_absent(have, e.groupBy("user_id").agg(F.min("event_id").alias("first_event")), ["user_id"])
+
+
+@query("""WITH h AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND user_id % 3 = 0), s AS (SELECT DISTINCT user_id FROM events)
+SELECT count(*) AS source_rows, count(*) FILTER (user_id NOT IN (SELECT user_id FROM h)) AS inserted, count(*) FILTER (user_id IN (SELECT user_id FROM h)) AS skipped FROM s""")
+def insert_counts(spark, sf):
+    e = E.table(spark, sf, "events").select("user_id", "event_type")
+    return merge.insert_counts(e.filter("event_type = 'purchase' AND user_id % 3 = 0").select("user_id"), e.select("user_id").distinct(), ["user_id"])
 
 
 @query("""WITH f AS (SELECT o_custkey AS k, max(o_orderkey) AS s FROM orders GROUP BY o_custkey),
@@ -225,19 +251,6 @@ def _changes(spark, sf, late: bool = True):
     )
 
 
-@query()
-def cdc_current_state(spark, sf):
-    """Out-of-order change events folded into one state a key; checked against a row-by-row version in the tests."""
-    x = cdc.fold_rows(_changes(spark, sf), "user_id").filter("is_last")
-    return x.select("user_id", F.col("state.lsn").alias("lsn"), F.col("state.deleted").alias("is_deleted"), F.col("state.digest").alias("digest"))
-
-
-@query()
-def cdc_dispositions(spark, sf):
-    x = cdc.fold_rows(_changes(spark, sf), "user_id").filter("NOT is_last")
-    return gates.accounting(x.select("disposition"), "disposition")
-
-
 @query(f"""WITH c AS (SELECT user_id, event_id AS kafka_offset, {CHANGE} AS op, lag({CHANGE}) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events)
 SELECT CASE WHEN op <> 'd' AND coalesce(prev, 'd') <> 'd' THEN 'duplicate_primary_key' ELSE 'appended' END AS disposition, count(*) AS n_rows FROM c GROUP BY 1""")
 def cdc_event_log(spark, sf):
@@ -272,9 +285,9 @@ def watermark_scan(spark, sf):
     return t.join(F.broadcast(mark), F.col("txn_date") > F.col("wm")).groupBy("txn_date").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' ORDER BY o_orderkey LIMIT 1000")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' ORDER BY o_orderkey LIMIT 10000")
 def capped_extract(spark, sf):
-    return E.table(spark, sf, "orders").filter("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'").orderBy("o_orderkey").limit(1000).select("o_orderkey", "o_custkey")
+    return E.table(spark, sf, "orders").filter("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'").orderBy("o_orderkey").limit(10_000).select("o_orderkey", "o_custkey")
 
 
 @query("""SELECT l_orderkey, first(CASE WHEN l_linenumber % 2 = 0 THEN l_partkey END ORDER BY l_linenumber, l_partkey) FILTER (l_linenumber % 2 = 0) AS part, min(l_linenumber) AS line
