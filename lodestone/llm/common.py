@@ -53,7 +53,7 @@ def set_aside(df: DataFrame, known: tuple[str, ...] = DOCUMENT) -> tuple[DataFra
 
 def put_back(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """Gives set_aside's columns their names; one that df has itself by now gets _in appended."""
-    have, back = {c.lower() for c in df.columns}, {}
+    have, back = {c.lower() for c in df.columns if c not in names}, {}
     for k, c in names.items():
         while c.lower() in have:
             c += "_in"
