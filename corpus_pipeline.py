@@ -33,15 +33,14 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Each document as often as the mix takes it; columns named like the mix's own come through as they are."""
     docs, own = set_aside(docs)
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    mixed = mixing.mix(docs, words(F.col("text")), mixing.quality_weight(F.col("text")), keep=rest).filter("copies > 0")
+    mixed = mixing.mix(docs, words(F.col("text")), lambda size: mixing.quality_weight(F.col("text"), size), keep=rest).filter("copies > 0")
     mixed = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
     return put_back(mixed, own)
 
 
 def uniform_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents, with shard and slot; columns that already have these names become shard_in and slot_in."""
-    docs, own = set_aside(docs)
-    return put_back(sharding.hypergeometric_shuffle(docs, 24, ("doc_id", "text")), own)
+    return sharding.hypergeometric_shuffle(docs, 24)
 
 
 STAGES = [

@@ -5,32 +5,40 @@ documents by rising key is weighted sampling without replacement. A source's tar
 epochs of all its documents first; what is left is spent on the documents with the smallest
 keys, by prefix sums of their sizes. A document is taken into that last part when the middle
 of its span lies inside the budget, which leaves each source within half a document of its
-target.
+target. What is taken is thus a prefix in the order of the keys, and a source's last one taken says it all:
+only keys and sizes are sorted, and the documents themselves stay where they lie.
 
-Prefix sums run inside key ranges (floor of B(1-exp(-key))), and the ranges' totals are added up in
-a table of B rows a source, so that a source with a third of all rows is spread over tasks.
+Prefix sums run inside key ranges (floor of R(1-exp(-key)), of about ROWS_PER_RANGE rows for the largest
+source), and the ranges' totals are added up in a table of R rows a source, so that a source with a
+third of all rows is spread over tasks. The table of sources itself, a row each, is one task's.
 
 Null text: size 0. Null source: a source of its own, last. Size-0 documents take 0 words. Rows
-with equal ids share a key and are ordered by size. Empty table: empty result. Clashing column
-names raise ValueError.
+with equal ids share a key and are ordered by size, and by their place in what is stored. Empty table:
+empty result. Columns of the input named like the results' own get _in appended.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import spool, table, words
+from .common import put_back, set_aside, spool, table, words
 
-WEIGHTS, CAP, RANGES, SEED = (5, 2, 1), 3, 64, "mix-1"
+WEIGHTS, CAP, ROWS_PER_RANGE, SEED = (5, 2, 1), 3, 200_000, "mix-1"
+BLANKS = " \t\n\x0b\x0c\r"
+ORDER = ("_key", "doc_id", "size", "_row")
 
 
-def quality_weight(text) -> F.Column:
-    """1 for a text without markup symbols, falling with their share, never under 0.05."""
+def quality_weight(text: Column, size: Column) -> Column:
+    """1 for plain prose; less by 5 times the share of markup symbols and twice that of digits, half of it if words are short or long on average; 0.05 at least. size: number of words."""
     n = F.length(text)
-    symbols = n - F.length(F.translate(text, "#*$%&|<>", ""))
-    return F.coalesce(F.greatest(F.lit(0.05), 1.0 - 5.0 * symbols / F.greatest(n, F.lit(1))), F.lit(0.05))
+    without = lambda some: n - F.length(F.translate(text, some, ""))
+    mean = (n - without(BLANKS)) / F.greatest(size, F.lit(1))
+    share = 1.0 - (5.0 * without("#*$%&|<>") + 2.0 * without("0123456789")) / F.greatest(n, F.lit(1))
+    return F.coalesce(F.greatest(F.lit(0.05), share * F.when(mean.between(3, 10), 1.0).otherwise(0.5)), F.lit(0.05))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -56,35 +64,39 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
     )
 
 
-def mix(docs: DataFrame, size: F.Column, weight: F.Column, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, the columns in keep, size, source_size, target, copies (long: how often the mix takes the document)."""
-    if clash := {"size", "source_size", "target", "copies"} & set(keep):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+def mix(docs: DataFrame, size: Column, weight: Callable[[Column], Column], weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, the columns in keep, size, source_size, target, copies (long: how often the mix takes the document). weight: of the column of sizes."""
+    docs, own = set_aside(docs)
+    own = {k: c for k, c in own.items() if c in keep}
+    keep = tuple(dict.fromkeys(["doc_id", "source", *(k for k, c in own.items()), *(c for c in keep if c in docs.columns)]))
     digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 13)
     u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
-    base = docs.select("doc_id", "source", *keep, size.alias("size"), (-F.log(u) / weight).alias("_key"))
-    base = base.withColumn("_range", F.floor(RANGES * (1 - F.exp(-F.col("_key")))).cast("int"))
-    base = spool(base, "keys")
-    parts = spool(base.groupBy("source", "_range").agg(F.sum("size").alias("_sum")), "ranges")
+    base = docs.withColumn("size", size).withColumn("_key", -F.log(u) / weight(F.col("size")))
+    base = spool(base.select(*keep, "size", "_key", F.monotonically_increasing_id().alias("_row")), "keys")
+    most = base.groupBy("source").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    ranges = max(64, most // ROWS_PER_RANGE)
+    keys = base.select("source", "doc_id", "size", "_key", "_row", F.floor(ranges * (1 - F.exp(-F.col("_key")))).cast("int").alias("_range"))
+    parts = spool(keys.groupBy("source", "_range").agg(F.sum("size").alias("_sum")), "ranges")
     sources = targets(parts.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, cap)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    sources = spool(sources.withColumn("_epochs", epochs), "sources")
     before = W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     starts = parts.withColumn("_from", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    starts = (
-        starts.alias("a").join(sources.alias("b"), F.expr("a.source <=> b.source")).select("a.source", "_range", "_from", "source_size", "target")
-    )
-    within = W.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    x = base.withColumn("_upto", F.sum("size").over(within))
-    x = x.alias("a").join(starts.alias("b"), F.expr("a.source <=> b.source and a._range = b._range")).select("a.*", "_from", "source_size", "target")
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    x = x.withColumn("_epochs", epochs.cast("long"))
-    left = F.col("target") - F.col("_epochs") * F.col("source_size")
-    chosen = (F.col("size") > 0) & (left > 0) & ((F.col("_from") + F.col("_upto")) - F.col("size") / 2.0 <= left)
-    return x.withColumn("copies", F.col("_epochs") + chosen.cast("long")).select("doc_id", "source", *keep, "size", "source_size", "target", "copies")
+    starts = starts.alias("a").join(sources.alias("b"), F.expr("a.source <=> b.source")).select("a.*", (F.col("target") - F.col("_epochs") * F.col("source_size")).alias("_left"))
+    within = W.partitionBy("source", "_range").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0)
+    x = keys.withColumn("_upto", F.sum("size").over(within))
+    x = x.alias("a").join(starts.alias("b"), F.expr("a.source <=> b.source and a._range = b._range")).select("a.*", "_from", "_left")
+    chosen = x.filter((F.col("_left") > 0) & (F.col("_from") + F.col("_upto") - F.col("size") / 2.0 <= F.col("_left")))
+    last = sources.alias("a").join(chosen.groupBy("source").agg(F.max(F.struct(*ORDER)).alias("_last")).alias("b"), F.expr("a.source <=> b.source"), "left").select("a.*", "_last")
+    x = base.alias("a").join(spool(last, "last").alias("b"), F.expr("a.source <=> b.source")).select("a.*", "source_size", "target", "_epochs", "_last")
+    taken = (F.col("size") > 0) & F.coalesce(F.struct(*ORDER) <= F.col("_last"), F.lit(False))
+    out = x.withColumn("copies", F.col("_epochs") + taken.cast("long")).select(*keep, "size", "source_size", "target", "copies")
+    return put_back(out, own)
 
 
 def op9_weighted_mixing(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = mix(docs, words(F.col("text")), quality_weight(F.col("text")))
+    out = mix(docs, words(F.col("text")), lambda size: quality_weight(F.col("text"), size))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -92,7 +104,9 @@ MIX_SQL = f"""
 WITH base AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
     (CAST(('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u,
-    coalesce(greatest(0.05::DOUBLE, 1.0::DOUBLE - 5.0::DOUBLE * (length(text) - length(translate(text, '#*$%&|<>', ''))) / greatest(length(text), 1)), 0.05::DOUBLE) AS w
+    length(text) AS n, n - length(translate(text, '#*$%&|<>', '')) AS symbols, n - length(translate(text, '0123456789', '')) AS digits,
+    length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) / CAST(greatest(size, 1) AS DOUBLE) AS mean,
+    coalesce(greatest(0.05::DOUBLE, (1.0::DOUBLE - (5.0::DOUBLE * symbols + 2.0::DOUBLE * digits) / greatest(n, 1)) * CASE WHEN mean BETWEEN 3 AND 10 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END), 0.05::DOUBLE) AS w
   FROM documents),
 keyed AS (SELECT *, -ln(u) / w AS k FROM base),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY source),
