@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +38,8 @@ def read_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def latest_run(df: DataFrame, run: str = "run_id") -> DataFrame:
     """The rows of the last run by name."""
     last = df.agg(F.max(run).alias("_last"))
+    if last.first()[0] is None:
+        raise FileNotFoundError("there is no run")
     return df.join(F.broadcast(last), F.col(run) == F.col("_last")).drop("_last")
 
 
@@ -73,6 +75,53 @@ def append_log(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
         df.write.mode("append").partitionBy(*by).parquet(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def append_part(df: DataFrame, path: str, by: Sequence[str], run_id: str) -> None:
+    """Adds a run's rows below the partitions of by; a run that has been added is refused, so parts never change."""
+    done = f"{path}/_runs/{run_id}"
+    if _exists(df.sparkSession, done):
+        raise FileExistsError(f"{run_id} has been added")
+    if not df.isEmpty():
+        df.write.mode("append").partitionBy(*by).parquet(path)
+    df.sparkSession.range(1).selectExpr(f"'{run_id}' AS run_id").write.json(done)
+
+
+def write_metadata(raw: DataFrame, suite: DataFrame, run_dir: str, source: str, **extra: str | None) -> None:
+    """What is known of a captured batch: its rows, fields, checks, and what else the caller gives."""
+    passed = suite.agg(F.bool_and("passed").alias("passed"), F.collect_list(F.struct("check_name", "n_failures", "passed")).alias("checks"))
+    x = raw.agg(F.count("*").alias("record_count")).crossJoin(F.broadcast(passed))
+    x = x.select(F.lit(source).alias("source_name"), "*", F.array(*map(F.lit, raw.columns)).alias("fields"), *[F.lit(v).cast("string").alias(k) for k, v in extra.items()])
+    x.write.option("ignoreNullFields", False).json(f"{run_dir}/metadata")
+
+
+def read_metadata(spark: SparkSession, run_dir: str) -> DataFrame:
+    """A batch's metadata; without any the batch can't be used, which is an error."""
+    if not _exists(spark, f"{run_dir}/metadata"):
+        raise FileNotFoundError(f"{run_dir} has no metadata")
+    return spark.read.json(f"{run_dir}/metadata")
+
+
+def materialise(tables: Mapping[str, DataFrame], root: str, version: str) -> None:
+    """Writes each table as a new version and shows the versions as views."""
+    for name, df in tables.items():
+        df.sparkSession.read.parquet(write_snapshot(df, f"{root}/{name}", version)).createOrReplaceTempView(name)
+
+
+REJECTION = "dataset string, run_id string, record_id string, raw_record string, failing_check_name string, error_reason string, rejected_at timestamp"
+
+
+def read_quarantine(spark: SparkSession, path: str, dataset: str | None = None, run_id: str | None = None) -> DataFrame:
+    """Rejections, of a dataset or a run if given; none if nothing was ever rejected."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], REJECTION)
+    x = spark.read.schema(REJECTION).json(path)
+    return x.filter(F.lit(True) if dataset is None else F.col("dataset") == dataset).filter(F.lit(True) if run_id is None else F.col("run_id") == run_id)
+
+
 def write_quarantine(rejected: DataFrame, path: str) -> None:
     """Appends rejections as JSON by dataset and run; a clean batch writes nothing."""
     if not rejected.isEmpty():

@@ -1,4 +1,3 @@
-import decimal
 import random
 
 import pytest
@@ -6,8 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scalars as X
 from lodestone.operators import cdc, checks, dedupe, gates, keys, merge
-from lodestone.plans import delivery, rules
-from lodestone.sources import files
+from lodestone.plans import rules
 from lodestone.streaming import changes
 
 
@@ -144,12 +142,3 @@ def test_reward_rules(spark):
     txns = spark.createDataFrame([(1, 1, "X", "APPROVED"), (2, 1, "Y", "APPROVED"), (3, 1, "X", "DECLINED")], "transaction_id int, program_id int, mcc string, status string")
     txns = txns.withColumns({"txn_date": F.to_date(F.lit("2024-06-01")), "amount": F.lit(10).cast("decimal(18,2)")})
     assert {r["transaction_id"]: r["offer_id"] for r in rules.qualify_offers(txns, offers).collect()} == {1: 1, 2: 2}
-
-
-def test_delivery_is_whole_or_nothing(spark, tmp_path):
-    df = spark.createDataFrame([("a", decimal.Decimal("1.50")), ("b", decimal.Decimal("2.00"))], "g string, v decimal(18,2)")
-    assert delivery.deliver(df, str(tmp_path), "run1", ["g"], control="v") == 2
-    with pytest.raises(gates.GateError):
-        delivery.deliver(df.unionByName(df), str(tmp_path), "run2", ["g"], control="v")
-    assert not (tmp_path / "run2").exists()
-    assert files.read_snapshot(spark, str(tmp_path / "none"), "a int").count() == 0
