@@ -19,11 +19,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import put_back, set_aside, slices, spool, table, word_of
+from .common import DOCUMENT, put_back, set_aside, spool, table, word_of
 
 MIN_WORDS, THRESHOLD, ROUNDS = 50, 0.5, 60
 #: Very common short words of English, French, German and Spanish.
@@ -84,21 +85,21 @@ def stats_of(text: str | None) -> tuple[int, ...]:
 
 
 def add_stats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep, and the counts of STATS."""
+    """The columns in keep, and the counts of STATS; kept columns named like a count get _in appended."""
+    docs, own = set_aside(docs, (*DOCUMENT, text))
+    keep = tuple(k for k in docs.columns if own.get(k, k) in keep)
     names = [x.split()[0] for x in STATS.split(", ")]
-    if clash := set(names) & set(keep):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    read = docs.select(*keep, F.col(text).alias("_text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b[text].tolist()
-            for i, j in slices(texts):
-                out = b.iloc[i:j][list(keep)].reset_index(drop=True)
-                rows = np.array([stats_of(x) for x in texts[i:j]], np.int64).reshape(-1, len(names))
-                yield pd.concat([out, pd.DataFrame(rows, columns=names)], axis=1)
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, *([] if text in keep else [text])).mapInPandas(run, f"{kept}, {STATS}")
+            rows = np.array([stats_of(x.as_py()) for x in b.column(len(keep))], np.int64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *map(pa.array, np.ascontiguousarray(rows.T))], names=[*keep, *names])
+
+    kept = T.StructType(read.schema.fields[:-1])
+    for x in STATS.split(", "):
+        kept = kept.add(x.split()[0], T.LongType())
+    return put_back(read.mapInArrow(run, kept), {k: c for k, c in own.items() if k in keep})
 
 
 def rules() -> dict[str, Column]:
