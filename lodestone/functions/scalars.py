@@ -103,3 +103,8 @@ def campaign_status(start: Column, end: Column, today: Column) -> Column:
 
 def match_status(variance: Column) -> Column:
     return F.when(variance == 0, "MATCHED").otherwise("EXCEPTION")
+
+
+def run_id(now: Column | None = None) -> Column:
+    """run_ and the time in UTC, so that names sort by time."""
+    return F.concat(F.lit("run_"), F.date_format(F.current_timestamp() if now is None else now, "yyyyMMdd'T'HHmmss'Z'"))

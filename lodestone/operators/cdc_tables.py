@@ -43,6 +43,11 @@ def specs() -> dict[str, tuple[TableSpec, str]]:
     return out
 
 
+def key_text(spec: TableSpec) -> Column:
+    """The key as a JSON array."""
+    return F.to_json(F.array(F.col(spec.key).cast("string")))
+
+
 def schema_of(spec: TableSpec) -> str:
     return ", ".join(f"`{c.name}` {c.kind}" for c in spec.columns)
 

@@ -91,3 +91,9 @@ def column_tests(df: DataFrame, unique: Sequence[str] = (), not_null: Sequence[s
     out = [nulls.unpivot([], nulls.columns, "test", "n_failures")] if nulls is not None else []
     out += [repeated_keys(df.filter(F.col(c).isNotNull()), [c]).agg(F.count("*").alias("n_failures")).select(F.lit(f"unique_{c}").alias("test"), "n_failures") for c in unique]
     return reduce(DataFrame.unionByName, out)
+
+
+def missing_measures(df: DataFrame, measures: Sequence[str]) -> DataFrame:
+    """(check_name, n_violations): rows without a measure, in one pass."""
+    one = df.agg(*[F.count_if(F.col(m).isNull()).alias(m) for m in measures])
+    return one.unpivot([], list(measures), "check_name", "n_violations")

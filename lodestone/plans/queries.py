@@ -175,13 +175,6 @@ def batch_profile(spark, sf):
     return checks.profile(E.dirty_transactions(spark, sf), ["transaction_id", "currency_code"], ["transaction_id"], {"amount": r"\d+\.\d{2}$"})
 
 
-@query(f"""WITH {E.SETTLEMENTS}, v AS (SELECT l_orderkey, unnest([CASE WHEN actual > gross THEN 'actual_above_gross' END, CASE WHEN fee <= 1000 THEN NULL ELSE 'fee_limit' END, CASE WHEN net + fee <> gross THEN 'net_identity' END]) AS constraint_name FROM stl)
-SELECT CAST(l_orderkey AS VARCHAR) AS record_id, constraint_name FROM v WHERE constraint_name IS NOT NULL""")
-def constraint_violations(spark, sf):
-    rule = {"actual_above_gross": F.col("actual") <= F.col("gross"), "fee_limit": F.col("fee") <= 1000, "net_identity": F.col("net") + F.col("fee") == F.col("gross")}
-    return checks.violations(E.settlements(spark, sf), "l_orderkey", rule)
-
-
 @query("""WITH d AS (SELECT unnest(generate_series(min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE)), INTERVAL 1 DAY))::DATE AS d FROM orders)
 SELECT d AS full_date, CAST(year(d)*10000+month(d)*100+day(d) AS INT) AS date_key, CAST(year(d) AS INT) AS year, CAST(quarter(d) AS INT) AS quarter, CAST(month(d) AS INT) AS month, CAST(day(d) AS INT) AS day, CAST(isodow(d) AS INT) AS day_of_week, CAST(week(d) AS INT) AS week_of_year, isodow(d) >= 6 AS is_weekend FROM d""")
 def dim_date(spark, sf):
@@ -298,10 +291,17 @@ def group_merge(spark, sf):
     return dedupe.merge_first_known(x, "l_orderkey", "l_linenumber", ["part", "line"])
 
 
-@query("SELECT p_partkey, CASE split_part(p_name, ' ', 1) WHEN 'small' THEN '5001' WHEN 'large' THEN '5002' ELSE CASE split_part(p_name, ' ', 2) WHEN 'ring' THEN '6001' WHEN 'bolt' THEN '6002' ELSE '5999' END END AS code FROM part")
+SHOPS = "CASE p_partkey % 7 WHEN 0 THEN 'art; gift ' WHEN 1 THEN 'books;tea' WHEN 2 THEN 'tailor' WHEN 3 THEN 'art' WHEN 4 THEN '' ELSE NULL END"
+AMENITIES = "CASE p_partkey % 5 WHEN 0 THEN ' cafe' WHEN 1 THEN 'bank' WHEN 2 THEN 'school' ELSE NULL END"
+
+
+@query(f"""WITH c(tag, val, code, sure) AS (VALUES {", ".join(map(str, rules.categories()))}), p AS (SELECT p_partkey, {SHOPS} AS shop, {AMENITIES} AS amenity FROM part),
+ s AS (SELECT p_partkey, trim(unnest(string_split(shop, ';'))) AS val, unnest(range(len(string_split(shop, ';')))) AS pos FROM p WHERE shop IS NOT NULL),
+ h AS (SELECT p_partkey, arg_min(code, pos) AS code, arg_min(sure, pos) AS sure FROM s JOIN c ON c.tag = 'shop' AND c.val = s.val GROUP BY p_partkey)
+ SELECT p.p_partkey, coalesce(h.code, a.code, '{rules.OTHER_CODE}') AS mcc_code, CAST(coalesce(h.sure, a.sure, {rules.OTHER_CONFIDENCE}) AS DOUBLE) AS mcc_confidence FROM p LEFT JOIN h ON p.p_partkey = h.p_partkey LEFT JOIN c a ON a.tag = 'amenity' AND a.val = trim(p.amenity)""")
 def code_crosswalk(spark, sf):
-    codes = spark.createDataFrame([("small", "5001"), ("large", "5002"), ("ring", "6001"), ("bolt", "6002")], "tag string, code string")
-    return rules.first_code(E.table(spark, sf, "part").withColumn("tags", F.replace("p_name", F.lit(" "), F.lit(";"))), "p_partkey", "tags", codes, "5999")
+    places = E.table(spark, sf, "part").select("p_partkey", F.expr(SHOPS).alias("shop"), F.expr(AMENITIES).alias("amenity"))
+    return rules.merchant_category(places, "p_partkey", "shop", "amenity")
 
 
 @query("""SELECT o_orderkey AS transaction_id, CASE WHEN o_orderkey % 29 = 0 THEN 'authorization_count' WHEN o_orderstatus = 'F' AND o_orderkey % 31 = 0 THEN 'approved_without_capture' ELSE 'reversal_without_capture' END AS fault

@@ -86,6 +86,25 @@ def place() -> Dataset:
     return Dataset("merchant", "merchant_id", columns, hard, ("raw_shop_tag", "raw_amenity_tag", "address_city", "address_postcode", "address_street", "phone", "website", "opening_hours", "source_updated_timestamp"))
 
 
+def excluded_places(raw: DataFrame) -> DataFrame:
+    """raw with excluded: vacant_shop, else unnamed, else null; such places are counted, and not checked or quarantined."""
+    tags = F.from_json("raw", PLACE)["tags"]
+    vacant, unnamed = X.trim_or_null(tags["shop"]) == "vacant", X.trim_or_null(tags["name"]).isNull()
+    return raw.withColumn("excluded", F.when(F.coalesce(vacant, F.lit(False)), "vacant_shop").when(unnamed, "unnamed"))
+
+
+def lei_profile(raw: DataFrame) -> DataFrame:
+    """The approved fields of LEI records as they are, for the checks of a raw batch."""
+    a = F.from_json("raw", LEI_RECORD)["attributes"]
+    e, r = a["entity"], a["registration"]
+    out = {"lei": a["lei"], "entity_legal_name": e["legalName"]["name"]}
+    for short, path in (("legal", "legalAddress"), ("hq", "headquartersAddress")):
+        out |= {f"entity_{short}_address_{n}": e[path][f] for n, f in (("country", "country"), ("city", "city"), ("region", "region"), ("postal_code", "postalCode"), ("lines", "addressLines"))}
+    out |= {"entity_legal_form_id": e["legalForm"]["id"], "entity_category": e["category"], "entity_status": e["status"], "entity_jurisdiction": e["jurisdiction"], "entity_creation_date": e["creationDate"]}
+    out |= {"registration_initial_registration_date": r["initialRegistrationDate"], "registration_last_update_date": r["lastUpdateDate"], "registration_status": r["status"], "registration_next_renewal_date": r["nextRenewalDate"], "bic": a["bic"]}
+    return raw.select(*[c.alias(n) for n, c in out.items()])
+
+
 def legal_entity() -> Dataset:
     """Over a column raw of JSON text: one element of a page's data. The jurisdiction is trimmed, never folded."""
     a = F.from_json("raw", LEI_RECORD)["attributes"]

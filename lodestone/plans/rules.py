@@ -31,6 +31,54 @@ def first_code(df: DataFrame, key: str, tags: str, crosswalk: DataFrame, default
     return df.select(key).join(hit, key, "left").withColumn("code", F.coalesce("code", F.lit(default)))
 
 
+#: Tag, value, merchant category, confidence.
+CATEGORIES = """
+amenity restaurant 5812 0.9
+amenity fast_food 5814 0.9
+amenity cafe 5812 0.6
+amenity bank 6011 0.7
+shop clothes 5651 0.8
+shop jewelry 5944 0.9
+shop hairdresser 7230 0.9
+shop beauty 7230 0.7
+shop shoes 5661 0.9
+shop mobile_phone 5732 0.6
+shop cosmetics 5977 0.9
+shop gift 5947 0.8
+shop confectionery 5441 0.9
+shop convenience 5499 0.8
+shop optician 8043 0.9
+shop supermarket 5411 0.9
+shop tea 5499 0.4
+shop e-cigarette 5993 0.4
+shop seafood 5422 0.5
+shop greengrocer 5499 0.5
+shop electronics 5732 0.8
+shop chemist 5912 0.8
+shop tailor 5949 0.6
+shop deli 5499 0.5
+shop butcher 5422 0.7
+shop sports 5941 0.8
+shop florist 5992 0.9
+shop books 5942 0.9
+"""
+OTHER_CODE, OTHER_CONFIDENCE = "5999", 0.3
+
+
+def categories() -> list[tuple[str, str, str, float]]:
+    return [(tag, value, code, float(sure)) for tag, value, code, sure in map(str.split, CATEGORIES.strip().splitlines())]
+
+
+def merchant_category(df: DataFrame, key: str, shop: str, amenity: str) -> DataFrame:
+    """key, mcc_code, mcc_confidence: of the first `;`-separated shop that has a category, else of the amenity, else the rest's."""
+    known = F.broadcast(df.sparkSession.createDataFrame(categories(), "tag string, value string, code string, confidence double"))  # a fixed list
+    shops = df.select(key, F.lit("shop").alias("tag"), F.posexplode(F.split(shop, ";")).alias("pos", "value"))
+    tried = shops.unionByName(df.select(key, F.lit("amenity").alias("tag"), F.lit(1 << 30).alias("pos"), F.col(amenity).alias("value")))
+    hit = tried.withColumn("value", F.trim("value")).join(known, ["tag", "value"]).groupBy(key).agg(F.min_by(F.struct("code", "confidence"), "pos").alias("_hit"))
+    x = df.select(key).join(hit, key, "left")
+    return x.select(key, F.coalesce("_hit.code", F.lit(OTHER_CODE)).alias("mcc_code"), F.coalesce("_hit.confidence", F.lit(OTHER_CONFIDENCE)).alias("mcc_confidence"))
+
+
 def sequence_faults(events: DataFrame) -> DataFrame:
     """Transactions whose events break the order: one AUTHORIZATION, first; a CAPTURE iff approved; REVERSAL only after a CAPTURE."""
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("event_ts", "event_type"))), lambda e: e["event_type"])

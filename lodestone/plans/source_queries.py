@@ -243,3 +243,20 @@ def watermark_advance(spark, sf):
     batches = o.groupBy(F.col("o_orderpriority").alias("source")).agg(F.count_if(F.col("o_orderkey") % 2 == 0).alias("n_records"), F.max(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate").cast("date"))).cast("string").alias("latest"))
     marks = batches.select("source").unionByName(spark.createDataFrame([("no batch",)], "source string")).withColumn("watermark", F.lit("1990-01-01"))
     return watermarks.advance(marks, batches.withColumn("passed", ~F.col("source").startswith("1")))
+
+
+@query("""SELECT disposition, count(*) AS n_rows FROM (SELECT CASE WHEN s_suppkey % 9 = 2 THEN 'vacant_shop' WHEN s_suppkey % 10 = 3 THEN 'unnamed' WHEN s_suppkey % 7 = 0 THEN 'rejected' ELSE 'accepted' END AS disposition FROM supplier) GROUP BY 1""")
+def place_dispositions(spark, sf):
+    """Every place in one bucket: excluded ones first, in order, then the checks."""
+    raw = table(spark, sf, "supplier").selectExpr("s_suppkey AS seq", """to_json(named_struct('type', 'node', 'id', s_suppkey, 'lat', CASE WHEN s_suppkey % 7 = 0 THEN 91 ELSE 1 END, 'lon', 2,
+        'tags', map('name', CASE WHEN s_suppkey % 10 = 3 THEN ' ' ELSE s_name END, 'shop', CASE WHEN s_suppkey % 9 = 2 THEN ' vacant' ELSE 'tea' END))) AS raw""")
+    x = R.excluded_places(raw)
+    good, bad = R.conform(x.filter("excluded IS NULL"), R.place(), ["seq"])
+    kinds = [x.filter("excluded IS NOT NULL").select(F.col("excluded").alias("disposition")), good.select(F.lit("accepted").alias("disposition")), bad.select(F.lit("rejected").alias("disposition"))]
+    return gates.accounting(R.union(kinds), "disposition")
+
+
+@query("SELECT 'LEI' || CAST(c_custkey AS VARCHAR) AS lei, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS entity_legal_name, CAST(NULL AS VARCHAR) AS entity_hq_address_city, 'x' AS entity_jurisdiction FROM customer")
+def lei_profile(spark, sf):
+    raw = table(spark, sf, "customer").selectExpr("to_json(named_struct('attributes', named_struct('lei', concat('LEI', cast(c_custkey AS string)), 'entity', named_struct('legalName', CASE WHEN c_custkey % 2 = 0 THEN named_struct('name', c_name) END, 'jurisdiction', 'x')))) AS raw")
+    return R.lei_profile(raw).select("lei", "entity_legal_name", "entity_hq_address_city", "entity_jurisdiction")

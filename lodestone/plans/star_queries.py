@@ -139,3 +139,46 @@ def source_target_counts(spark, sf):
     star = Star(spark, sf)
     pairs = (("transactions", "orders", star.fact("transactions")), ("merchants", "supplier", star.dimension("merchant").filter("merchant_key <> -1")), ("card_tokens", "customer", star.dimension("card_token").filter("card_token_key <> -1")))
     return gates.row_counts({name: (table(spark, sf, source), made) for name, source, made in pairs})
+
+
+#: Rules of rows that hold inside one entity, by name; the second of each pair breaks some rows on purpose.
+CONSTRAINTS = {
+    "transaction": {"amount_positive": "amount > 0", "status_known": "status IN ('APPROVED', 'DECLINED')", "declined_iff_reason": "(status = 'DECLINED') = (decline_reason IS NOT NULL)", "confidence_share": "mcc_confidence BETWEEN 0 AND 1"},
+    "settlement": {"net_identity": "net_amount = settlement_amount - fee_amount", "fee_limit": "fee_amount <= 4000"},
+    "reconciliation": {"variance_identity": "variance = actual_amount - expected_amount", "matched_iff_no_variance": "(match_status = 'MATCHED') = (variance = 0)", "always_matched": "match_status = 'MATCHED'"},
+    "offer": {"dates_in_order": "valid_from <= valid_to", "value_positive": "offer_value > 0", "kind_known": "offer_type IN ('CASHBACK_PCT', 'FIXED_AMOUNT')", "codes_below_five": "eligible_mcc_code <= 'K4'"},
+    "client": {"type_known": "client_type IN ('ISSUER', 'NETWORK', 'PROGRAM_OWNER')"},
+}
+_KEYS = {"transaction": "transaction_id", "settlement": "settlement_id", "reconciliation": "reconciliation_id", "offer": "offer_id", "client": "client_id"}
+
+
+@query(f"WITH {STAR} " + " UNION ALL ".join(f"SELECT '{e}' AS entity, {_KEYS[e]} AS record_id, '{n}' AS constraint_name FROM e_{e} WHERE NOT coalesce({c}, TRUE)" for e, rules in CONSTRAINTS.items() for n, c in rules.items()))
+def constraint_violations(spark, sf):
+    """Rows that break a named rule; an unknown outcome breaks none."""
+    from functools import reduce
+
+    from ..operators import checks
+
+    star = Star(spark, sf)
+    return reduce(DataFrame.unionByName, [checks.violations(star.entity(e), _KEYS[e], {n: F.expr(c) for n, c in rules.items()}).select(F.lit(e).alias("entity"), "record_id", "constraint_name") for e, rules in CONSTRAINTS.items()])
+
+
+@query(f"WITH {STAR} " + " UNION ALL ".join(f"SELECT 'dim_{n}' AS table_name, 'not_null_{n}_key' AS test, count(*) FILTER ({n}_key IS NULL) AS n_failures FROM d_{n} UNION ALL SELECT 'dim_{n}', 'unique_{n}_key', (SELECT count(*) FROM (SELECT {n}_key FROM d_{n} GROUP BY 1 HAVING count(*) > 1))" for n in DIMENSIONS)
+       + f" UNION ALL SELECT 'mart_' || t, 'not_null_' || c, n FROM (SELECT 'merchant_mart' AS t, 'merchant_key' AS c, count(*) FILTER (merchant_key IS NULL) AS n FROM ({marts.MARTS['merchant_mart'].sql()}))")
+def column_tests(spark, sf):
+    """Surrogate keys are unique and never null, in every dimension and in a mart."""
+    from functools import reduce
+
+    from ..operators import gates
+
+    star = Star(spark, sf)
+    out = [gates.column_tests(star.dimension(n), [f"{n}_key"], [f"{n}_key"]).select(F.lit(f"dim_{n}").alias("table_name"), "test", "n_failures") for n in DIMENSIONS]
+    mart = gates.column_tests(marts.MARTS["merchant_mart"].build(star), (), ["merchant_key"])
+    return reduce(DataFrame.unionByName, [*out, mart.select(F.lit("mart_merchant_mart").alias("table_name"), "test", "n_failures")])
+
+
+@query(f"WITH {STAR} SELECT 'settlement_amount' AS check_name, count(*) FILTER (settlement_amount IS NULL) AS n_violations FROM f_settlements UNION ALL SELECT 'fee_amount', count(*) FILTER (fee_amount IS NULL) FROM f_settlements UNION ALL SELECT 'net_amount', count(*) FILTER (net_amount IS NULL) FROM f_settlements")
+def missing_measures(spark, sf):
+    from ..operators import gates
+
+    return gates.missing_measures(Star(spark, sf).fact("settlements"), ["settlement_amount", "fee_amount", "net_amount"])

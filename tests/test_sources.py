@@ -287,3 +287,26 @@ def test_all_deliveries_go_on_after_a_failure(spark, mart, rights, tmp_path):
     with pytest.raises(gates.GateError, match="c1/other"):
         delivery.run_all({"sales_mart": mart}, rights, {"sales": CONFIG, "other": broken}, str(tmp_path), "r1")
     assert (tmp_path / "c1" / "sales" / "r1").exists() and (tmp_path / "c2" / "sales" / "r1").exists()
+
+
+def test_jobs_from_raw_rows_to_summaries(spark, tmp_path):
+    from lodestone.plans import entities, jobs
+
+    raw = entities.dirty_transactions(spark, "/root/testdata/sf0.001")
+    counts = {r["disposition"]: r["n_rows"] for r in jobs.bronze_to_silver(raw, str(tmp_path), "1").collect()}
+    assert sum(counts.values()) == raw.count() and counts["silver"] > 0 and counts["duplicate_transaction_id"] > 0
+    good = files.read_current(spark, str(tmp_path / "silver"))
+    jobs.silver_to_gold(good, str(tmp_path / "gold"), "1")
+    fact, merchants = (files.read_current(spark, str(tmp_path / "gold" / n)) for n in ("fact_transactions", "dim_merchant"))
+    rows = jobs.gold_to_consumption(fact, merchants, str(tmp_path / "marts"), "1")
+    assert len(rows) == 7 and rows["transaction_status_summary"] == 3
+    with pytest.raises(gates.GateError):
+        jobs.silver_to_gold(good.unionByName(good), str(tmp_path / "gold"), "2")
+    assert not (tmp_path / "gold" / "dim_date" / "version=2").exists()
+
+
+def test_run_names_and_key_texts(spark):
+    spec, _ = cdc_tables.specs()["clients"]
+    assert values(spark, [("C1",)], "client_id string", cdc_tables.key_text(spec)) == [('["C1"]',)]
+    assert values(spark, [(dt.datetime(2024, 1, 2, 3, 4, 5),)], "t timestamp", X.run_id(F.col("t"))) == [("run_20240102T030405Z",)]
+    assert values(spark, [("true",), ("yes",)], "a string", R.strict_bool(F.col("a"))) == [(True,), (None,)]
