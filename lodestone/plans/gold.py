@@ -10,6 +10,7 @@ a reference that finds nothing goes there.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import gates, keys
+from ..sources.stored import stored
 from . import rules
 from .entities import STATUS, table
 
@@ -187,6 +189,17 @@ class Star:
     def dimension(self, name: str) -> DataFrame:
         if name == "date":
             return self._once("dim date", self._dates)
+        return self._once(f"dim {name}", lambda: self._dimension(name))
+
+    def keep(self, dimensions: Sequence[str] = (), facts: Sequence[str] = ()) -> Star:
+        """Stores these tables, so that what reads them several times doesn't make them each time."""
+        for kind, names, make in (("dim", dimensions, self.dimension), ("fact", facts, self.fact)):
+            for n in names:
+                df = make(n)
+                self.made[f"{kind} {n}"] = stored(df, f"{kind}-{n}")
+        return self
+
+    def _dimension(self, name: str) -> DataFrame:
         d = DIMENSIONS[name]
         x = self.entity(name).join(self.registry(name).withColumnRenamed("surrogate_key", f"{name}_key"), d.natural)
         for ref, (column, parent, keep_null) in d.refs.items():
@@ -217,6 +230,7 @@ class Star:
 
     def gate(self) -> DataFrame:
         """(check_name, n_violations): keys unique in dimensions, grains of facts, references, counts against the sources, control totals."""
+        self.keep((*DIMENSIONS, "date"), FACTS)
         checks = {}
         for name, d in DIMENSIONS.items():
             for c in (f"{name}_key", d.natural):

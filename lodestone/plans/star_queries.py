@@ -171,7 +171,7 @@ def column_tests(spark, sf):
 
     from ..operators import gates
 
-    star = Star(spark, sf)
+    star = Star(spark, sf).keep(tuple(DIMENSIONS))
     out = [gates.column_tests(star.dimension(n), [f"{n}_key"], [f"{n}_key"]).select(F.lit(f"dim_{n}").alias("table_name"), "test", "n_failures") for n in DIMENSIONS]
     mart = gates.column_tests(marts.MARTS["merchant_mart"].build(star), (), ["merchant_key"])
     return reduce(DataFrame.unionByName, [*out, mart.select(F.lit("mart_merchant_mart").alias("table_name"), "test", "n_failures")])
