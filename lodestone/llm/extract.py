@@ -1,22 +1,25 @@
 """Main text of web pages by a minimum cut.
 
-A page is split into blocks of text. A classifier gives each block the probability of being
-content; its cost for either label is the capacity of the block's edge to source or sink. Blocks that follow each
+A page is split into blocks of text. A classifier gives each block the log odds of being content; its
+cost for either label is the capacity of the block's edge to source or sink. Blocks that follow each
 other, and neighbours under one parent, are tied by edges whose capacity falls with the distance
-of their elements in the tree. The maximum flow's cut is the labelling of least cost, and the blocks on
-the source's side are the text, in page order.
+of their elements in the tree, and is less across the edge of an element that stands for something of its own. The
+maximum flow's cut is the labelling of least cost, and the blocks on the source's side are the text, in page order.
 
-The classifier has two parts. What the page says of itself (elements such as article, nav,
-footer, form; words such as comment or sidebar in class, id and role) has fixed weights. What the text
-looks like (length, links, end marks, headings) has weights fitted by logistic regression on the
-blocks of at most SAMPLE_PAGES pages, those with the smallest hashes, labelled by the first
-part; the bound keeps the fit off the driver's memory whatever the table's size.
+The log odds have two parts, neither of which decides alone. What the page says of itself: elements such as
+article, nav, footer, form, and class, id and role, where a name that is a telling word (ad, comments)
+counts more than one that only holds it (ad-free), and one that holds words of both sorts
+(content-with-sidebar) counts nothing. And what the text looks like (length, links, end marks, headings,
+legal phrases): its weights are fitted by logistic regression, drawn towards START, on the
+blocks of at most SAMPLE_PAGES pages, those with the smallest hashes, labelled by the first part; the
+bound keeps the fit off the driver's memory whatever the table's size.
 
 Scripts, styles, comments and the head are no blocks. Character references are decoded, each
 run of white space in a block becomes one space, blocks are joined by two line feeds. br is white
 space. Null and empty html: empty text. A page without markup is one block. Where no
-element claims to be content, all blocks get BARE in favour of it. Repeated rows give
-equal results; an empty table gives an empty result.
+element claims to be content, all blocks get BARE in favour of it. Time grows with a page's length,
+whatever its depth. Repeated rows give equal results, null ids stay null; an empty table gives an empty
+result. Other columns of the pages are not read.
 """
 
 from __future__ import annotations
@@ -24,16 +27,22 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import table
 
-SAMPLE_PAGES, NEXT, NEAR, FAR_DECAY, TEXT_LIMIT, BARE = 400, 0.4, 0.3, 0.5, 2.5, 1.5
+SAMPLE_PAGES, TEXT_LIMIT, BARE = 400, 3.0, 1.0
+#: Capacities of edges: to the next block and to the next under the same parent, at no distance; their decay by step; what is left across an element that stands for something.
+NEXT, NEAR, DECAY, ACROSS = 1.6, 1.0, 0.25, 0.2
+#: Log odds of what an element says: a telling element or name, a name that holds a telling word, and the most that all of them take away.
+TELLS, HOLDS, CLAIMS, MOST = 6.0, 2.0, 3.0, 8.0
 #: Elements that end a block of text.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -61,51 +70,74 @@ _end = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW_TAGS}
 
 
 class Block:
-    __slots__ = ("text", "path", "linked", "tag", "structure")
+    """text; linked: characters in links; tag; structure: log odds by what the page says; said: the innermost element that says something; parent: node above its element; depth, and low: the depth of what it shares with the block before."""
 
-    def __init__(self, text: str, path: tuple[int, ...], linked: int, tag: str, structure: float):
-        self.text, self.path, self.linked, self.tag, self.structure = text, path, linked, tag, structure
+    __slots__ = ("text", "linked", "tag", "structure", "said", "parent", "depth", "low")
 
+    def __init__(self, text: str, linked: int, tag: str, structure: float, said: int, parent: int, depth: int, low: int):
+        self.text, self.linked, self.tag, self.structure, self.said, self.parent, self.depth, self.low = text, linked, tag, structure, said, parent, depth, low
 
-def _hint(attributes: str) -> int:
-    """-1 if the class, id or role speaks of boilerplate, 1 if of content."""
-    sign = 0
+
+def _names(attributes: str) -> tuple[float, float]:
+    """(against, for) content, of the names in class, id and role."""
+    against = support = 0.0
     for m in _attr.finditer(attributes):
-        found = {w.lower() for w in _word.findall(m[1] or m[2] or m[3] or "")}
-        if found & BOILER_WORDS:
-            return -1
-        if found & CONTENT_WORDS:
-            sign = 1
-    return sign
+        for name in (m[1] or m[2] or m[3] or "").split():
+            found = {w.lower() for w in _word.findall(name)}
+            bad, good = found & BOILER_WORDS, found & CONTENT_WORDS
+            if bad and not good:
+                against = max(against, TELLS if len(found) == 1 else HOLDS)
+            elif good and not bad:
+                support = max(support, CLAIMS if len(found) == 1 else HOLDS)
+    return against, support
+
+
+class Element(NamedTuple):
+    tag: str
+    node: int
+    against: float
+    support: float
+    said: int
 
 
 def blocks_of(page: str | None) -> list[Block]:
     page = page or ""
     out: list[Block] = []
-    # (tag, node number, structure weight, inside content)
-    stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]
+    stack = [Element("", 0, 0.0, 0.0, 0)]
+    open_tags: Counter[str] = Counter()
     pieces: list[str] = []
-    linked, in_link, nodes, at = 0, False, 0, 0
+    linked, in_link, nodes, at, low = 0, False, 0, 0, 1
+
+    def pop(size: int) -> None:
+        nonlocal low
+        while len(stack) > size:
+            open_tags[stack.pop().tag] -= 1
+        low = min(low, size)
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, low
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append(Block(text, tuple(x[1] for x in stack), linked, stack[-1][0], stack[-1][2]))
+                top = stack[-1]
+                above = stack[-2].node if len(stack) > 1 else -1
+                out.append(Block(text, linked, top.tag, top.support - min(MOST, top.against), top.said, above, len(stack), low))
+                low = len(stack)
             pieces.clear()
         linked = 0
 
     def push(tag: str, attributes: str) -> None:
         nonlocal nodes
         nodes += 1
-        weight, inside = stack[-1][2], stack[-1][3]
-        hint = _hint(attributes) if attributes else 0
-        if tag in BOILER_TAGS or (tag == "header" and not inside) or hint < 0:
-            weight -= 6.0
-        elif (tag in CONTENT_TAGS or hint > 0) and not inside:
-            weight, inside = weight + 3.0, True
-        stack.append((tag, nodes, weight, inside))
+        top = stack[-1]
+        against, support = _names(attributes) if attributes else (0.0, 0.0)
+        if tag in BOILER_TAGS or (tag == "header" and not top.support):
+            against = max(against, TELLS)
+        elif tag in CONTENT_TAGS and not against:
+            support = CLAIMS
+        says = against or (support and not top.support)
+        stack.append(Element(tag, nodes, top.against + against, max(top.support, support), nodes if says else top.said))
+        open_tags[tag] += 1
 
     def say(raw: str) -> None:
         nonlocal linked
@@ -134,10 +166,11 @@ def blocks_of(page: str | None) -> list[Block]:
             elif tag in CLOSERS:
                 flush()
                 in_link = False
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                if open_tags[tag] > 0:
+                    size = len(stack)
+                    while stack[size - 1].tag != tag:
+                        size -= 1
+                    pop(size - 1)
             continue
         if tag in RAW_TAGS:
             end = _end[tag].search(page, at)
@@ -149,109 +182,131 @@ def blocks_of(page: str | None) -> list[Block]:
         elif tag in ("button", "select", "option", "input", "label") or tag in BLOCK_TAGS:
             flush()
             if tag in BLOCK_TAGS or tag in ("button", "select"):
-                if stack[-1][0] == "p":
-                    stack.pop()
+                if stack[-1].tag == "p":
+                    pop(len(stack) - 1)
                 shut = CLOSED_BY.get(tag)
-                while shut and stack[-1][0] in shut:
-                    stack.pop()
+                while shut and stack[-1].tag in shut:
+                    pop(len(stack) - 1)
                 if tag not in VOID and not m[3].endswith("/"):
                     push(tag, m[3])
     flush()
     return out
 
 
-FEATURES = 7
+#: Where the fit begins, and what it is drawn to: constant, length, linked share, end mark, under 30 characters, heading, list item, legal or housekeeping phrase, separators.
+START = np.array([-0.6, 1.2, -3.5, 1.2, -0.8, 0.4, -0.6, -3.0, -1.5])
+#: Phrases of notices, in four languages.
+LEGAL = re.compile(r"©|\ball rights reserved\b|\bcopyright\b|\bprivacy policy\b|\bterms of (?:use|service)\b|\bcookies?\b|\bsign (?:in|up)\b|\blog ?in\b|\bsubscribe\b|\btous droits réservés\b|\balle rechte vorbehalten\b|\btodos los derechos reservados\b", re.I)
 
 
 def look(b: Block) -> list[float]:
     """What the text looks like."""
     n = len(b.text)
-    return [1.0, math.log1p(n) / 5, min(1.0, b.linked / n), float(b.text[-1] in ".!?:\"'»”"), float(n < 30), float(b.tag[:1] == "h" and b.tag[1:].isdigit()), float(b.tag == "li")]
+    return [
+        1.0, math.log1p(n) / 5, min(1.0, b.linked / n), float(b.text[-1] in ".!?:\"'»”"), float(n < 30), float(b.tag[:1] == "h" and b.tag[1:].isdigit()), float(b.tag == "li"),
+        float(n < 300 and LEGAL.search(b.text) is not None), min(1.0, sum(map(b.text.count, "|•·›»")) / 3),
+    ]
 
 
 def fit(pages: list[str]) -> np.ndarray:
-    """Logistic regression, with a ridge, of the structure's verdict on what the text looks like."""
+    """Logistic regression of the structure's verdict on what the text looks like, with a ridge around START."""
     x, y = [], []
     for page in pages:
         for b in blocks_of(page):
-            if b.structure:
+            if abs(b.structure) >= CLAIMS:
                 x.append(look(b))
                 y.append(float(b.structure > 0))
     if not x or len(set(y)) < 2:
-        return np.array([0.0, 1.0, -2.0, 0.5, -0.5, 0.0, -0.5])
+        return START.copy()
     a, y = np.array(x), np.array(y)
-    w, weight = np.zeros(FEATURES), np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+    w, weight = START.copy(), np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     for _ in range(30):
         p = 1 / (1 + np.exp(-a @ w))
-        grad = a.T @ (weight * (p - y)) + 0.01 * w
-        hess = (a * (weight * p * (1 - p))[:, None]).T @ a + 0.01 * np.eye(FEATURES)
+        grad = a.T @ (weight * (p - y)) + 0.02 * (w - START)
+        hess = (a * (weight * p * (1 - p))[:, None]).T @ a + 0.02 * np.eye(len(w))
         w -= np.linalg.solve(hess, grad)
     return w
 
 
 def max_flow(n: int, source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Which of n nodes are on the source's side of a minimum cut; edges hold both ways.
+    """Which of n nodes are on the source's side of a minimum cut, the smallest such side; edges hold both ways.
 
-    What can run through a node straight from source to sink is sent first; the rest by shortest
-    paths from nodes with excess to nodes with room.
+    What can run through a node straight from source to sink is sent first. A node with more excess, or more
+    lack, than all its edges carry is on its side in a minimum cut; its edges then are its neighbours' excess
+    or lack, which may settle them in turn. Among the nodes that are left the flow runs by level
+    graphs: all shortest ways are filled before longer ones are looked for.
     """
     excess = [a - b for a, b in zip(source, sink, strict=True)]
-    to: list[list[int]] = [[] for _ in range(n)]
+    near: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    for a, b, c in edges:
+        near[a].append((b, c))
+        near[b].append((a, c))
+    tied = [sum(c for _, c in x) for x in near]
+    side: list[bool | None] = [None] * n
+    queue = list(range(n))
+    while queue:
+        k = queue.pop()
+        if side[k] is not None or -tied[k] < excess[k] <= tied[k]:
+            continue
+        side[k] = excess[k] > tied[k]
+        for j, c in near[k]:
+            if side[j] is None:
+                excess[j] += c if side[k] else -c
+                tied[j] -= c
+                queue.append(j)
+    left = [k for k in range(n) if side[k] is None]
+    if not left:
+        return [bool(x) for x in side]
+    to: dict[int, list[int]] = {k: [] for k in left}
     head: list[int] = []
     room: list[float] = []
     for a, b, c in edges:
-        to[a].append(len(head))
-        head.append(b)
-        room.append(c)
-        to[b].append(len(head))
-        head.append(a)
-        room.append(c)
-    open_ = [k for k in range(n) if excess[k] > 1e-12]
-    while open_:
-        came = [-2] * n
-        queue = [k for k in open_ if excess[k] > 1e-12]
-        for k in queue:
-            came[k] = -1
-        end = -1
+        if side[a] is None and side[b] is None:
+            for x, y in ((a, b), (b, a)):
+                to[x].append(len(head))
+                head.append(y)
+                room.append(c)
+    tiny = 1e-12
+    while True:
+        level = {k: 0 for k in left if excess[k] > tiny}
+        queue, reached = list(level), False
         for k in queue:
+            reached |= excess[k] < -tiny
             for e in to[k]:
-                j = head[e]
-                if came[j] == -2 and room[e] > 1e-12:
-                    came[j] = e
-                    if excess[j] < -1e-12:
-                        end = j
-                        break
-                    queue.append(j)
-            if end >= 0:
-                break
-        if end < 0:
-            return [c != -2 for c in came]
-        path, k = [], end
-        while came[k] >= 0:
-            path.append(came[k])
-            k = head[came[k] ^ 1]
-        flow = min(excess[k], -excess[end], *(room[e] for e in path))
-        for e in path:
-            room[e] -= flow
-            room[e ^ 1] += flow
-        excess[k] -= flow
-        excess[end] += flow
-        open_ = [x for x in open_ if excess[x] > 1e-12]
-    return [False] * n
-
-
-def distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    """Steps between two elements in the tree."""
-    k, n = 0, min(len(a), len(b))
-    while k < n and a[k] == b[k]:
-        k += 1
-    return len(a) + len(b) - 2 * k
-
-
-def extract(page: str | None, weights: np.ndarray) -> str:
-    found = blocks_of(page)
-    if not found:
-        return ""
+                if room[e] > tiny and head[e] not in level:
+                    level[head[e]] = level[k] + 1
+                    queue.append(head[e])
+        if not reached:
+            return [bool(x) if x is not None else k in level for k, x in enumerate(side)]
+        tried = dict.fromkeys(level, 0)
+        for start in [k for k in left if excess[k] > tiny]:
+            path: list[int] = []
+            k = start
+            while excess[start] > tiny:
+                if excess[k] < -tiny:
+                    flow = min(excess[start], -excess[k], *(room[e] for e in path))
+                    for e in path:
+                        room[e] -= flow
+                        room[e ^ 1] += flow
+                    excess[start] -= flow
+                    excess[k] += flow
+                    path, k = [], start
+                    continue
+                ways = to[k]
+                while tried[k] < len(ways) and not (room[ways[tried[k]]] > tiny and level.get(head[ways[tried[k]]]) == level[k] + 1):
+                    tried[k] += 1
+                if tried[k] < len(ways):
+                    path.append(ways[tried[k]])
+                    k = head[path[-1]]
+                elif path:
+                    k = head[path.pop() ^ 1]
+                    tried[k] += 1
+                else:
+                    break
+
+
+def label(found: list[Block], weights: np.ndarray) -> tuple[list[bool], list[float]]:
+    """Which blocks are content, and each block's own log odds."""
     text = np.clip(np.array([look(b) for b in found]) @ weights, -TEXT_LIMIT, TEXT_LIMIT)
     bare = 0.0 if any(b.structure > 0 for b in found) else BARE
     odds = [float(t) + bare + b.structure for t, b in zip(text, found, strict=True)]
@@ -260,14 +315,21 @@ def extract(page: str | None, weights: np.ndarray) -> str:
     edges, last = [], {}
     for k, b in enumerate(found):
         if k:
-            edges.append((k - 1, k, NEXT * math.exp(-FAR_DECAY * distance(found[k - 1].path, b.path))))
-        parent = b.path[-2] if len(b.path) > 1 else 0
-        near = last.get(parent)
+            c = NEXT * math.exp(-DECAY * (found[k - 1].depth + b.depth - 2 * b.low))
+            edges.append((k - 1, k, c if found[k - 1].said == b.said else ACROSS * c))
+        near = last.get(b.parent)
         if near is not None and near != k - 1:
-            edges.append((near, k, NEAR * math.exp(-FAR_DECAY * distance(found[near].path, b.path))))
-        last[parent] = k
-    side = max_flow(len(found), content, boiler, edges)
-    return "\n\n".join(b.text for b, s in zip(found, side, strict=True) if s)
+            c = NEAR * math.exp(-2 * DECAY)
+            edges.append((near, k, c if found[near].said == b.said else ACROSS * c))
+        last[b.parent] = k
+    return max_flow(len(found), content, boiler, edges), odds
+
+
+def extract(page: str | None, weights: np.ndarray) -> str:
+    found = blocks_of(page)
+    if not found:
+        return ""
+    return "\n\n".join(b.text for b, s in zip(found, label(found, weights)[0], strict=True) if s)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -278,14 +340,12 @@ def extract_text(pages: DataFrame) -> DataFrame:
     sample = hashed.filter(F.col("h") <= F.lit(edge)).orderBy("h", "html").limit(SAMPLE_PAGES)
     weights = fit(sorted(r[0] or "" for r in sample.select("html").collect()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pages = b["html"].tolist()
-            for i, j in slices(pages):
-                text = [extract(x, weights) for x in pages[i:j]]
-                yield b.iloc[i:j][["page_id", "url"]].assign(text=text, n_chars=[len(x) for x in text])
+            text = [extract(x.as_py(), weights) for x in b.column("html")]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op8_mincut_extraction(spark, sf_dir: str) -> DataFrame:
