@@ -10,7 +10,8 @@ a reference that finds nothing goes there.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -183,6 +184,15 @@ class Star:
 
         return self._once(f"registry of {name}", make)
 
+    def registries(self, names: Iterable[str]) -> None:
+        """Gives out keys for several dimensions at once: their jobs are small and don't wait for each other."""
+        self._together(self.registry, [n for n in dict.fromkeys(names) if f"registry of {n}" not in self.made])
+
+    @staticmethod
+    def _together(make, names: Sequence[str]) -> None:
+        with ThreadPoolExecutor(4) as pool:
+            list(pool.map(make, names))
+
     def lookup(self, df: DataFrame, column: str, dim: str, alias: str, keep_null: bool = False) -> DataFrame:
         return keys.lookup(df, column, self.registry(dim), DIMENSIONS[dim].natural, "surrogate_key", alias, keep_null)
 
@@ -193,14 +203,15 @@ class Star:
 
     def keep(self, dimensions: Sequence[str] = (), facts: Sequence[str] = ()) -> Star:
         """Stores these tables, so that what reads them several times doesn't make them each time."""
+        self.registries([n for n in dimensions if n != "date"])
         for kind, names, make in (("dim", dimensions, self.dimension), ("fact", facts, self.fact)):
-            for n in names:
-                df = make(n)
-                self.made[f"{kind} {n}"] = stored(df, f"{kind}-{n}")
+            made = {n: make(n) for n in names}
+            self._together(lambda n, kind=kind, made=made: self.made.update({f"{kind} {n}": stored(made[n], f"{kind}-{n}")}), list(made))
         return self
 
     def _dimension(self, name: str) -> DataFrame:
         d = DIMENSIONS[name]
+        self.registries([name, *(parent for _, parent, _ in d.refs.values())])
         x = self.entity(name).join(self.registry(name).withColumnRenamed("surrogate_key", f"{name}_key"), d.natural)
         for ref, (column, parent, keep_null) in d.refs.items():
             x = self.lookup(x, column, parent, ref, keep_null)
@@ -221,6 +232,7 @@ class Star:
             x = self.entity(entity)
             if "operation" in x.columns:
                 x = x.filter("operation <> 'd'")
+            self.registries(dim for _, dim in refs.values())
             for ref, (column, dim) in refs.items():
                 x = self.lookup(x, column, dim, ref)
             x = x.withColumn("date_key", X.date_key(F.col(date).cast("date")))
