@@ -42,7 +42,17 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._spooled_at = path
+    return out
+
+
+def discard(*spooled: DataFrame) -> None:
+    """Deletes what spool() wrote, once nothing that is still to run reads it."""
+    for df in spooled:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._spooled_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def set_aside(df: DataFrame, known: tuple[str, ...] = DOCUMENT) -> tuple[DataFrame, dict[str, str]]:

@@ -5,25 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spool
+from .common import discard, spool
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for the nodes of edges (a, b): comp is the smallest node of the component.
 
     Each round ties every node's larger neighbours, then its smaller ones, to the smallest
-    neighbour; the edges end as stars. Each round is stored, so lineage stays short.
+    neighbour; the edges end as stars. Each round is stored, so lineage stays short, and so are the smallest
+    neighbours: a join of two stored tables is one whose hot keys Spark can split, as a star's centre is one.
+    What a round has used is deleted.
     """
     stars = spool(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = spool(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = spool(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        discard(stars, least)
+        least = spool(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a")
-        small = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct()
+        small = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         stars = spool(small, "edges")
+        discard(large, least)
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import put_back, set_aside, spool, table
+from .common import discard, put_back, set_aside, spool, table
 
 DEPTH, SIMILAR, MANY, FIXED = 3, 0.5, 10, 8
 BLANK = r"\x20\x09-\x0D"
@@ -109,7 +109,9 @@ def dropped(docs: DataFrame, many: int = MANY, fixed: int = FIXED) -> DataFrame:
     often = uses.groupBy(*TEMPLATE, *TEXT).agg(F.max("fixed").alias("fixed")).groupBy(*TEMPLATE).agg(F.count("*").alias("texts"), F.min("t1").alias("first"), F.max("fixed").alias("most"))
     often = often.filter(f"texts >= {many} OR (texts >= 2 AND most >= {fixed})").select(*TEMPLATE, F.when(F.col("texts") < many, F.col("first")).alias("stays"))
     gone = uses.select(*TEXT, "pos", *TEMPLATE).join(spool(often, "often"), TEMPLATE).filter("stays IS NULL OR stays <> t1")
-    return spool(gone.groupBy(*TEXT).agg(F.collect_set("pos").alias("gone")), "gone")
+    out = spool(gone.groupBy(*TEXT).agg(F.collect_set("pos").alias("gone")), "gone")
+    discard(lines, leaves, found, named, uses)
+    return out
 
 
 def drop_recurring(docs: DataFrame, many: int = MANY, fixed: int = FIXED) -> DataFrame:
