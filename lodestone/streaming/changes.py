@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cdc
+from ..operators import cdc, gates
 
 OUT = "key long, kafka_offset long, disposition string"
 STATE = "lsn long, deleted boolean, digest string"
@@ -19,13 +19,19 @@ def source(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1
 
 
 def capture(raw: DataFrame, good_path: str, bad_path: str, checkpoint: str):
-    """Parses envelopes and appends usable ones by table and partition, the others to quarantine; a batch that runs again overwrites itself."""
+    """Parses envelopes and appends usable ones by table and partition, the others to quarantine; a batch that runs again overwrites itself, and one that lost a message fails before its offsets are committed."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         parsed = cdc.parse_envelope(batch).persist()
-        parsed.filter("problem IS NULL").write.mode("overwrite").partitionBy("source_table", "kafka_partition").parquet(f"{good_path}/batch={batch_id}")
-        parsed.filter("problem IS NOT NULL").write.mode("overwrite").json(f"{bad_path}/batch={batch_id}")
+        good, bad = f"{good_path}/batch={batch_id}", f"{bad_path}/batch={batch_id}"
+        parsed.filter("problem IS NULL").write.mode("overwrite").partitionBy("source_table", "kafka_partition").parquet(good)
+        parsed.filter("problem IS NOT NULL").write.mode("overwrite").json(bad)
+        n_good, n_bad = parsed.agg(F.count_if(F.col("problem").isNull()), F.count_if(F.col("problem").isNotNull())).first()
+        read = parsed.sparkSession.read
+        kept = (read.parquet(good).count() if n_good else 0) + (read.schema("problem string").json(bad).count() if n_bad else 0)
         parsed.unpersist()
+        if kept != n_good + n_bad:
+            raise gates.GateError(f"batch {batch_id}: {n_good + n_bad} messages, {kept} of them written")
 
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
