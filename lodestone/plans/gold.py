@@ -10,7 +10,7 @@ a reference that finds nothing goes there.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Collection, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
@@ -132,6 +132,18 @@ FACTS = {
         {c: c for c in ("reward_id", "kafka_offset", "transaction_id", "qualification_status", "reward_amount")}, "event_timestamp", ("reward_id", "kafka_offset"),
     ),
 }
+#: Dimensions that enrich a fact: the key, and columns by their names there. Rewards reach their campaign through the offer.
+CAMPAIGN = ("campaign_key", "campaign_id", "campaign_name")
+JOINS = {
+    "transactions": [
+        ("merchant", "merchant_key", {"merchant_id": "merchant_id", "merchant_name": "merchant_name"}), ("mcc", "mcc_key", {"mcc_code": "mcc_code", "mcc_description": "description"}),
+        ("currency", "currency_key", {"currency_code": "currency_code"}), ("program", "program_key", {"program_id": "program_id", "program_name": "program_name", "program_type": "program_type"}),
+        ("client", "client_key", {"client_id": "client_id", "client_legal_name": "legal_name"}),
+    ],
+    "settlements": [("currency", "currency_key", {"currency_code": "currency_code"})],
+    "reconciliation": [],
+    "rewards": [("currency", "currency_key", {"currency_code": "currency_code"}), ("offer", "offer_key", {"offer_id": "offer_id", "offer_type": "offer_type", "campaign_key": "campaign_key"})],
+}
 DATES = (("transaction", "transaction_timestamp"), ("settlement", "settlement_date"), ("reconciliation", "reconciled_date"), ("transaction_event", "event_timestamp"), ("reward_event", "event_timestamp"))
 CALENDAR = ("date_key", "full_date", "year", "quarter", "month", "month_name", "day", "day_of_week", "day_name", "week_of_year", "is_weekend")
 
@@ -226,9 +238,12 @@ class Star:
         names = {"month_name": F.date_format(d, "MMMM"), "day_name": F.date_format(d, "EEEE")}
         return days.select("full_date", *[c.alias(n) for n, c in (X.iso_calendar(d) | names).items()]).select(*CALENDAR)
 
-    def fact(self, name: str) -> DataFrame:
+    def fact(self, name: str, only: Sequence[str] | None = None) -> DataFrame:
+        """A fact; only: of its keys, those that are needed (a lookup is a join that can't be pruned)."""
+
         def make() -> DataFrame:
             entity, refs, columns, date, _ = FACTS[name]
+            refs = {r: v for r, v in refs.items() if only is None or r in only}
             x = self.entity(entity)
             if "operation" in x.columns:
                 x = x.filter("operation <> 'd'")
@@ -238,7 +253,9 @@ class Star:
             x = x.withColumn("date_key", X.date_key(F.col(date).cast("date")))
             return x.select("date_key", *refs, *[F.expr(e).alias(c) for c, e in columns.items()])
 
-        return self._once(f"fact {name}", make)
+        if f"fact {name}" in self.made or only is None:
+            return self._once(f"fact {name}", make)
+        return self._once(f"fact {name} {sorted(only)}", make)
 
     def gate(self) -> DataFrame:
         """(check_name, n_violations): keys unique in dimensions, grains of facts, references, counts against the sources, control totals."""
@@ -265,32 +282,29 @@ class Star:
     def control_totals(self) -> DataFrame:
         """Approved, settled and expected amounts; passed if all are there and equal."""
         one = [
-            gates.control_total(self.fact("transactions").filter("transaction_status = 'APPROVED'"), F.col("amount"), "approved"),
-            gates.control_total(self.fact("settlements"), F.col("settlement_amount"), "settled"),
-            gates.control_total(self.fact("reconciliation"), F.col("expected_amount"), "expected"),
+            gates.control_total(self.fact("transactions", ()).filter("transaction_status = 'APPROVED'"), F.col("amount"), "approved"),
+            gates.control_total(self.fact("settlements", ()), F.col("settlement_amount"), "settled"),
+            gates.control_total(self.fact("reconciliation", ()), F.col("expected_amount"), "expected"),
         ]
         x = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), one)  # one row each
         return x.withColumn("passed", F.expr("coalesce(approved = settled AND settled = expected, false)"))
 
-    def enriched(self, name: str) -> DataFrame:
-        """A fact with the attributes of its dimensions (all left joins)."""
-
-        def named(dim: str, *columns: str, **renamed: str) -> DataFrame:
-            return self.dimension(dim).select(f"{dim}_key" if dim != "date" else "date_key", *columns, *[F.col(c).alias(a) for a, c in renamed.items()])
-
-        x = self.fact(name).join(named("date", "full_date", "year", "month", "month_name"), "date_key", "left")
-        if name == "transactions":
-            x = x.join(named("merchant", "merchant_id", "merchant_name"), "merchant_key", "left").join(named("mcc", "mcc_code", mcc_description="description"), "mcc_key", "left")
-            x = x.join(named("currency", "currency_code"), "currency_key", "left").join(named("program", "program_id", "program_name", "program_type"), "program_key", "left")
-            return x.join(named("client", "client_id", client_legal_name="legal_name"), "client_key", "left")
-        if name == "settlements":
-            return x.join(named("currency", "currency_code"), "currency_key", "left")
-        if name == "reconciliation":
+    def enriched(self, name: str, needed: Collection[str] | None = None) -> DataFrame:
+        """A fact with the attributes of its dimensions (all left joins); with needed, only the joins that bring one of these columns."""
+        wants = lambda columns: needed is None or not {*columns}.isdisjoint(needed)
+        joins = [(dim, key, columns) for dim, key, columns in JOINS[name] if wants(columns) or (dim == "offer" and wants(CAMPAIGN))]
+        refs = FACTS[name][1]
+        x = self.fact(name, None if needed is None else [r for r in refs if r in needed or r in {k for _, k, _ in joins}])
+        if wants(("full_date", "year", "month", "month_name")):
+            x = x.join(self.dimension("date").select("date_key", "full_date", "year", "month", "month_name"), "date_key", "left")
+        for dim, key, columns in joins:
+            x = x.join(self.dimension(dim).select(key, *[F.col(c).alias(a) for a, c in columns.items()]), key, "left")
+        if name == "rewards" and wants(CAMPAIGN):
+            x = x.join(self.dimension("campaign").select("campaign_key", "campaign_id", "campaign_name"), "campaign_key", "left")
+        if name == "reconciliation" and wants(("settlement_batch_id", "currency_code", "settlement_amount", "settlement_date")):
             settled = self.enriched("settlements").select("settlement_id", "settlement_batch_id", "currency_code", "settlement_amount", F.col("full_date").alias("settlement_date"))
-            return x.join(settled, "settlement_id", "left")
-        offer = self.dimension("offer").select("offer_key", "offer_id", "offer_type", "campaign_key")
-        campaign = self.dimension("campaign").select("campaign_key", "campaign_id", "campaign_name")
-        return x.join(named("currency", "currency_code"), "currency_key", "left").join(offer, "offer_key", "left").join(campaign, "campaign_key", "left")
+            x = x.join(settled, "settlement_id", "left")
+        return x
 
 
 def _plain(text: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -30,7 +31,10 @@ class Mart:
         return df.groupBy(*self.grain).agg(*[F.expr(e).alias(n) for n, e in self.aggregates.items()])
 
     def build(self, star: Star) -> DataFrame:
-        return self.of(MARTS[self.source].build(star) if self.source in MARTS else star.enriched(self.source))
+        if self.source in MARTS:
+            return self.of(MARTS[self.source].build(star))
+        named = {*self.grain, *(c for c, _ in self.slicers), *re.findall(r"[a-z_]+", " ".join(self.aggregates.values()))}
+        return self.of(star.enriched(self.source, named))
 
     def sql(self) -> str:
         source = f"({MARTS[self.source].sql()})" if self.source in MARTS else f"n_{self.source}"

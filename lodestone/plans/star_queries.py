@@ -39,7 +39,7 @@ def control_total_identity(spark, sf):
     return spark.sql(
         """WITH t AS (SELECT (SELECT sum(amount) FROM {f} WHERE transaction_status = 'APPROVED') AS approved, (SELECT sum(settlement_amount) FROM {s}) AS settled, (SELECT sum(expected_amount) FROM {r}) AS expected)
         SELECT CAST(approved AS DOUBLE) AS approved, CAST(settled AS DOUBLE) AS settled, CAST(expected AS DOUBLE) AS expected, coalesce(round(approved, 2) = round(settled, 2) AND round(settled, 2) = round(expected, 2), false) AS identical FROM t""",
-        f=star.fact("transactions"), s=star.fact("settlements"), r=star.fact("reconciliation"),
+        f=star.fact("transactions", ()), s=star.fact("settlements", ()), r=star.fact("reconciliation", ()),
     )
 
 
