@@ -116,7 +116,7 @@ def hypergeometric_shuffle(df: DataFrame, shards: int = 24, seed: int = 20) -> D
     within = W.partitionBy("shard", "_bucket").orderBy(mix(3), "_row")
     places = sent.withColumn("_rank", F.row_number().over(within) - 1).join(offsets, ["shard", "_bucket"])
     places = places.select("_row", "shard", (F.col("_from") + F.col("_rank")).cast("long").alias("slot"))
-    return put_back(rows.join(places, "_row").select(*df.columns, "shard", "slot"), own)
+    return put_back(rows.join(places.hint("merge"), "_row").select(*df.columns, "shard", "slot"), own)
 
 
 def op4_hypergeometric_sharding(spark, sf_dir: str) -> DataFrame:
