@@ -1,8 +1,10 @@
 """Removes every byte covered by a 100-byte string that also starts earlier in the corpus.
 
 Strings can only be equal if they hold the same anchor: the smallest hash among their 24-byte
-grams (each 100-byte string has one, by its content alone). Neighbouring strings with one anchor
-form a context. Contexts are dealt to buckets by anchor, as two hashes and a place:
+grams (each 100-byte string has one, by its content alone), where grams that very many texts have
+come last: they are found in a sample of SAMPLE_BYTES, at most MOST_HOT of them, and are anchors only of
+strings that have no others. So a common phrase doesn't gather all its neighbourhoods in one place, whatever
+is in the sample, and no result depends on it. Neighbouring strings with one anchor form a context. Contexts are dealt to buckets by anchor, as two hashes and a place:
 
 1. Of contexts that are equal as a whole, all but the first are covered. Those equal inside one
    slice (SLICE_BYTES) of a task are told apart there, so a text with very many copies sends one row a slice.
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import n_tasks, spool, table
 
 LENGTH, GRAM, BUCKET_BYTES, PARTS, SLICE_BYTES = 100, 24, 16 << 20, 64, 1 << 19
+#: Sample for grams that are common: its bytes, the most grams, and how often one is in a slice, and in how large a share of the sample's texts.
+SAMPLE_BYTES, MOST_HOT, HOT_IN_SLICE, HOT_SHARE = 64 << 20, 100_000, 4, 0.005
 SPAN = LENGTH - GRAM + 1
 _M = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -56,7 +60,36 @@ def words8(data: np.ndarray) -> np.ndarray:
     return x[: len(data)]
 
 
-def contexts(texts: list[bytes]) -> dict[str, np.ndarray]:
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the 24 bytes from each place on."""
+    w = words8(data)
+    h = w[:-16] * _M[0]
+    h ^= h >> np.uint64(31)
+    for k in (1, 2):
+        h = (h ^ w[8 * k : len(w) - 16 + 8 * k]) * _M[k]
+        h ^= h >> np.uint64(29)
+    return h
+
+
+class Hot:
+    """Which hashes are among the common ones: a table of bits says no to nearly all others at once."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes.astype(np.uint64))
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[(self.hashes & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+
+    def last(self, h: np.ndarray) -> np.ndarray:
+        """h with the common ones behind all others; order is kept among each."""
+        out = h >> np.uint64(1)
+        if len(self.hashes):
+            at = np.flatnonzero(self.maybe[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
+            found = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+            out[at[self.hashes[found] == h[at]]] |= np.uint64(1 << 63)
+        return out
+
+
+def contexts(texts: list[bytes], hot: Hot) -> dict[str, np.ndarray]:
     """anchor, whole (hash of the context), doc (index), start, n (strings), again (repeats inside itself)."""
     sizes = np.array([len(x) for x in texts], np.int64)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
@@ -64,12 +97,7 @@ def contexts(texts: list[bytes]) -> dict[str, np.ndarray]:
     empty = {k: np.empty(0, t) for k, t in (("anchor", np.uint64), ("whole", np.uint64), ("doc", np.int64), ("start", np.uint32), ("n", np.uint8), ("again", np.uint8))}
     if sizes.max(initial=0) < LENGTH:
         return empty
-    w = words8(data)
-    h = w[:-16] * _M[0]
-    h ^= h >> np.uint64(31)
-    for k in (1, 2):
-        h = (h ^ w[8 * k : len(w) - 16 + 8 * k]) * _M[k]
-        h ^= h >> np.uint64(29)
+    h = hot.last(gram_hashes(data))
     m, width = h, 1
     while width * 2 <= SPAN:
         m = np.minimum(m[:-width], m[width:])
@@ -246,6 +274,24 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return x.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "no_id", "data", F.monotonically_increasing_id().alias("row"))
 
 
+def common_grams(docs: DataFrame, size: int) -> np.ndarray:
+    """Hashes of grams that are in many texts of a sample of docs (row, data); size: bytes of all."""
+    every = max(1, size // SAMPLE_BYTES)
+    sample = docs.filter(F.pmod(F.xxhash64("row"), F.lit(every)) == 0)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for parts, _ in stretches(b["data"].tolist()):
+                data = np.frombuffer(b"".join(parts) + bytes(GRAM), np.uint8)
+                grams, n = np.unique(gram_hashes(data), return_counts=True)
+                often = n >= HOT_IN_SLICE
+                yield pd.DataFrame({"gram": grams[often].view(np.int64), "n": n[often]})
+
+    n = sample.count()
+    found = sample.select("data").mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(16, int(HOT_SHARE * n)))
+    return np.array([r[0] for r in found.orderBy(F.desc("n"), "gram").limit(MOST_HOT).select("gram").collect()], np.int64).view(np.uint64)
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary: the remaining bytes) of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -255,13 +301,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     size, most = by_id.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     docs = docs.withColumn("row", F.col("doc_id")) if most < 2 else spool(_numbered(docs), "rows")
     buckets = max(n_tasks(spark), size // BUCKET_BYTES)
+    sent = spark.sparkContext.broadcast(Hot(common_grams(docs, size)))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b.sort_values("row", kind="stable")
             data, ids = b["data"].tolist(), b["row"].to_numpy(np.int64)
             for parts, at in stretches(data):
-                c = contexts(parts)
+                c = contexts(parts, sent.value)
                 text, start = np.array(at, np.int64).reshape(-1, 2)[c["doc"]].T
                 c["doc"], c["start"] = ids[text], (c["start"] + start).astype(np.uint32)
                 order = np.lexsort((c["whole"], c["anchor"]))
