@@ -24,13 +24,14 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, table
+from .common import shared_path, spool, table
 
-#: Records in an archive: bounds an archive's size.
-RECORDS_PER_ARCHIVE = 2000
+#: Records in an archive, of up to RECORD_BYTES each; of longer ones as many fewer, so that an archive's bytes are bounded too.
+RECORDS_PER_ARCHIVE, RECORD_BYTES = 2000, 1 << 17
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 FIELDS = "archive string, offset long, length long, record_id string, record_type string, target_uri string"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string"
@@ -44,12 +45,16 @@ def base32_sha1(data: Column) -> Column:
 
 
 def records_of(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """One WARC record (string, without the closing line ends) per page."""
+    """record: a WARC record (without the closing line ends) per page; size: bytes of its html.
+
+    Only digests that repeat, with their responses, are joined to the pages: a small table in most
+    collections, which Spark then broadcasts (it is stored, so its size is known), and html stays where it lies.
+    """
     page = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
     page = page.withColumn("digest", base32_sha1(F.encode("html", "UTF-8")))
     size = F.octet_length("html")
-    first = page.filter(size >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("first"))
-    page = page.join(first, "digest", "left")
+    first = page.filter(size >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("first"))
+    page = page.join(spool(first.filter("n > 1").select("digest", "first"), "responses"), "digest", "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     head = F.concat_ws(
         "\r\n",
@@ -65,11 +70,16 @@ def records_of(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), (F.when(again, 0).otherwise(size) + len(HTTP)).cast("string")),
     )
-    return page.select(F.concat(head, F.lit("\r\n\r\n" + HTTP), F.when(again, "").otherwise(F.col("html"))).alias("record"))
+    return page.select(F.concat(head, F.lit("\r\n\r\n" + HTTP), F.when(again, "").otherwise(F.col("html"))).alias("record"), size.alias("size"))
 
 
 def write_monolithic(records: DataFrame, path: str) -> None:
-    records.write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).text(path)
+    """Archives of records of like size, doubling from class to class: the longer, the fewer to an archive."""
+    size_class = F.ceil(F.log2(F.ceil(F.greatest(F.col("size"), F.lit(1)) / RECORD_BYTES).cast("double"))).cast("int")
+    classes = sorted(r[0] for r in records.select(size_class.alias("k")).distinct().collect())
+    for k in classes or [0]:
+        some = records.filter(size_class == k).select("record").write.mode("append").option("compression", "gzip").option("lineSep", "\r\n\r\n")
+        some.option("maxRecordsPerFile", max(1, RECORDS_PER_ARCHIVE >> k)).text(path)
 
 
 def archives(spark: SparkSession, path: str) -> DataFrame:
@@ -200,33 +210,26 @@ def parse(record: bytes) -> tuple:
     return _number(fields["warc-record-id"]), size, digest, kind, _number(fields.get("warc-refers-to")), fields.get("warc-target-uri")
 
 
-def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
-
-
-def read_all(spark: SparkSession, path: str) -> DataFrame:
-    """All records with the archive, offset and length of their members."""
-    schema = f"archive string, offset long, length long, {RECORD}"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for name, content in zip(b["archive"], b["content"], strict=True):
-                yield _frame([(name, at, size, *parse(record)) for at, size, record in members_of(content)], schema)
-
-    return normalised(spark, path).mapInPandas(run, schema)
+def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
 def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
-    """Only the records that index names, each inflated alone by its offset."""
+    """The records that index names, each inflated alone by its offset."""
+    names = [x.split()[0] for x in RECORD.split(", ")]
+    kinds = [pa.int64() if x.endswith(" long") else pa.string() for x in RECORD.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content, spans in zip(b["content"], b["spans"], strict=True):
-                view = memoryview(content)
-                yield _frame([parse(zlib.decompress(view[s["offset"] : s["offset"] + s["length"]], 31)) for s in spans], RECORD)
+            for content, spans in zip(b.column("content"), b.column("spans"), strict=True):
+                view = memoryview(content.as_buffer())
+                spans = spans.as_py()
+                for k in range(0, len(spans), 500):
+                    yield _batch([parse(zlib.decompress(view[s["offset"] : s["offset"] + s["length"]], 31)) for s in spans[k : k + 500]], kinds, names)
 
     spans = index.groupBy("archive").agg(F.collect_list(F.struct("offset", "length")).alias("spans"))
-    return normalised(spark, path).join(spans, "archive").select("content", "spans").mapInPandas(run, RECORD)
+    return normalised(spark, path).join(spans.hint("merge"), "archive").select("content", "spans").mapInArrow(run, RECORD)
 
 
 def op1_warc_normaliser(spark, sf_dir: str) -> DataFrame:
@@ -236,8 +239,7 @@ def op1_warc_normaliser(spark, sf_dir: str) -> DataFrame:
     normalise(spark, f"{home}/monolithic", f"{home}/members")
     index_of(spark, f"{home}/members").write.parquet(f"{home}/index")
     index = spark.read.schema(FIELDS).parquet(f"{home}/index")
-    found = read_all(spark, f"{home}/members").join(index.select("archive", "offset", "length"), ["archive", "offset", "length"])
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_records(spark, f"{home}/members", index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES = {"op1_warc_normaliser": op1_warc_normaliser}
