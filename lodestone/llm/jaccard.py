@@ -13,9 +13,10 @@ documents is ever a row: a task returns each class's number of links and the sma
 is tied to. So groups of copies and of near copies of any size neither fill a task nor a shuffle.
 
 Words are runs of non-blanks, as they are. A text of 1 to 4 words is one shingle. Texts without a word
-(and null) have no shingles: no links, a class each. Rows with null ids are returned with null
-class and no links. Repeated rows are members of one class, each with a row. Empty table: empty
-result.
+(and null) have no shingles: no links, a class each. Where ids are null or repeat, rows are numbered
+by id (nulls last) and by a hash of their text and stored once, so that all are compared, each with a row of
+its own; a class that a row without an id stands for has a null class_id. Repeated rows are members of one class.
+Empty table: empty result. Other columns, whatever their names, are not read, and pass through one_of_each_group.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, spool, table, word_of
+from .common import put_back, set_aside, slices, spool, table, word_of
 from .graph import components
 
 SHINGLE, NUM, DEN = 5, 4, 5
@@ -181,9 +182,30 @@ def _compare(group: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with _row, unique and in the order of ids: the ids themselves if they are unique, else numbers, stored once; and whether they are the ids."""
+    most, nulls = docs.groupBy("doc_id").count().agg(F.coalesce(F.max("count"), F.lit(0)), F.count_if(F.col("doc_id").isNull())).first()
+    if most < 2 and not nulls:
+        return docs.withColumn("_row", F.col("doc_id").cast("long")), True
+    order = [F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_nth"]
+    x = docs.withColumn("_nth", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    return spool(x.drop("_nth").withColumn("_row", F.monotonically_increasing_id()), "rows"), False
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, group_id, n_links: see the module's text. group_id: the smallest id that links lead to."""
-    docs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
+    rows, are_ids = keyed(docs.select("doc_id", "text"))
+    found = links_of(rows.select(F.col("_row").alias("doc_id"), "text"))
+    if are_ids:
+        return found
+    ids = rows.select("_row", F.col("doc_id").alias("_id"))
+    for c in ("class_id", "group_id", "doc_id"):
+        found = found.join(ids, F.col(c) == F.col("_row")).drop(c, "_row").withColumnRenamed("_id", c)
+    return found.select("doc_id", "class_id", "group_id", "n_links")
+
+
+def links_of(docs: DataFrame) -> DataFrame:
+    """near_duplicates() of docs (doc_id, text) whose ids are unique and never null."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
@@ -242,17 +264,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each group; repeated rows become one, rows with null ids stay."""
-    found = near_duplicates(docs)
-    kept = found.filter("doc_id = group_id").select("doc_id").distinct()
-    alone = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return alone.unionByName(docs.filter("doc_id IS NULL"))
+    """The first row of each group, by id: so of repeated rows one stays, and of different texts with one id each that is no near copy of another."""
+    docs, own = set_aside(docs)
+    rows, _ = keyed(docs)
+    found = links_of(rows.select(F.col("_row").alias("doc_id"), "text"))
+    kept = found.filter("doc_id = group_id").select(F.col("doc_id").alias("_row"))
+    return put_back(rows.join(kept, "_row", "left_semi").select(*docs.columns), own)
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    nobody = docs.filter("doc_id IS NULL").select("doc_id", *[F.lit(None).cast("long").alias(c) for c in ("class_id", "group_id")], F.lit(0).cast("long").alias("n_links"))
-    return near_duplicates(docs).unionByName(nobody)
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op7_ngram_jaccard_join": op7_ngram_jaccard_join}
