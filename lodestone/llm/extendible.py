@@ -65,7 +65,7 @@ def directory(keys: DataFrame, capacity: int = CAPACITY, doublings: int = DOUBLI
 
 
 def build(base: DataFrame, heads: DataFrame, capacity: int = CAPACITY, doublings: int = DOUBLINGS) -> DataFrame:
-    """The stored index of base (doc_id, key, text): bucket, depth, key, chain, chain_length, keep_id, group_size, n_bytes, text_sha256, text (of chains). heads: (key, n_rows)."""
+    """The stored index of base (doc_id, key, text): bucket, depth, key, chain, chain_length, keep_id, group_size, n_bytes, text_sha256, text (of chains), _first. heads: (key, n_rows, _first: the row that stays if the key has one text)."""
     slots, depth = directory(heads.select("key"), capacity, doublings)
     n_rows = heads.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
     hot = F.broadcast(heads.filter(F.col("n_rows") >= max(2, n_rows // HOT + 1)).select("key"))
@@ -80,7 +80,7 @@ def build(base: DataFrame, heads: DataFrame, capacity: int = CAPACITY, doublings
         "slot", "key", "chain", "chain_length", "keep_id", "group_size", F.octet_length("text").cast("long").alias("n_bytes"),
         F.sha2("text", 256).alias("text_sha256"), F.when(F.col("chain_length") > 1, F.col("text")).alias("text"),
     )
-    return spool(entry.join(slots, "slot").drop("slot"), "index")
+    return spool(entry.join(slots, "slot").drop("slot").join(heads.select("key", "_first"), "key"), "index")
 
 
 def classes(docs: DataFrame, hashed: Callable[[Column], Column] = F.xxhash64, capacity: int = CAPACITY, doublings: int = DOUBLINGS) -> tuple[DataFrame, DataFrame]:
@@ -92,8 +92,8 @@ def classes(docs: DataFrame, hashed: Callable[[Column], Column] = F.xxhash64, ca
     index = build(base, heads, capacity, doublings)
     known = ["keep_id", "group_size", "text_sha256", "n_bytes", "bucket", "chain"]
     kept = (F.col("_row") == -F.col("_first")["_row"]).alias("kept")
-    alone = index.filter("chain_length = 1").select("key", *known)
-    out = base.select("key", "doc_id", "_row").join(alone, "key").join(heads.select("key", "_first"), "key").select("doc_id", "_row", *known, kept)
+    alone = index.filter("chain_length = 1").select("key", "_first", *known)
+    out = base.select("key", "doc_id", "_row").join(alone, "key").select("doc_id", "_row", *known, kept)
     several = index.filter("chain_length > 1")
     if not several.isEmpty():
         rows = base.join(several.select("key").distinct(), "key", "left_semi")
