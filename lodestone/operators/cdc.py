@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold
+
 ENVELOPE = """payload struct<op:string,before:string,after:string,
  source:struct<connector:string,name:string,db:string,schema:string,table:string,lsn:bigint,ts_ms:bigint,snapshot:string>,
  transaction:struct<id:string,total_order:bigint,data_collection_order:bigint>>"""
@@ -87,16 +89,64 @@ def _transition(now: tuple, op: str | None, lsn: int | None, digest: str | None)
     return "stale_skipped"
 
 
-def fold_rows(events: DataFrame, key: str, state: DataFrame | None = None) -> DataFrame:
+def transition(now: Column, op: Column, lsn: Column, digest: Column) -> Column:
+    """Disposition of an event in a state (lsn, deleted, digest), which is null at first."""
+    at, gone = now["lsn"], F.coalesce(now["deleted"], F.lit(False))
+    none, newer, same = at.isNull(), F.coalesce(lsn > at, F.lit(False)), F.coalesce(now["digest"] == digest, F.lit(False))
+    return (
+        F.when(op == "d", F.when(none | newer, "deleted").otherwise("stale_skipped"))
+        .when(none, "inserted")
+        .when(gone & ~newer & lsn.isNotNull(), "stale_skipped")
+        .when(gone, F.when(op == "c", "inserted").otherwise("conflict_update_after_delete"))
+        .when(newer, F.when(same, "unchanged").otherwise("updated"))
+        .when(lsn == at, F.when(same, "unchanged").otherwise("conflict_same_lsn"))
+        .otherwise("stale_skipped")
+    )
+
+
+ORDER = ("_new", "kafka_offset", "operation", "source_lsn", "digest", "record")
+CHANGES = ("inserted", "updated", "deleted")
+
+
+def fold_rows(events: DataFrame, key: str, state: DataFrame | None = None, **limits: int) -> DataFrame:
     """(key, kafka_offset, disposition, state, is_last): a row an event other than a tombstone of (key, kafka_offset, operation, source_lsn, digest, record), and at a key's end a row with its state and is_last. state: a stored one (key, state).
 
-    Rows pass in order and only the state of the key at hand is held, so a key may have any number of events.
+    In window functions (see folds); a key whose late events take more rounds than those, by limits, goes through one task in order.
     """
-    by = [key, "_new", "kafka_offset", "operation", "source_lsn", "digest", "record"]
+    x = _with_state(events, key, state)
+    deleted = F.when(F.col("_given"), F.col("_deleted")).otherwise(F.col("operation") == "d")
+    dead = F.col("operation") == "d"
+    becomes = F.struct(F.col("source_lsn").alias("lsn"), deleted.alias("deleted"), F.when(~F.coalesce(dead, F.lit(False)), F.col("digest")).alias("digest"))
+    opens = F.when(F.col("_given"), ~F.coalesce("_deleted", F.lit(False))).when(F.col("operation").isin("c", "d"), F.col("operation") == "c")
+    say = lambda now: transition(now, F.col("operation"), F.col("source_lsn"), F.col("digest"))
+    done, rest = fold(x, key, ORDER, becomes, say, CHANGES, F.col("source_lsn"), opens, F.expr("kafka_offset div 1000000"), **limits)
+    none = F.lit(None)
+    said = done.filter("_new").select(key, "kafka_offset", F.col("_said").alias("disposition"), none.cast(STATE).alias("state"), F.lit(False).alias("is_last"))
+    # the last changing row of a key holds its state
+    last = done.filter("_changed").groupBy(key).agg(F.max(F.struct(*ORDER, deleted.alias("deleted"))).alias("e"))
+    gone = F.col("e.operation").eqNullSafe(F.lit("d"))
+    held = F.struct(F.col("e.source_lsn").alias("lsn"), F.col("e.deleted").alias("deleted"), F.when(~gone, F.col("e.digest")).alias("digest"), F.when(~gone, F.col("e.record")).alias("record"))
+    out = said.unionByName(last.select(key, none.cast("long").alias("kafka_offset"), none.cast("string").alias("disposition"), held.alias("state"), F.lit(True).alias("is_last")))
+    return out if rest is None else out.unionByName(_in_order(rest, key))
+
+
+def _with_state(events: DataFrame, key: str, state: DataFrame | None) -> DataFrame:
+    """The events that count, and for each stored state a row that comes before its key's events."""
     x = events.filter("operation IS NULL OR operation <> 't'").select(key, F.lit(True).alias("_new"), F.col("kafka_offset").cast("long").alias("kafka_offset"), "operation", F.col("source_lsn").cast("long").alias("source_lsn"), "digest", "record", F.lit(False).alias("_deleted"))
     if state is not None:
         old = state.select(key, F.lit(False).alias("_new"), F.lit(None).cast("long").alias("kafka_offset"), F.lit(None).cast("string").alias("operation"), F.col("state.lsn").alias("source_lsn"), "state.digest", "state.record", F.col("state.deleted").alias("_deleted"))
         x = x.unionByName(old)
+    return x.withColumn("_given", ~F.col("_new"))
+
+
+def fold_in_order(events: DataFrame, key: str, state: DataFrame | None = None) -> DataFrame:
+    """fold_rows with each key's rows passing through one task in order; only the state of the key at hand is held."""
+    return _in_order(_with_state(events, key, state), key)
+
+
+def _in_order(x: DataFrame, key: str) -> DataFrame:
+    by = [key, *ORDER]
+    x = x.drop("_given")
     kind = x.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

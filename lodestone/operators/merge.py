@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .folds import fold
+
 
 def latest_wins(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], compare: str, order: str) -> DataFrame:
     """The row of each key with the greatest compare; ties go to incoming, then to the later row."""
@@ -54,16 +56,39 @@ def _freshness(now: tuple, stamp, digest: str | None) -> str:
     return "updated" if stamp > at else "stale_skipped"
 
 
-def fresh_upsert_rows(state: DataFrame, batch: DataFrame, key: str, stamp: str, digest: str, order: str) -> DataFrame:
-    """(key, order, disposition, stamp, digest, is_last): a row for each of the batch's, and at a key's end one with what it holds by then.
+def freshness(now: Column, stamp: Column, digest: Column) -> Column:
+    """inserted if the key is absent; unchanged if the digest is the same; otherwise updated by a newer stamp, stale_skipped by an older one, upsert_conflict by an equal or missing one."""
+    at, held = now["at"], now["held"]
+    odd = at.isNull() | stamp.isNull() | (at == stamp)
+    return F.when(held.isNull(), "inserted").when(F.coalesce(held == digest, F.lit(False)), "unchanged").when(odd, "upsert_conflict").when(stamp > at, "updated").otherwise("stale_skipped")
+
+
+def fresh_upsert_rows(state: DataFrame, batch: DataFrame, key: str, stamp: str, digest: str, order: str, **limits: int) -> DataFrame:
+    """(key, order, disposition, stamp, digest, is_last): a row for each of the batch's, judged by freshness() in order, and at a key's end one with what it holds by then.
 
-    inserted if the key is absent; unchanged if the digest is the same; otherwise updated by a newer
-    stamp, stale_skipped by an older one, upsert_conflict by an equal or missing one. A key's rows pass in
-    order, and only what the key holds is kept.
+    In window functions (see folds); a key that doesn't settle in these goes through one task in order.
     """
+    x = _with_state(state, batch, key, stamp, digest, order)
+    by = ("_new", order, stamp, digest)
+    becomes = F.struct(F.col(stamp).alias("at"), F.col(digest).alias("held"))
+    chunk = F.floor(F.col(order).cast("double") / 1_000_000) if isinstance(x.schema[order].dataType, T.NumericType) else None
+    done, rest = fold(x, key, by, becomes, lambda now: freshness(now, F.col(stamp), F.col(digest)), ("inserted", "updated"), F.col(stamp), None, chunk, **limits)
+    said = done.filter("NOT _given").select(key, order, F.col("_said").alias("disposition"), stamp, digest, F.lit(False).alias("is_last"))
+    last = done.filter("_changed").groupBy(key).agg(F.max(F.struct(*by)).alias("e"))
+    out = said.unionByName(last.select(key, F.lit(None).cast(x.schema[order].dataType).alias(order), F.lit(None).cast("string").alias("disposition"), F.col("e")[stamp].alias(stamp), F.col("e")[digest].alias(digest), F.lit(True).alias("is_last")))
+    return out if rest is None else out.unionByName(_upsert_in_order(rest, key, stamp, digest, order))
+
+
+def _with_state(state: DataFrame, batch: DataFrame, key: str, stamp: str, digest: str, order: str) -> DataFrame:
     new = batch.select(key, F.lit(1).alias("_new"), order, stamp, digest)
     old = state.select(key, F.lit(0).alias("_new"), F.lit(None).cast(new.schema[order].dataType).alias(order), F.col(stamp).cast(new.schema[stamp].dataType).alias(stamp), digest)
-    kinds = {n: new.schema[n].dataType for n in (key, order, stamp, digest)}
+    return old.unionByName(new).withColumn("_given", F.col("_new") == 0)
+
+
+def _upsert_in_order(rows: DataFrame, key: str, stamp: str, digest: str, order: str) -> DataFrame:
+    """fresh_upsert_rows of rows as _with_state gives them, each key's passing through one task; only what the key holds is kept."""
+    rows = rows.drop("_given")
+    kinds = {n: rows.schema[n].dataType for n in (key, order, stamp, digest)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begun, at, now, shape = False, None, (None, None), None
@@ -74,11 +99,11 @@ def fresh_upsert_rows(state: DataFrame, batch: DataFrame, key: str, stamp: str,
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[key, order, "disposition", stamp, digest, "is_last"])
 
         for b in batches:
-            shape, rows = b.schema, []
+            shape, done = b.schema, []
             for k, is_new, o, s, d in zip(*(b.column(c).to_pylist() for c in (key, "_new", order, stamp, digest)), strict=True):
                 if not begun or k != at:
                     if begun:
-                        rows.append((at, None, None, *now, True))
+                        done.append((at, None, None, *now, True))
                     begun, at, now = True, k, (None, None)
                 if not is_new:
                     now = s, d
@@ -86,13 +111,13 @@ def fresh_upsert_rows(state: DataFrame, batch: DataFrame, key: str, stamp: str,
                 say = _freshness(now, s, d)
                 if say in ("inserted", "updated"):
                     now = s, d
-                rows.append((k, o, say, s, d, False))
-            yield out(rows)
+                done.append((k, o, say, s, d, False))
+            yield out(done)
         if begun:
             yield out([(at, None, None, *now, True)])
 
     schema = T.StructType([T.StructField(key, kinds[key]), T.StructField(order, kinds[order]), T.StructField("disposition", T.StringType()), T.StructField(stamp, kinds[stamp]), T.StructField(digest, kinds[digest]), T.StructField("is_last", T.BooleanType())])
-    return old.unionByName(new).repartition(F.col(key)).sortWithinPartitions(key, "_new", order, stamp, digest).mapInArrow(run, schema)
+    return rows.repartition(F.col(key)).sortWithinPartitions(key, "_new", order, stamp, digest).mapInArrow(run, schema)
 
 
 def fresh_upsert(state: DataFrame, batch: DataFrame, key: str, stamp: str, digest: str, order: str) -> DataFrame:

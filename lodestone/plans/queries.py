@@ -231,7 +231,9 @@ def freshness_upsert(spark, sf):
     f = E.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").alias("s"))
     old = f.filter("k % 3 <> 0").select("k", "s", F.col("s").cast("string").alias("d"))
     batch = f.selectExpr("k", "CASE WHEN k % 5 = 0 THEN s + 1 WHEN k % 5 = 1 THEN s - 1 WHEN k % 5 = 2 THEN s END AS s", "CASE WHEN k % 7 = 0 THEN cast(s AS string) ELSE 'new' END AS d", "0 AS o")
-    return merge.fresh_upsert(old, batch, "k", "s", "d", "o").select("k", F.col("dispositions")[0].alias("disposition"), "s")
+    x = merge.fresh_upsert_rows(old, batch, "k", "s", "d", "o")
+    one = x.groupBy("k").agg(F.max("disposition").alias("disposition"), F.max(F.when(F.col("is_last"), F.col("s"))).alias("s"))  # a row a key in this batch
+    return one.filter("disposition IS NOT NULL")
 
 
 CHANGE = "CASE event_type WHEN 'signup' THEN 'c' WHEN 'error' THEN 'd' WHEN 'purchase' THEN 'r' ELSE 'u' END"

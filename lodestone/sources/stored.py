@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders made for local sessions, by application: Spark lets nobody set spark.checkpoint.dir on a running session.
+_made: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder of its own only in local mode."""
     conf = spark.sparkContext.getConf()
@@ -17,9 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
         return found
     if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _made:
+        _made[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _made[app]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
