@@ -82,9 +82,13 @@ def first_json_key(c: Column) -> Column:
     return F.get(F.map_keys(F.from_json(c, "map<string,string>")), F.lit(0))
 
 
+#: Nulls are written out, and times keep their microseconds.
+JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 def record_hash(names: Sequence[str]) -> Column:
     """SHA-256 of the named columns in order of name; a null differs from an absent value and from an empty one."""
-    return F.sha2(F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"}), 256)
+    return F.sha2(F.to_json(F.struct(*sorted(names)), JSON), 256)
 
 
 def fee(amount: Column, rate: str = "0.015") -> Column:

@@ -192,7 +192,18 @@ def fold_current_state(events: DataFrame, key: str, state: DataFrame | None = No
 
 
 def fold_event_log(events: DataFrame, key: str) -> DataFrame:
-    """(key, offset, disposition): a delete is always appended and frees the key; others are appended once until then."""
-    before = F.lag("operation").over(Window.partitionBy(key).orderBy("kafka_offset", "operation"))
+    """(key, kafka_offset, disposition) of fold_log_rows."""
+    return fold_log_rows(events, key).filter("NOT is_last").select(key, "kafka_offset", "disposition")
+
+
+def fold_log_rows(events: DataFrame, key: str, state: DataFrame | None = None) -> DataFrame:
+    """As fold_rows: a delete is always appended and frees the key; others are appended once until then. An appended row's state is the event itself, the one at a key's end says by `deleted` whether the key is free."""
+    x = _with_state(events, key, state).withColumn("operation", F.when(F.col("_given"), F.when(F.col("_deleted"), "d").otherwise("c")).otherwise(F.col("operation")))
+    before = F.lag("operation").over(Window.partitionBy(key).orderBy("_new", "kafka_offset", "operation"))
     say = F.when((F.col("operation") != "d") & (before != "d"), "duplicate_primary_key").otherwise("appended")
-    return events.select(key, F.col("kafka_offset").cast("long").alias("kafka_offset"), say.alias("disposition"))
+    itself = F.struct(F.col("source_lsn").alias("lsn"), (F.col("operation") == "d").alias("deleted"), "digest", "record")
+    said = x.withColumn("disposition", say).filter("_new").select(key, "kafka_offset", "disposition", F.when(F.col("disposition") == "appended", itself).alias("state"), F.lit(False).alias("is_last"))
+    last = x.groupBy(key).agg(F.max(F.struct("_new", "kafka_offset", "operation", "source_lsn")).alias("e"))
+    end = F.struct(F.col("e.source_lsn").alias("lsn"), (F.col("e.operation") == "d").alias("deleted"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("string").alias("record"))
+    none = F.lit(None)
+    return said.unionByName(last.select(key, none.cast("long").alias("kafka_offset"), none.cast("string").alias("disposition"), end.alias("state"), F.lit(True).alias("is_last")))

@@ -2,45 +2,136 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import record_hash
+from ..functions.scalars import JSON, record_hash
+from ..sources.stored import stored
 from . import cdc
 from .checks import ColumnSpec, TableSpec
 
-#: Table, key, mode, columns. ! is required, + positive; kinds are string but where given; {} are the allowed values.
-TABLES = """
-clients client_id state: client_id! lei! legal_name! client_type!{ISSUER,NETWORK,PROGRAM_OWNER} country_code onboarding_date:date! status! source_type!
-programs program_id state: program_id! client_id! program_name! program_type!{CASHBACK,LOYALTY,CO_BRAND} currency_code! status! start_date:date! source_type!
-campaigns campaign_id state: campaign_id! program_id! campaign_name! start_date:date! end_date:date! status!{ACTIVE,ENDED,SCHEDULED} source_type!
-offers offer_id state: offer_id! campaign_id! eligible_mcc_code offer_type!{CASHBACK_PCT,FIXED_AMOUNT} offer_value:decimal!+ min_transaction_amount:decimal!+ currency_code! status! valid_from:date! valid_to:date! source_type!
-cardholders cardholder_id state: cardholder_id! pseudonym! country_code! enrolled_program_id! enrollment_date:date! source_type!
-card_tokens token_id state: token_id! cardholder_id! bin_range! card_brand! token_status!{ACTIVE,SUSPENDED,EXPIRED} issued_date:date! source_type!
-transactions transaction_id state: transaction_id! token_id! merchant_id! mcc_code! mcc_confidence:decimal! currency_code! amount:decimal!+ transaction_timestamp:timestamp! status!{APPROVED,DECLINED} decline_reason auth_code source_type!
-settlements settlement_id state: settlement_id! transaction_id! settlement_batch_id! settlement_date:date! settlement_amount:decimal!+ settlement_currency! fee_amount:decimal! net_amount:decimal!+ source_type!
-reconciliation reconciliation_id state: reconciliation_id! settlement_id! expected_amount:decimal! actual_amount:decimal! variance:decimal! match_status!{MATCHED,EXCEPTION} reconciled_date:date! source_type!
-transaction_events event_id log: event_id! transaction_id! event_type!{AUTHORIZATION,CAPTURE,REVERSAL} event_timestamp:timestamp! event_status! source_type!
-reward_events reward_id log: reward_id! transaction_id! offer_id! qualification_status!{QUALIFIED,NOT_QUALIFIED} reward_amount:decimal! reward_currency! event_timestamp:timestamp! source_type!
-"""
-_column = re.compile(r"(\w+)(?::(\w+))?(!?)(\+?)(?:\{([\w,]+)\})?")
+#: The eleven tables, their keys, whether they hold states or a log, and what their columns must satisfy.
+SPECS: tuple[tuple[TableSpec, str], ...] = (
+    (TableSpec("clients", "client_id", (
+        ColumnSpec("client_id", required=True),
+        ColumnSpec("lei", required=True),
+        ColumnSpec("legal_name", required=True),
+        ColumnSpec("client_type", required=True, values=("ISSUER", "NETWORK", "PROGRAM_OWNER")),
+        ColumnSpec("country_code"),
+        ColumnSpec("onboarding_date", "date", required=True),
+        ColumnSpec("status", required=True),
+        ColumnSpec("source_type", required=True),
+    )), "state"),
+    (TableSpec("programs", "program_id", (
+        ColumnSpec("program_id", required=True),
+        ColumnSpec("client_id", required=True),
+        ColumnSpec("program_name", required=True),
+        ColumnSpec("program_type", required=True, values=("CASHBACK", "LOYALTY", "CO_BRAND")),
+        ColumnSpec("currency_code", required=True),
+        ColumnSpec("status", required=True),
+        ColumnSpec("start_date", "date", required=True),
+        ColumnSpec("source_type", required=True),
+    )), "state"),
+    (TableSpec("campaigns", "campaign_id", (
+        ColumnSpec("campaign_id", required=True),
+        ColumnSpec("program_id", required=True),
+        ColumnSpec("campaign_name", required=True),
+        ColumnSpec("start_date", "date", required=True),
+        ColumnSpec("end_date", "date", required=True),
+        ColumnSpec("status", required=True, values=("ACTIVE", "ENDED", "SCHEDULED")),
+        ColumnSpec("source_type", required=True),
+    )), "state"),
+    (TableSpec("offers", "offer_id", (
+        ColumnSpec("offer_id", required=True),
+        ColumnSpec("campaign_id", required=True),
+        ColumnSpec("eligible_mcc_code"),
+        ColumnSpec("offer_type", required=True, values=("CASHBACK_PCT", "FIXED_AMOUNT")),
+        ColumnSpec("offer_value", "decimal(18,4)", required=True, positive=True),
+        ColumnSpec("min_transaction_amount", "decimal(18,4)", required=True, positive=True),
+        ColumnSpec("currency_code", required=True),
+        ColumnSpec("status", required=True),
+        ColumnSpec("valid_from", "date", required=True),
+        ColumnSpec("valid_to", "date", required=True),
+        ColumnSpec("source_type", required=True),
+    )), "state"),
+    (TableSpec("cardholders", "cardholder_id", (
+        ColumnSpec("cardholder_id", required=True),
+        ColumnSpec("pseudonym", required=True),
+        ColumnSpec("country_code", required=True),
+        ColumnSpec("enrolled_program_id", required=True),
+        ColumnSpec("enrollment_date", "date", required=True),
+        ColumnSpec("source_type", required=True),
+    )), "state"),
+    (TableSpec("card_tokens", "token_id", (
+        ColumnSpec("token_id", required=True),
+        ColumnSpec("cardholder_id", required=True),
+        ColumnSpec("bin_range", required=True),
+        ColumnSpec("card_brand", required=True),
+        ColumnSpec("token_status", required=True, values=("ACTIVE", "SUSPENDED", "EXPIRED")),
+        ColumnSpec("issued_date", "date", required=True),
+        ColumnSpec("source_type", required=True),
+    )), "state"),
+    (TableSpec("transactions", "transaction_id", (
+        ColumnSpec("transaction_id", required=True),
+        ColumnSpec("token_id", required=True),
+        ColumnSpec("merchant_id", required=True),
+        ColumnSpec("mcc_code", required=True),
+        ColumnSpec("mcc_confidence", "decimal(18,4)", required=True),
+        ColumnSpec("currency_code", required=True),
+        ColumnSpec("amount", "decimal(18,4)", required=True, positive=True),
+        ColumnSpec("transaction_timestamp", "timestamp", required=True),
+        ColumnSpec("status", required=True, values=("APPROVED", "DECLINED")),
+        ColumnSpec("decline_reason"),
+        ColumnSpec("auth_code"),
+        ColumnSpec("source_type", required=True),
+    )), "state"),
+    (TableSpec("settlements", "settlement_id", (
+        ColumnSpec("settlement_id", required=True),
+        ColumnSpec("transaction_id", required=True),
+        ColumnSpec("settlement_batch_id", required=True),
+        ColumnSpec("settlement_date", "date", required=True),
+        ColumnSpec("settlement_amount", "decimal(18,4)", required=True, positive=True),
+        ColumnSpec("settlement_currency", required=True),
+        ColumnSpec("fee_amount", "decimal(18,4)", required=True),
+        ColumnSpec("net_amount", "decimal(18,4)", required=True, positive=True),
+        ColumnSpec("source_type", required=True),
+    )), "state"),
+    (TableSpec("reconciliation", "reconciliation_id", (
+        ColumnSpec("reconciliation_id", required=True),
+        ColumnSpec("settlement_id", required=True),
+        ColumnSpec("expected_amount", "decimal(18,4)", required=True),
+        ColumnSpec("actual_amount", "decimal(18,4)", required=True),
+        ColumnSpec("variance", "decimal(18,4)", required=True),
+        ColumnSpec("match_status", required=True, values=("MATCHED", "EXCEPTION")),
+        ColumnSpec("reconciled_date", "date", required=True),
+        ColumnSpec("source_type", required=True),
+    )), "state"),
+    (TableSpec("transaction_events", "event_id", (
+        ColumnSpec("event_id", required=True),
+        ColumnSpec("transaction_id", required=True),
+        ColumnSpec("event_type", required=True, values=("AUTHORIZATION", "CAPTURE", "REVERSAL")),
+        ColumnSpec("event_timestamp", "timestamp", required=True),
+        ColumnSpec("event_status", required=True),
+        ColumnSpec("source_type", required=True),
+    )), "log"),
+    (TableSpec("reward_events", "reward_id", (
+        ColumnSpec("reward_id", required=True),
+        ColumnSpec("transaction_id", required=True),
+        ColumnSpec("offer_id", required=True),
+        ColumnSpec("qualification_status", required=True, values=("QUALIFIED", "NOT_QUALIFIED")),
+        ColumnSpec("reward_amount", "decimal(18,4)", required=True),
+        ColumnSpec("reward_currency", required=True),
+        ColumnSpec("event_timestamp", "timestamp", required=True),
+        ColumnSpec("source_type", required=True),
+    )), "log"),
+)
 
 
 def specs() -> dict[str, tuple[TableSpec, str]]:
     """Table -> (its spec, state or log)."""
-    out = {}
-    for line in TABLES.strip().splitlines():
-        head, _, rest = line.partition(": ")
-        name, key, mode = head.split()
-        columns = []
-        for m in map(_column.fullmatch, rest.split()):
-            kind = {"decimal": "decimal(18,4)", None: "string"}.get(m[2], m[2])
-            columns.append(ColumnSpec(m[1], kind, bool(m[3]), bool(m[4]), tuple((m[5] or "").split(",")) if m[5] else ()))
-        out[name] = TableSpec(name, key, tuple(columns)), mode
-    return out
+    return {spec.name: (spec, mode) for spec, mode in SPECS}
 
 
 def key_text(spec: TableSpec) -> Column:
@@ -58,42 +149,46 @@ def typed_events(bronze: DataFrame, spec: TableSpec) -> DataFrame:
     bronze: kafka_offset, operation, before, after, source_lsn, and problem if envelopes were parsed.
     """
     is_delete = F.col("operation") == "d"
-    image = F.when(is_delete, F.col("before")).otherwise(F.col("after"))
+    image = F.when(is_delete, F.col("before")).when(F.coalesce(F.col("operation") != "seen", F.lit(True)), F.col("after"))
     problem = F.col("problem") if "problem" in bronze.columns else F.lit(None).cast("string")
     x = bronze.select(F.col("kafka_offset").cast("long").alias("_off"), F.col("operation").alias("_op"), F.col("source_lsn").cast("long").alias("_lsn"), problem.alias("_problem"), image.alias("_image"))
-    values = F.from_json("_image", "map<string,string>")
-    x = x.select("_off", "_op", "_lsn", "_problem", "_image", *spec.typed(values))
+    x = x.withColumn("_values", F.from_json("_image", "map<string,string>"))
+    x = x.select("_off", "_op", "_lsn", "_problem", "_image", *spec.typed(F.col("_values")))
     reason: Column = F.coalesce("_problem", F.when(F.col("_image").isNull(), "missing_payload_for_operation"), spec.first_failure(F.col("_op") == "d"))
     return x.withColumn("_reason", F.when(F.col("_op") != "t", reason)).drop("_problem", "_image")
 
 
+def judged(bronze: DataFrame, spec: TableSpec, checkpoint: DataFrame | None = None) -> DataFrame:
+    """A stored row an event: key, kafka_offset, operation, source_lsn, digest, record (its typed image as JSON), early (what it is without a look at any state; null: to be folded), reason. Images are parsed once."""
+    if checkpoint is not None:
+        seen = checkpoint.select("source_topic", "kafka_partition", F.col("kafka_offset").alias("_seen"))
+        bronze = bronze.join(seen, ["source_topic", "kafka_partition"], "left")
+        bronze = bronze.withColumn("operation", F.when(F.col("kafka_offset") <= F.col("_seen"), "seen").otherwise(F.col("operation")))
+    names, op = [c.name for c in spec.columns], F.col("_op")
+    early = F.when(op == "seen", "duplicates_skipped").when(op == "t", "tombstone_ignored").when(F.col("_reason").isNotNull(), "quarantined")
+    x = typed_events(bronze, spec).withColumn("early", early)
+    record = F.to_json(F.struct(*names), JSON)
+    kept = x.select(
+        F.when(op != "seen", F.col(spec.key)).alias(spec.key), F.col("_off").alias("kafka_offset"), op.alias("operation"), F.col("_lsn").alias("source_lsn"),
+        F.when(F.col("early").isNull(), record_hash(names)).alias("digest"), F.when(F.col("early").isNull(), record).alias("record"), "early", F.when(F.col("early") == "quarantined", F.col("_reason")).alias("reason"),
+    )
+    return stored(kept, "judged")
+
+
 def process(bronze: DataFrame, spec: TableSpec, mode: str, state: DataFrame | None = None, checkpoint: DataFrame | None = None) -> DataFrame:
-    """(key, kafka_offset, disposition, reason, state, is_last): every event once, and for a state table a row at each key's end.
+    """(key, kafka_offset, disposition, reason, state, is_last): every event once, and a row at each key's end with its state.
 
     Events up to the checkpoint are duplicates_skipped; tombstones are tombstone_ignored; events that
-    can't be used, or that break the table's rules, are quarantined with a reason.
+    can't be used, or that break the table's rules, are quarantined with a reason. In a log, an appended event's
+    state is the event itself.
     """
-    key = spec.key
-    if checkpoint is not None:
-        seen = checkpoint.select("source_topic", "kafka_partition", F.col("kafka_offset").alias("_seen"))
-        bronze = bronze.join(seen, ["source_topic", "kafka_partition"], "left").withColumn("_old", F.coalesce(F.col("kafka_offset") <= F.col("_seen"), F.lit(False)))
-    else:
-        bronze = bronze.withColumn("_old", F.lit(False))
-    none = F.lit(None)
-    old = bronze.filter("_old").select(none.cast("string").alias(key), F.col("kafka_offset").cast("long").alias("kafka_offset"), F.lit("duplicates_skipped").alias("disposition"), none.cast("string").alias("reason"))
-    x = typed_events(bronze.filter("NOT _old"), spec)
-    early = F.when(F.col("_op") == "t", "tombstone_ignored").when(F.col("_reason").isNotNull(), "quarantined")
-    x = x.withColumn("_early", early)
-    apart = x.filter("_early IS NOT NULL").select(key, F.col("_off").alias("kafka_offset"), F.col("_early").alias("disposition"), F.col("_reason").alias("reason"))
-    names = [c.name for c in spec.columns]
-    good = x.filter("_early IS NULL").select(key, F.col("_off").alias("kafka_offset"), F.col("_op").alias("operation"), F.col("_lsn").alias("source_lsn"), record_hash(names).alias("digest"), F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("record"))
-    if mode == "log":
-        folded = cdc.fold_event_log(good, key).select("*", F.lit(None).cast(cdc.STATE).alias("state"), F.lit(False).alias("is_last"))
-    else:
-        folded = cdc.fold_rows(good, key, state)
+    key, none = spec.key, F.lit(None)
+    x = judged(bronze, spec, checkpoint)
+    good = x.filter("early IS NULL").select(key, "kafka_offset", "operation", "source_lsn", "digest", "record")
+    folded = cdc.fold_log_rows(good, key, state) if mode == "log" else cdc.fold_rows(good, key, state)
     broken = F.col("disposition").isin("conflict_update_after_delete", "conflict_same_lsn", "duplicate_primary_key")
     folded = folded.select(key, "kafka_offset", F.when(broken, "quarantined").otherwise(F.col("disposition")).alias("disposition"), F.when(broken, F.col("disposition")).alias("reason"), "state", "is_last")
-    rest = old.unionByName(apart).select("*", none.cast(cdc.STATE).alias("state"), F.lit(False).alias("is_last"))
+    rest = x.filter("early IS NOT NULL").select(key, "kafka_offset", F.col("early").alias("disposition"), "reason", none.cast(cdc.STATE).alias("state"), F.lit(False).alias("is_last"))
     return folded.unionByName(rest)
 
 
@@ -104,7 +199,7 @@ def state_of(processed: DataFrame, spec: TableSpec) -> DataFrame:
 
 def current_rows(state: DataFrame, spec: TableSpec) -> DataFrame:
     """The typed rows that live, with record_hash and the log position of the event that last changed them."""
-    live = state.filter("NOT state.deleted").select(F.from_json("state.record", schema_of(spec)).alias("r"), F.col("state.digest").alias("record_hash"), F.col("state.lsn").alias("source_lsn"))
+    live = state.filter("NOT state.deleted").select(F.from_json("state.record", schema_of(spec), JSON).alias("r"), F.col("state.digest").alias("record_hash"), F.col("state.lsn").alias("source_lsn"))
     return live.select("r.*", "record_hash", "source_lsn")
 
 

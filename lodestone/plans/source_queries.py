@@ -106,7 +106,7 @@ def cdc_log_dispositions(spark, sf):
     kind = F.when((F.col("o_orderkey") % 31 == 0) & (F.col("step") == 2), "VOID").otherwise("AUTHORIZATION")
     image = F.to_json(F.struct(F.concat(F.lit("E"), F.col("o_orderkey").cast("string")).alias("event_id"), F.col("o_orderkey").cast("string").alias("transaction_id"), kind.alias("event_type"), F.lit(1_700_000_000_000_000).alias("event_timestamp"), F.lit("OK").alias("event_status"), F.lit("cdc").alias("source_type")))
     bronze = rows.select((3 * F.col("o_orderkey") + F.col("step")).alias("kafka_offset"), op.alias("operation"), F.when(op == "d", image).alias("before"), F.when(op != "d", image).alias("after"), F.col("o_orderkey").alias("source_lsn"))
-    return gates.accounting(cdc_tables.process(bronze, spec, mode), "disposition", ["reason"])
+    return gates.accounting(cdc_tables.process(bronze, spec, mode).filter("NOT is_last"), "disposition", ["reason"])
 
 
 # ---- reference datasets ----
