@@ -69,7 +69,7 @@ def advance(checkpoint: DataFrame, events: DataFrame) -> DataFrame:
     return both.groupBy("source_topic", "kafka_partition").agg(F.max("kafka_offset").alias("kafka_offset"))
 
 
-def _transition(now: tuple, op: str | None, lsn: int | None, digest: str | None) -> str:
+def judge(now: tuple, op: str | None, lsn: int | None, digest: str | None) -> str:
     """Disposition of an event in a state (lsn, deleted, digest, record); unknown positions and digests compare as in SQL."""
     at, gone, held, _ = now
     none, newer = at is None, at is not None and lsn is not None and lsn > at
@@ -171,7 +171,7 @@ def _in_order(x: DataFrame, key: str) -> DataFrame:
                 if not new:
                     now = lsn, deleted, digest, records[i].as_py()
                     continue
-                say = _transition(now, op, lsn, digest)
+                say = judge(now, op, lsn, digest)
                 if say == "deleted":
                     now = lsn, True, None, None
                 elif say in ("inserted", "updated"):

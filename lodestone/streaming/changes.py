@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import cdc, gates
+from ..plans import captured
 
-OUT = "key long, kafka_offset long, disposition string"
 STATE = "lsn long, deleted boolean, digest string"
 
 
@@ -36,34 +37,67 @@ def capture(raw: DataFrame, good_path: str, bad_path: str, checkpoint: str):
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def apply_event(state: tuple | None, op: str, lsn: int, digest: str | None) -> tuple[str, tuple | None]:
-    """(disposition, new state (lsn, deleted, digest))."""
-    if op == "d":
-        return ("deleted", (lsn, True, None)) if state is None or lsn > state[0] else ("stale_skipped", state)
-    if state is None:
-        return "inserted", (lsn, False, digest)
-    if lsn < state[0] or (state[1] and lsn == state[0]):
-        return "stale_skipped", state
-    if state[1]:
-        return ("inserted", (lsn, False, digest)) if op == "c" else ("conflict_update_after_delete", state)
-    if digest == state[2]:
-        return "unchanged", state
-    return ("updated", (lsn, False, digest)) if lsn > state[0] else ("conflict_same_lsn", state)
-
-
-def current_state(events: DataFrame, key: str) -> DataFrame:
-    """Dispositions of a stream of (key, kafka_offset, operation, source_lsn, digest); each key's events are taken by offset inside a batch."""
-
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now = tuple(state.get) if state.exists else None
-        rows = pd.concat(list(parts)).sort_values("kafka_offset")
-        out = []
-        for off, op, lsn, digest in rows[["kafka_offset", "operation", "source_lsn", "digest"]].itertuples(index=False):
-            say, now = apply_event(now, op, lsn, digest)
-            out.append((k[0], off, say))
-        if now is not None:
-            state.update(now)
-        yield pd.DataFrame(out, columns=["key", "kafka_offset", "disposition"])
+def keep_up(spark: SparkSession, bronze_path: str, schema: str, root: str, name: str, checkpoint: str, files_per_batch: int = 100):
+    """Brings a captured table up to date with what arrives in Bronze, a commit of plans.captured a batch.
+
+    That job knows by its own checkpoint which offsets it has folded, so a batch that Spark runs again, after a crash at any
+    place, changes nothing twice; dispositions are those of the batch fold, since it is that fold.
+    """
+    events = source(spark, bronze_path, schema, files_per_batch)
+    fold = lambda batch, _: captured.run_table(batch.sparkSession, batch, root, name)
+    return events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def apply_event(state: tuple | None, op: str | None, lsn: int | None, digest: str | None) -> tuple[str, tuple | None]:
+    """(disposition, new state (lsn, deleted, digest)), by the batch fold's rule."""
+    say = cdc.judge((*(state or (None,) * 3), None), op, lsn, digest)
+    if say == "deleted":
+        return say, (lsn, True, None)
+    return say, (lsn, None if op is None else False, digest) if say in ("inserted", "updated") else state
+
 
-    one = events.select(F.col(key).cast("long").alias("key"), "kafka_offset", "operation", "source_lsn", "digest")
-    return one.groupBy("key").applyInPandasWithState(step, OUT, STATE, "append", "NoTimeout")
+class KeyedState(StatefulProcessor):
+    """Holds a key's state (lsn, deleted, digest) and the last offset that it has seen, in the state store."""
+
+    def __init__(self, key: str) -> None:
+        self.key = key
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", f"{STATE}, kafka_offset long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        now, seen = (None, -1)
+        if self.state.exists():
+            *now, seen = self.state.get()
+            now = tuple(now)
+        held = sorted((r["kafka_offset"], r["operation"] or "", -1 if r["source_lsn"] is None else r["source_lsn"], r["digest"] or "", r["operation"], r["source_lsn"], r["digest"]) for r in rows)
+        for off, _, _, _, op, lsn, digest in held:
+            if off <= seen:
+                yield Row(**{self.key: key[0], "kafka_offset": off, "disposition": "duplicates_skipped"})
+                continue
+            say, now = apply_event(now, op, lsn, digest)
+            yield Row(**{self.key: key[0], "kafka_offset": off, "disposition": say})
+        if held:
+            self.state.update((*(now or (None,) * 3), max(seen, held[-1][0])))
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        old = initialState["state"]
+        self.state.update((old["lsn"], old["deleted"], old["digest"], -1))
+
+    def close(self) -> None:
+        pass
+
+
+def current_state(events: DataFrame, key: str, state: DataFrame | None = None) -> DataFrame:
+    """(key, kafka_offset, disposition) of a stream of (key, kafka_offset, operation, source_lsn, digest): the batch fold's, as the stream goes on.
+
+    Tombstones are ignored. Offsets that a key has seen in an earlier batch are duplicates_skipped. A key's events of one batch are put in order of
+    their offsets, so a batch must be bounded, as source() bounds it by files; with keys that are hot in a batch keep_up() is the better way. state: a stored
+    one of the batch fold (key, state) to go on from. Needs the RocksDB state store, which is set here for the session.
+    """
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    x = events.filter("operation IS NULL OR operation <> 't'").select(key, F.col("kafka_offset").cast("long").alias("kafka_offset"), "operation", F.col("source_lsn").cast("long").alias("source_lsn"), "digest")
+    out = T.StructType([T.StructField(key, x.schema[key].dataType), T.StructField("kafka_offset", T.LongType()), T.StructField("disposition", T.StringType())])
+    first = None if state is None else state.select(key, "state").groupBy(key)
+    return x.groupBy(key).transformWithState(KeyedState(key), out, "Append", "None", initialState=first)

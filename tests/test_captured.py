@@ -12,7 +12,7 @@ from lodestone.sources.ledger import Ledger
 
 EVENT = "source_topic string, source_table string, kafka_partition int, kafka_offset long, operation string, before string, after string, source_lsn long"
 IMAGE = {
-    "programs": {"program_id": "P1", "client_id": "C1", "program_name": "n", "program_type": "LOYALTY", "status": "s", "start_date": 9000, "source_type": "t"},
+    "programs": {"program_id": "P1", "client_id": "C1", "program_name": "n", "program_type": "LOYALTY", "currency_code": "EUR", "status": "s", "start_date": 9000, "source_type": "t"},
     "transaction_events": {"event_id": "E1", "transaction_id": "T1", "event_type": "CAPTURE", "event_timestamp": 1_700_000_000_000_000, "event_status": "OK", "source_type": "t"},
 }
 
@@ -66,6 +66,7 @@ def test_a_run_that_dies_anywhere_is_run_again(spark, bronze, tmp_path, name):
     captured.run_table(spark, bronze(events(name, 1, 30, 39)), clean, name)
     captured.run_table(spark, bronze(events(name, 1, 40, 59)), clean, name)
     want = outcome(spark, clean, name)
+    assert want[0] and want[1] and len(want[3]) > 2
     whole = spark.read.parquet(f"file://{tmp_path}/bronze")
     captured.run_table(spark, whole.filter("kafka_offset < 40"), root, name)
     for step in STEPS[name]:
