@@ -2,8 +2,8 @@
 
 ENTITIES are the typed records that the star is built from, as SQL that both Spark and the checking
 engine run over the tables; braces name a table or another entity. Dimensions are declared: a natural
-key, attributes, and references to other dimensions by natural keys. Surrogate keys are those of a
-registry that starts empty here; every dimension but that of dates has one row for what is unknown, and
+key, attributes, and references to other dimensions by natural keys. Surrogate keys are those of
+lasting registries (operators.keys), or of ones that start empty if none are given; every dimension but that of dates has one row for what is unknown, and
 a reference that finds nothing goes there.
 """
 
@@ -151,8 +151,8 @@ CALENDAR = ("date_key", "full_date", "year", "quarter", "month", "month_name", "
 class Star:
     """Entities, registries, dimensions and facts over one folder of tables, each made once."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self.made = spark, sf_dir, {}
+    def __init__(self, spark: SparkSession, sf_dir: str, lasting: keys.LastingKeys | None = None):
+        self.spark, self.sf_dir, self.made, self.lasting = spark, sf_dir, {}, lasting
 
     def _once(self, name: str, make) -> DataFrame:
         if name not in self.made:
@@ -191,6 +191,8 @@ class Star:
     def registry(self, name: str) -> DataFrame:
         def make() -> DataFrame:
             natural = DIMENSIONS[name].natural
+            if self.lasting is not None:
+                return self.lasting.extend(name, self.entity(name), natural)
             empty = self.spark.createDataFrame([], f"{natural} string, surrogate_key int")
             return keys.assign_keys(self.entity(name), empty, natural)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import gates
+from ..operators.keys import LastingKeys
 from ..sources import files
 from . import marts, silver
 from .gold import DIMENSIONS, FACTS, Star
@@ -39,8 +40,8 @@ def gold_to_consumption(fact: DataFrame, merchants: DataFrame, root: str, versio
 
 
 def rebuild_gold(spark: SparkSession, sf_dir: str, root: str, version: str, allow: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """Dimensions, facts and marts, written if the gate finds nothing but in the checks that are allowed to fail."""
-    star = Star(spark, sf_dir)
+    """Dimensions, facts and marts, written if the gate finds nothing but in the checks that are allowed to fail. Keys are those of the registries below root, which every rebuild extends and none changes."""
+    star = Star(spark, sf_dir, LastingKeys(spark, f"{root}/_keys"))
     gates.require(star.gate().filter(~F.col("check_name").isin(*allow)), "n_violations = 0", "the gate is shut")
     made = {f"dim_{n}": star.dimension(n) for n in (*DIMENSIONS, "date")} | {f"fact_{n}": star.fact(n) for n in FACTS}
     made |= {n: m.build(star) for n, m in marts.MARTS.items()}

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import keys
+from ..sources.stored import shared_path, stored
 from . import marts
 from .gold import CALENDAR, DIMENSIONS, FACTS, Star, gate_sql, star_sql
 from .registry import query
@@ -182,3 +186,30 @@ def missing_measures(spark, sf):
     from ..operators import gates
 
     return gates.missing_measures(Star(spark, sf).fact("settlements"), ["settlement_amount", "fee_amount", "net_amount"])
+
+
+GENERATIONS = ("merchant", "offer", "cardholder", "card_token")
+_OLD = "CAST(right({}, 1) AS INT) % 3 = 0"
+
+
+def _generations_sql() -> str:
+    parts = []
+    for n in GENERATIONS:
+        k = DIMENSIONS[n].natural
+        parts.append(f"o_{n} AS (SELECT k, row_number() OVER (ORDER BY k) AS s FROM (SELECT DISTINCT {k} AS k FROM e_{n} WHERE {_OLD.format(k)}))")
+        parts.append(f"g_{n} AS (SELECT '{n}' AS dimension, k AS natural_key, s, 1 AS generation FROM o_{n} UNION ALL SELECT '{n}', k, (SELECT coalesce(max(s), 0) FROM o_{n}) + row_number() OVER (ORDER BY k), 2 FROM (SELECT DISTINCT {k} AS k FROM e_{n} WHERE NOT ({_OLD.format(k)})))")
+    return f"WITH {STAR}, {', '.join(parts)} SELECT dimension, natural_key, CAST(s AS INT) AS surrogate_key, generation FROM ({' UNION ALL '.join(f'SELECT * FROM g_{n}' for n in GENERATIONS)})"
+
+
+@query(_generations_sql())
+def lasting_keys(spark, sf):
+    """Registries after two rebuilds, the second over grown tables: every key of the first stays."""
+    star, lasting = Star(spark, sf), keys.LastingKeys(spark, shared_path(spark, "registries"))
+    out = []
+    for n in GENERATIONS:
+        k = DIMENSIONS[n].natural
+        first = stored(lasting.extend(n, star.entity(n).filter(_OLD.format(k)), k), "first-keys")
+        both = lasting.extend(n, star.entity(n), k)
+        x = both.join(first.select(k, F.lit(1).alias("generation")), k, "left").select(F.lit(n).alias("dimension"), F.col(k).alias("natural_key"), "surrogate_key", F.coalesce("generation", F.lit(2)).alias("generation"))
+        out.append(x)
+    return reduce(DataFrame.unionByName, out)
