@@ -15,11 +15,12 @@ is then checked: of the word 3-grams of its question and of those of its answer,
 must be in the passage. The answer is the last sentence, or the second half where there is one
 sentence only. An item of fewer than MIN_ITEM_WORDS words must be in the passage as a phrase, whole.
 
-Passages are windows over the whole text of twice the longest item's words, moved by half of that, so each item lies whole in
-one passage. The index is sparse and built in shards of about SHARD_BYTES of item text, so what is
+Passages are windows over the whole text, of twice the words of an item's class, moved by half of that, so each item lies whole in
+one passage. Classes are items of up to CLASS words, of up to twice that, and so on, with an index each: how far a
+match may be scattered hangs on the item alone, not on what else is in the table. The index is sparse and built in shards of about SHARD_BYTES of item text, so what is
 broadcast has a fixed bound; a text is split into words once for all shards of a pass
-(SHARDS_PER_PASS). Number of items, mean length, longest item and document frequencies are those of
-all items in every shard, and scores are exactly rounded sums, so the shards change no result.
+(SHARDS_PER_PASS). Number of items, mean length and document frequencies are those of
+all items in every shard and class, and scores are exactly rounded sums, so the shards change no result.
 
 In scripts without blanks each character is a word, and two of them count as one towards
 MIN_ITEM_WORDS. Null and empty texts match nothing; null and empty items are never matched.
@@ -48,6 +49,8 @@ from .common import spool, table
 K1, B, BLOCK, SHARE, OVERLAP, GRAM, MIN_ITEM_WORDS, SHARD_BYTES, SHARDS_PER_PASS = 1.2, 0.75, 4, 0.6, 0.6, 3, 5, 4 << 20, 4
 #: Windows that are bounded at once; a term in more than one in COMMON blocks is in the dense matrix.
 STRETCH, COMMON = 256, 8
+#: Words of the items of the first class.
+CLASS = 64
 #: Thai, Lao, Myanmar, Khmer, kana and Han.
 UNSPACED = "\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ecd\u1000-\u109f\u1780-\u17d3\u3005-\u3007\u3041-\u3096\u309d-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _spaced, _mixed, _unspaced = re.compile(r"\w+"), re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+"), re.compile(f"[{UNSPACED}]")
@@ -84,10 +87,34 @@ class Block(NamedTuple):
     impacts: np.ndarray
 
 
+Whole = tuple[int, float, dict[str, int]]
+
+
+def class_of(n_words: int) -> int:
+    """The most words of an item of this one's class."""
+    bound = CLASS
+    while bound < n_words:
+        bound *= 2
+    return bound
+
+
+def indexes(items: list[tuple[int, str]], whole: Whole | None = None) -> list["Index"]:
+    """An index for each class of a shard's items."""
+    classes: dict[int, list[tuple[int, str]]] = {}
+    bags = []
+    for i, t in items:
+        q, a = parts_of(t or "")
+        if q or a:
+            bags.append(q + a)
+            classes.setdefault(class_of(len(bags[-1])), []).append((i, t))
+    whole = whole or (len(bags), sum(map(len, bags)) / max(1, len(bags)), Counter(w for bag in bags for w in set(bag)))
+    return [Index(classes[bound], whole) for bound in sorted(classes)]
+
+
 class Index:
-    """Blocks, maxima and thresholds of one shard of items; whole: number, mean length and longest of all items and document frequencies of the shard's words among them (if None, the shard is all)."""
+    """Blocks, maxima and thresholds of items of one class and shard; whole: number and mean length of all items and document frequencies of the shard's words among them (if None, these are all)."""
 
-    def __init__(self, items: list[tuple[int, str]], whole: tuple[int, float, int, dict[str, int]] | None = None):
+    def __init__(self, items: list[tuple[int, str]], whole: Whole | None = None):
         split = [(i, parts_of(t or "")) for i, t in items]
         split = [(i, q, a) for i, (q, a) in split if q or a]
         self.ids, self.parts = [i for i, _, _ in split], [(q, a) for _, q, a in split]
@@ -95,9 +122,9 @@ class Index:
         self.short = [not long_enough(bag) for bag in bags]
         counts = [Counter(bag) for bag in bags]
         if whole is None:
-            whole = len(bags), sum(map(len, bags)) / max(1, len(bags)), max(map(len, bags), default=1), Counter(w for c in counts for w in c)
-        n_items, mean, longest, have = whole
-        self.window = 2 * longest
+            whole = len(bags), sum(map(len, bags)) / max(1, len(bags)), Counter(w for c in counts for w in c)
+        n_items, mean, have = whole
+        self.window = 2 * class_of(max(map(len, bags), default=1))
         self.terms = {w: t for t, w in enumerate(sorted({w for c in counts for w in c}))}
         rows = []
         for c, bag in zip(counts, bags, strict=True):
@@ -212,8 +239,8 @@ def _words_of_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(k, len(w), sorted(set(w))) for k, w in zip(b["shard"], bags, strict=True) if w], columns=["shard", "n", "words"])
 
 
-def shards_of(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes over shards of the items of about SHARD_BYTES each."""
+def shards_of(benchmark: DataFrame) -> Iterator[list[Index]]:
+    """Indexes over shards of the items of about SHARD_BYTES each, one a class."""
     items = benchmark.select("item_id", "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = -(-max(1, size) // SHARD_BYTES)
@@ -221,27 +248,27 @@ def shards_of(benchmark: DataFrame) -> Iterator[Index]:
     if n > 1:
         items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
         bags = spool(items.filter("text IS NOT NULL").mapInPandas(_words_of_items, "shard long, n long, words array<string>"), "items")
-        n_items, total, longest = bags.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
+        n_items, total = bags.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
         uses = bags.select("shard", F.explode("words").alias("word")).groupBy("shard", "word").agg(F.count("*").alias("n"))
         have = spool(uses.join(uses.groupBy("word").agg(F.sum("n").alias("have")), "word").select("shard", "word", "have"), "frequencies")
     for k in range(n):
         here = items
         if n > 1:
             here = items.filter(F.col("shard") == k)
-            whole = n_items, total / max(1, n_items), longest, {r[0]: r[1] for r in have.filter(F.col("shard") == k).select("word", "have").collect()}
-        yield Index(sorted(((r[0], r[1]) for r in here.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), whole)
+            whole = n_items, total / max(1, n_items), {r[0]: r[1] for r in have.filter(F.col("shard") == k).select("word", "have").collect()}
+        yield indexes(sorted(((r[0], r[1]) for r in here.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), whole)
 
 
 def passes(benchmark: DataFrame) -> Iterator[list[Index]]:
-    """The shards' indexes, SHARDS_PER_PASS at a time."""
-    some: list[Index] = []
-    for index in shards_of(benchmark):
-        some.append(index)
+    """The shards' indexes, those of SHARDS_PER_PASS shards at a time."""
+    some: list[list[Index]] = []
+    for shard in shards_of(benchmark):
+        some.append(shard)
         if len(some) == SHARDS_PER_PASS:
-            yield some
+            yield [index for shard in some for index in shard]
             some = []
     if some:
-        yield some
+        yield [index for shard in some for index in shard]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

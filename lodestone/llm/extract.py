@@ -27,6 +27,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -63,7 +64,8 @@ CONTENT_WORDS = frozenset("article content entry main post story".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSERS = BLOCK_TAGS | {"button", "select"}
 VOID = frozenset(("hr", "iframe"))
-_tag = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_name = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_special = re.compile("[>\"']")
 _attr = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _word = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _end = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW_TAGS}
@@ -92,6 +94,66 @@ def _names(attributes: str) -> tuple[float, float]:
     return against, support
 
 
+class Tag(NamedTuple):
+    """Where a tag, comment or declaration lies; name is None for the latter two, inner is the text of a CDATA section."""
+
+    start: int
+    end: int
+    closes: bool
+    name: str | None
+    attributes: str
+    inner: str
+
+
+class Scanner:
+    """Finds tags in page order, in time that grows with the page whatever is left open in it.
+
+    A tag ends at the first > outside quotes. Where the way from a quote on has been found to lead to none, it is not taken
+    again, and behind the page's last > only comments and CDATA sections are looked for.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, page.rfind(">")
+        self.specials, self.dead = [m.start() for m in _special.finditer(page)], set()
+
+    def after(self, at: int) -> Tag | None:
+        page = self.page
+        while True:
+            at = page.find("<" if at <= self.last else "<!", at)
+            if at < 0:
+                return None
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return Tag(at, end + 3 if end >= 0 else len(page), False, None, "", "")
+            if page.startswith("<![CDATA[", at):
+                end = page.find("]]>", at + 9)
+                return Tag(at, end + 3 if end >= 0 else len(page), False, None, "", page[at + 9 : end] if end >= 0 else page[at + 9 :])
+            if at < self.last:
+                if page[at + 1] in "!?":
+                    return Tag(at, page.index(">", at) + 1, False, None, "", "")
+                m = _name.match(page, at)
+                end = self._end(m.end()) if m else -1
+                if end >= 0:
+                    return Tag(at, end + 1, bool(m[1]), m[2].lower(), page[m.end() : end], "")
+            at += 1
+
+    def _end(self, at: int) -> int:
+        """The first > outside quotes; -1 if there is none."""
+        k, seen = bisect_left(self.specials, at), []
+        while k < len(self.specials):
+            spot = self.specials[k]
+            sign = self.page[spot]
+            if sign == ">":
+                return spot
+            close = -1 if spot in self.dead else self.page.find(sign, spot + 1)
+            seen.append(spot)
+            if close < 0:
+                break
+            k = bisect_left(self.specials, close + 1, k)
+        self.dead.update(seen)
+        return -1
+
+
 class Element(NamedTuple):
     tag: str
     node: int
@@ -147,20 +209,18 @@ def blocks_of(page: str | None) -> list[Block]:
             if in_link:
                 linked += len(text)
 
+    scanner = Scanner(page)
     while at < len(page):
-        m = _tag.search(page, at)
+        m = scanner.after(at)
         if m is None:
             say(page[at:])
             break
-        say(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
+        say(page[at : m.start])
+        at, tag = m.end, m.name
         if tag is None:
-            if m[0].startswith("<![CDATA["):
-                say(m[0][9:-3])
+            say(m.inner)
             continue
-        tag = tag.lower()
-        if m[1]:
+        if m.closes:
             if tag == "a":
                 in_link = False
             elif tag in CLOSERS:
@@ -187,8 +247,8 @@ def blocks_of(page: str | None) -> list[Block]:
                 shut = CLOSED_BY.get(tag)
                 while shut and stack[-1].tag in shut:
                     pop(len(stack) - 1)
-                if tag not in VOID and not m[3].endswith("/"):
-                    push(tag, m[3])
+                if tag not in VOID and not m.attributes.endswith("/"):
+                    push(tag, m.attributes)
     flush()
     return out
 

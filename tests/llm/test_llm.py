@@ -552,3 +552,47 @@ def test_monolithic_streams_are_inflated_once():
     assert list(warc.inflated(z.compress(one * 5000) + z.flush())) == [one] * 5000
     with pytest.raises(ValueError):
         list(warc.inflated(zlib.compress(one[:-9], 6, 31)))
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    for piece in ("<a ", '<a "', "<!", "<a '\"", "<", "</a ", '<a "\' ', "<![CDATA"):
+        for end in ("", ">", '">', "'>x"):
+            page = piece * (1_000_000 // len(piece)) + end
+            start = time.time()
+            extract.blocks_of(page)
+            assert time.time() - start < 4, (piece, end)
+
+
+def test_scanner_against_a_pattern():
+    """On random pages the scanner finds what a pattern that starts again at each < finds."""
+    import random
+    import re
+
+    tag = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+    rng = random.Random(8)
+    for _ in range(3000):
+        page = "".join(rng.choice(["<", ">", '"', "'", "a", "b ", "/", "!", "--", "<a ", "</b>", "<!--", "-->", "<![CDATA[", "]]>", "?"]) for _ in range(rng.randint(0, 25)))
+        scanner, at, got = extract.Scanner(page), 0, []
+        while (m := scanner.after(at)) is not None:
+            got.append((m.start, m.end, m.closes, m.name, m.attributes))
+            at = m.end
+        assert got == [(m.start(), m.end(), bool(m[1]), m[2] and m[2].lower(), m[3] or "") for m in tag.finditer(page)], page
+
+
+def test_long_items_change_no_match_of_others(spark):
+    """A passage's size hangs on the item alone: pieces scattered over 1,800 words are no match, whatever other items are there."""
+    rng = np.random.default_rng(3)
+    say = lambda n: [f"v{k}" for k in rng.integers(0, 4000, n).tolist()]
+    items = [" ".join(say(20)) + ". " + " ".join(say(8)) for _ in range(39)]
+    parts = [items[0].replace(".", "").split()[k : k + 7] for k in range(0, 28, 7)]
+    scattered = [w for part in parts for w in (*say(450), *part)]
+    docs = spark.createDataFrame([(1, " ".join(scattered), "en", "a"), (2, " ".join([*say(300), *items[1].split(), *say(300)]), "en", "a"), (3, " ".join(say(900)), "en", "a")], DOC)
+    for more in ([], [" ".join(f"x{k}" for k in range(8000))], [" ".join(f"x{k}" for k in range(100)), " ".join(say(70))]):
+        bench = spark.createDataFrame(list(enumerate([*items, *more])), "item_id long, text string")
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()} == {(2, 1)}
+    long_item = " ".join(f"y{k}" for k in range(500))
+    bench = spark.createDataFrame([(7, long_item), (8, items[1])], "item_id long, text string")
+    held = docs.unionByName(spark.createDataFrame([(4, " ".join([*say(333), long_item, *say(50)]), "en", "a")], DOC))
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(held, bench).collect()} == {(2, 8), (4, 7)}
