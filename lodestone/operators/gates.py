@@ -17,6 +17,30 @@ def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).count().filter("count > 1")
 
 
+def named_keys(df: DataFrame, checks: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(check_name, value): a row a check and row of df, its columns together as one value."""
+    pairs = [F.struct(F.lit(name).alias("check_name"), F.to_json(F.array(*[F.col(c).cast("string") for c in columns])).alias("value")) for name, columns in checks.items()]
+    return df.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
+
+
+def repeats_by_name(keys: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(check_name, n_violations) of named_keys: values that occur more than once, by check, all in one grouping."""
+    found = keys.groupBy("check_name", "value").count().filter("count > 1").groupBy("check_name").agg(F.count("*").alias("n"))
+    one = found.agg(*[F.coalesce(F.max(F.when(F.col("check_name") == n, F.col("n"))), F.lit(0)).alias(n) for n in names])
+    return one.unpivot([], [F.col(f"`{n}`") for n in names], "check_name", "n_violations")
+
+
+def orphan_counts(child: DataFrame, parents: Mapping[str, tuple[str, DataFrame, str, int | None]], more: Mapping[str, Column]) -> DataFrame:
+    """One row: for each name the rows of child whose column isn't a key of the parent, and the aggregates of more, in one pass over child. parents: name -> (column, parent, key, exempt value); without an exempt value only nulls pass."""
+    x, counts = child, []
+    for n, (name, (column, parent, key, exempt)) in enumerate(parents.items()):
+        known = parent.select(F.col(key).alias(f"_pk{n}")).distinct()
+        x = x.join(known, F.col(column) == F.col(f"_pk{n}"), "left")
+        bound = F.col(column).isNotNull() if exempt is None else F.col(column) != exempt
+        counts.append(F.count_if(bound & F.col(f"_pk{n}").isNull()).alias(name))
+    return x.agg(*counts, *[c.alias(n) for n, c in more.items()])
+
+
 def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str, exempt=None) -> DataFrame:
     """Rows of child whose key isn't in the parent; null and exempt keys pass."""
     rows = child.filter(F.col(fk).isNotNull() if exempt is None else F.col(fk) != exempt)

@@ -260,26 +260,40 @@ class Star:
         return self._once(f"fact {name} {sorted(only)}", make)
 
     def gate(self) -> DataFrame:
-        """(check_name, n_violations): keys unique in dimensions, grains of facts, references, counts against the sources, control totals."""
+        """(check_name, n_violations): keys unique in dimensions, grains of facts, references, counts against the sources, control totals.
+
+        One grouping of all keys and grains, one pass over each fact for all that its rows and totals must satisfy, and a count of each source.
+        """
         self.keep((*DIMENSIONS, "date"), FACTS)
-        checks = {}
-        for name, d in DIMENSIONS.items():
-            for c in (f"{name}_key", d.natural):
-                checks[f"unique dim_{name}.{c}"] = gates.repeated_keys(self.dimension(name), [c])
-        checks["unique dim_date.date_key"] = gates.repeated_keys(self.dimension("date"), ["date_key"])
-        for name, (_, refs, _, _, grain) in FACTS.items():
-            checks[f"grain fact_{name}"] = gates.repeated_keys(self.fact(name), grain)
-            for ref, (_, dim) in refs.items():
-                checks[f"reference fact_{name}.{ref}"] = gates.orphans(self.fact(name), ref, self.dimension(dim), f"{dim}_key", exempt=keys.UNKNOWN_KEY)
-            checks[f"reference fact_{name}.date_key"] = gates.orphans(self.fact(name), "date_key", self.dimension("date"), "date_key")
-        report = gates.reference_report(checks)
-        for name, (entity, _, _, _, _) in FACTS.items():
+        keyed = {("date", "date_key"): ("unique dim_date.date_key", ["date_key"])}
+        keyed |= {(n, c): (f"unique dim_{n}.{c}", [c]) for n, d in DIMENSIONS.items() for c in (f"{n}_key", d.natural)}
+        parts = [gates.named_keys(self.dimension(n), {check: columns for (dim, _), (check, columns) in keyed.items() if dim == n}) for n in (*DIMENSIONS, "date")]
+        parts += [gates.named_keys(self.fact(n), {f"grain fact_{n}": grain}) for n, (*_, grain) in FACTS.items()]
+        names = [check for check, _ in keyed.values()] + [f"grain fact_{n}" for n in FACTS]
+        report = [gates.repeats_by_name(reduce(DataFrame.unionByName, parts), names)]
+        amounts = {"transactions": ("amount", "transaction_status = 'APPROVED'"), "settlements": ("settlement_amount", "true"), "reconciliation": ("expected_amount", "true")}
+        totals = []
+        for n, (entity, refs, *_) in FACTS.items():
             source = self.entity(entity)
             source = source.filter("operation <> 'd'") if "operation" in source.columns else source
-            report = report.unionByName(gates.count_identity(f"rows fact_{name}", source, self.fact(name)))
-        settled = gates.count_identity("approved transactions are settled", self.fact("transactions").filter("transaction_status = 'APPROVED'"), self.fact("settlements"))
-        totals = self.control_totals().select(F.lit("control totals").alias("check_name"), F.when(F.col("passed"), 0).otherwise(1).cast("long").alias("n_violations"))
-        return report.unionByName(settled).unionByName(totals)
+            parents = {f"reference fact_{n}.{r}": (r, self.dimension(dim), f"{dim}_key", keys.UNKNOWN_KEY) for r, (_, dim) in refs.items()}
+            parents[f"reference fact_{n}.date_key"] = ("date_key", self.dimension("date"), "date_key", None)
+            amount, which = amounts.get(n, (None, "true"))
+            extra = {"n_rows": F.count("*"), "n_counted": F.count_if(F.expr(which)), "total": F.sum(F.when(F.expr(which), F.col(amount))) if amount else F.lit(None)}
+            one = gates.orphan_counts(self.fact(n), parents, {k: (v if k != "total" else v.cast("decimal(38,4)")) for k, v in extra.items()})
+            one = one.crossJoin(F.broadcast(source.agg(F.count("*").alias("n_source"))))
+            counts = one.select(*[F.col(f"`{c}`") for c in parents], F.abs(F.col("n_source") - F.col("n_rows")).alias(f"rows fact_{n}"))
+            report.append(counts.unpivot([], [F.col(f"`{c}`") for c in counts.columns], "check_name", "n_violations"))
+            if amount:
+                totals.append(one.select(F.lit(n).alias("fact"), "n_counted", "total"))
+        both = reduce(DataFrame.unionByName, totals)
+        of = lambda n, c: F.max(F.when(F.col("fact") == n, F.col(c)))
+        settled = F.abs(of("transactions", "n_counted") - of("settlements", "n_counted"))
+        sums = [F.coalesce(of(n, "total"), F.lit(0).cast("decimal(38,4)")) for n in amounts]
+        equal = F.coalesce((sums[0] == sums[1]) & (sums[1] == sums[2]), F.lit(False))
+        last = both.agg(settled.alias("approved transactions are settled"), F.when(equal, 0).otherwise(1).cast("long").alias("control totals"))
+        report.append(last.unpivot([], last.columns, "check_name", "n_violations"))
+        return reduce(DataFrame.unionByName, report)
 
     def control_totals(self) -> DataFrame:
         """Approved, settled and expected amounts; passed if all are there and equal."""

@@ -13,11 +13,17 @@ from ..functions.scalars import reward
 def qualify_offers(txns: DataFrame, offers: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Each approved transaction with the first offer (by offer_id) of its program that is valid on its date and fits its code; keep: more columns of txns.
 
-    Offers are spread over the months they are valid in, so a transaction meets those of its program and month only.
+    An offer lies in one or two buckets of days of its own width, the least power of two that it fits in, so its number of rows
+    doesn't hang on how long it is valid; a transaction looks into its day's bucket of each width that offers have.
     """
-    months = F.explode(F.sequence(F.trunc("valid_from", "month"), F.trunc("valid_to", "month"), F.expr("INTERVAL '1' MONTH")))
-    a, b = txns.filter("status = 'APPROVED'").withColumn("_month", F.trunc("txn_date", "month")).alias("t"), offers.filter("valid_from <= valid_to").withColumn("_month", months).alias("o")
-    fits = F.expr("t.program_id = o.program_id AND t._month = o._month AND t.txn_date BETWEEN o.valid_from AND o.valid_to AND (o.eligible_mcc IS NULL OR o.eligible_mcc = t.mcc)")
+    day = lambda c: F.unix_date(F.col(c))
+    o = offers.filter("valid_from <= valid_to").withColumn("_width", F.expr("CAST(ceil(log2(datediff(valid_to, valid_from) + 1)) AS INT)"))
+    first, last = (F.expr(f"floor(unix_date({c}) / power(2, _width))") for c in ("valid_from", "valid_to"))
+    b = o.withColumn("_bucket", F.explode(F.sequence(first, last))).alias("o")
+    widths = o.agg(F.array_sort(F.collect_set("_width")).alias("_widths"))  # one row, of at most 22 widths
+    a = txns.filter("status = 'APPROVED'").crossJoin(F.broadcast(widths)).withColumn("_width", F.explode("_widths")).drop("_widths")
+    a = a.withColumn("_bucket", F.floor(day("txn_date") / F.pow(F.lit(2), "_width"))).alias("t")
+    fits = F.expr("t.program_id = o.program_id AND t._width = o._width AND t._bucket = o._bucket AND t.txn_date BETWEEN o.valid_from AND o.valid_to AND (o.eligible_mcc IS NULL OR o.eligible_mcc = t.mcc)")
     best = a.join(b, fits).groupBy("t.transaction_id").agg(F.min_by(F.struct("t.amount", "t.txn_date", *[f"t.{c}" for c in keep], "o.*"), F.col("o.offer_id")).alias("x"))
     out = best.select("transaction_id", "x.amount", "x.txn_date", *[f"x.{c}" for c in keep], "x.offer_id", "x.offer_type", "x.offer_value", "x.min_amount")
     paid = reward(F.col("amount"), F.col("offer_type"), F.col("offer_value"), F.col("min_amount"))

@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import keys
+from ..operators import history, keys
 from ..sources.stored import shared_path, stored
 from . import marts
-from .gold import CALENDAR, DIMENSIONS, FACTS, Star, gate_sql, star_sql
+from .entities import table
+from .gold import CALENDAR, DIMENSIONS, FACTS, SCD_START, Star, gate_sql, star_sql
 from .registry import query
 
 STAR = star_sql()
@@ -213,3 +214,42 @@ def lasting_keys(spark, sf):
         x = both.join(first.select(k, F.lit(1).alias("generation")), k, "left").select(F.lit(n).alias("dimension"), F.col(k).alias("natural_key"), "surrogate_key", F.coalesce("generation", F.lit(2)).alias("generation"))
         out.append(x)
     return reduce(DataFrame.unionByName, out)
+
+
+#: Changes of merchants: seq, merchant, name, the day it holds from. One in three says nothing new, and the second batch has late ones.
+MERCHANT_CHANGES = """SELECT 10 * s_suppkey + n AS seq, 'M' || CAST(s_suppkey AS STRING) AS merchant_id, CASE WHEN n = 0 OR (s_suppkey + n) % 3 = 0 THEN s_name ELSE s_name || ' ' || CAST(n AS STRING) END AS merchant_name,
+ CAST(DATE '1992-06-01' + CAST(CASE n WHEN 4 THEN 700 ELSE 400 * n END + s_suppkey % 50 AS INT) AS DATE) AS since, n >= 3 AS second FROM {supplier} CROSS JOIN (SELECT explode(sequence(0, 5)) AS n) WHERE s_suppkey % 7 <> 0 OR n < 5"""
+_CHANGES = MERCHANT_CHANGES.replace("{supplier}", "supplier").replace("explode(sequence(0, 5))", "unnest(range(6))")
+_VERSIONS = f"""ch AS ({_CHANGES}), pick AS (SELECT merchant_id, merchant_name, since FROM ch QUALIFY row_number() OVER (PARTITION BY merchant_id, since ORDER BY seq DESC) = 1),
+ diff AS (SELECT *, lag(merchant_name) OVER (PARTITION BY merchant_id ORDER BY since) AS was FROM pick), ver AS (SELECT merchant_id, merchant_name, since AS effective_from, lead(since) OVER (PARTITION BY merchant_id ORDER BY since) AS effective_to FROM diff WHERE was IS DISTINCT FROM merchant_name),
+ dim AS (SELECT *, effective_to IS NULL AS is_current, CAST(row_number() OVER (ORDER BY merchant_id || '@' || CAST(effective_from AS VARCHAR)) AS INT) AS merchant_key FROM ver)"""
+
+
+def merchant_history(spark, sf) -> DataFrame:
+    """The merchants' versions, with keys from a registry, after two merges of changes."""
+    changes = spark.sql(MERCHANT_CHANGES, supplier=table(spark, sf, "supplier"))
+    none = spark.createDataFrame([], "merchant_id string, merchant_name string, effective_from date, effective_to date, is_current boolean")
+    versions = none
+    for second in (False, True):
+        batch = changes.filter(F.col("second") == second)
+        versions = stored(history.merge_changes(versions, batch, "merchant_id", "since", ["merchant_name"], "seq"), "versions")
+    versions = versions.withColumn("version", history.version_name("merchant_id"))
+    registry = keys.LastingKeys(spark, shared_path(spark, "registries")).extend("merchant_version", versions, "version")
+    return versions.join(registry, "version").drop("version").withColumnRenamed("surrogate_key", "merchant_key")
+
+
+@query(f"WITH {_VERSIONS} SELECT merchant_key, merchant_id, merchant_name, effective_from, effective_to, is_current FROM dim UNION ALL SELECT -1, 'UNKNOWN', 'Unknown Merchant', DATE '{SCD_START}', NULL, TRUE")
+def dim_merchant_history(spark, sf):
+    """Merchants in all their versions."""
+    x = merchant_history(spark, sf).select("merchant_key", "merchant_id", "merchant_name", *history.INTERVAL)
+    unknown = ["-1", "'UNKNOWN'", "'Unknown Merchant'", f"DATE '{SCD_START}'", "CAST(NULL AS DATE)", "TRUE"]
+    return x.unionByName(spark.range(1).select(*[F.expr(e).alias(c) for e, c in zip(unknown, x.columns, strict=True)]))
+
+
+@query(f"""WITH {STAR}, {_VERSIONS} SELECT t.transaction_id, coalesce(d.merchant_key, -1) AS merchant_key, d.merchant_name FROM e_transaction t LEFT JOIN dim d ON t.merchant_id = d.merchant_id AND t.txn_date >= d.effective_from AND (d.effective_to IS NULL OR t.txn_date < d.effective_to)""")
+def fact_merchant_as_of(spark, sf):
+    """Transactions with the version of their merchant that held on their day."""
+    versions = stored(merchant_history(spark, sf), "merchants")
+    facts = Star(spark, sf).entity("transaction").select("transaction_id", "merchant_id", "txn_date")
+    x = history.lookup_as_of(facts, "merchant_id", "txn_date", versions, "merchant_id", "merchant_key", "merchant_key")
+    return x.join(versions.select("merchant_key", "merchant_name"), "merchant_key", "left").select("transaction_id", "merchant_key", "merchant_name")
