@@ -21,3 +21,15 @@ def advance(marks: DataFrame, batches: DataFrame) -> DataFrame:
     moves = batches.filter(F.coalesce("passed", F.lit(False)) & (F.col("n_records") > 0) & F.col("latest").isNotNull()).groupBy("source").agg(F.max("latest").alias("_new"))
     x = marks.join(moves, "source", "full_outer")
     return x.select("source", F.coalesce("_new", "watermark").alias("watermark"))
+
+
+def read_mark(marks: DataFrame, source: str) -> str | None:
+    """A source's mark; None if it has none."""
+    row = marks.filter(F.col("source") == source).agg(F.max("watermark")).first()
+    return row[0]
+
+
+def after_mark(df: DataFrame, stamp: str, marks: DataFrame, source: str) -> DataFrame:
+    """The rows of df (stamp: a timestamp) of the days after the source's mark, a day; all rows without one. The mark is a literal in the plan, so partitions and row groups are skipped by it."""
+    mark = read_mark(marks, source)
+    return df if mark is None else df.filter(F.col(stamp) >= F.lit(date.fromisoformat(mark) + timedelta(days=1)).cast("timestamp"))

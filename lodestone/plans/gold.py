@@ -270,30 +270,29 @@ class Star:
         parts = [gates.named_keys(self.dimension(n), {check: columns for (dim, _), (check, columns) in keyed.items() if dim == n}) for n in (*DIMENSIONS, "date")]
         parts += [gates.named_keys(self.fact(n), {f"grain fact_{n}": grain}) for n, (*_, grain) in FACTS.items()]
         names = [check for check, _ in keyed.values()] + [f"grain fact_{n}" for n in FACTS]
-        report = [gates.repeats_by_name(reduce(DataFrame.unionByName, parts), names)]
+        report = gates.repeats_by_name(reduce(DataFrame.unionByName, parts), names)
         amounts = {"transactions": ("amount", "transaction_status = 'APPROVED'"), "settlements": ("settlement_amount", "true"), "reconciliation": ("expected_amount", "true")}
-        totals = []
+        check = lambda name, n: F.struct(F.lit(name).alias("check_name"), n.cast("long").alias("n_violations"))
+        passes = []
         for n, (entity, refs, *_) in FACTS.items():
             source = self.entity(entity)
             source = source.filter("operation <> 'd'") if "operation" in source.columns else source
             parents = {f"reference fact_{n}.{r}": (r, self.dimension(dim), f"{dim}_key", keys.UNKNOWN_KEY) for r, (_, dim) in refs.items()}
             parents[f"reference fact_{n}.date_key"] = ("date_key", self.dimension("date"), "date_key", None)
             amount, which = amounts.get(n, (None, "true"))
-            extra = {"n_rows": F.count("*"), "n_counted": F.count_if(F.expr(which)), "total": F.sum(F.when(F.expr(which), F.col(amount))) if amount else F.lit(None)}
-            one = gates.orphan_counts(self.fact(n), parents, {k: (v if k != "total" else v.cast("decimal(38,4)")) for k, v in extra.items()})
+            total = F.sum(F.when(F.expr(which), F.col(amount))) if amount else F.lit(None)
+            one = gates.orphan_counts(self.fact(n), parents, {"n_rows": F.count("*"), "n_counted": F.count_if(F.expr(which)), "total": total.cast("decimal(38,4)")})
             one = one.crossJoin(F.broadcast(source.agg(F.count("*").alias("n_source"))))
-            counts = one.select(*[F.col(f"`{c}`") for c in parents], F.abs(F.col("n_source") - F.col("n_rows")).alias(f"rows fact_{n}"))
-            report.append(counts.unpivot([], [F.col(f"`{c}`") for c in counts.columns], "check_name", "n_violations"))
-            if amount:
-                totals.append(one.select(F.lit(n).alias("fact"), "n_counted", "total"))
-        both = reduce(DataFrame.unionByName, totals)
+            counts = [check(c, F.col(f"`{c}`")) for c in parents] + [check(f"rows fact_{n}", F.abs(F.col("n_source") - F.col("n_rows")))]
+            passes.append(one.select(F.lit(n).alias("fact"), "n_counted", "total", F.array(*counts).alias("counts")))
         of = lambda n, c: F.max(F.when(F.col("fact") == n, F.col(c)))
-        settled = F.abs(of("transactions", "n_counted") - of("settlements", "n_counted"))
         sums = [F.coalesce(of(n, "total"), F.lit(0).cast("decimal(38,4)")) for n in amounts]
         equal = F.coalesce((sums[0] == sums[1]) & (sums[1] == sums[2]), F.lit(False))
-        last = both.agg(settled.alias("approved transactions are settled"), F.when(equal, 0).otherwise(1).cast("long").alias("control totals"))
-        report.append(last.unpivot([], last.columns, "check_name", "n_violations"))
-        return reduce(DataFrame.unionByName, report)
+        settled = F.abs(of("transactions", "n_counted") - of("settlements", "n_counted"))
+        # a row a fact
+        whole = reduce(DataFrame.unionByName, passes).agg(F.flatten(F.collect_list("counts")).alias("counts"), settled.alias("settled"), F.when(equal, 0).otherwise(1).alias("totals"))
+        checks = F.concat("counts", F.array(check("approved transactions are settled", F.col("settled")), check("control totals", F.col("totals"))))
+        return report.unionByName(whole.select(F.explode(checks).alias("x")).select("x.*"))
 
     def control_totals(self) -> DataFrame:
         """Approved, settled and expected amounts; passed if all are there and equal."""

@@ -235,6 +235,25 @@ def source_suites(spark, sf):
     ])
 
 
+@query("""SELECT source, check_name, CAST(n AS BIGINT) AS n_failures, (n = 0 OR free) AS passed FROM (
+ SELECT 'country' AS source, unnest(['non_empty', 'required_cca2', 'required_cca3', 'required_name', 'duplicates_cca3']) AS check_name, unnest([0, (SELECT count(*) FROM nation WHERE n_nationkey % 11 = 5), 0, 0, (SELECT count(*) - count(DISTINCT n_regionkey) FROM nation)]) AS n, FALSE AS free
+ UNION ALL SELECT 'iso_currency', unnest(['non_empty', 'required_AlphabeticCode', 'required_Currency', 'required_MinorUnit', 'duplicates_AlphabeticCode', 'pattern_AlphabeticCode']), unnest([0, 0, (SELECT count(*) FROM part WHERE p_partkey % 3 = 0), 0, (SELECT count(*) - count(DISTINCT CASE WHEN p_partkey % 31 = 0 THEN 'Z9' ELSE 'AB' || chr(65 + p_size % 26) END) FROM part), (SELECT count(*) FROM part WHERE p_partkey % 31 = 0)]), unnest([FALSE, FALSE, FALSE, FALSE, TRUE, FALSE])
+ UNION ALL SELECT 'merchant', unnest(['non_empty', 'required_id', 'required_type', 'duplicates_id']), unnest([0, (SELECT count(*) FROM supplier WHERE s_suppkey % 13 = 1), 0, (SELECT count(*) - count(DISTINCT CASE WHEN s_suppkey % 13 <> 1 THEN s_suppkey // 2 END) - count(*) FILTER (s_suppkey % 13 = 1) FROM supplier)]), FALSE
+ UNION ALL SELECT 'legal_entity', unnest(['non_empty', 'required_lei', 'required_entity_status', 'required_entity_jurisdiction', 'required_registration_status', 'duplicates_lei', 'nulls_lei', 'nulls_entity_status', 'nulls_entity_jurisdiction', 'nulls_registration_status']),
+  unnest([0, 0, 0, (SELECT count(*) FROM customer WHERE c_custkey % 9 = 2), 0, 0, 0, (SELECT count(*) FROM customer WHERE c_custkey % 8 = 3), (SELECT count(*) FROM customer WHERE c_custkey % 9 = 2), 0]), unnest([FALSE, FALSE, FALSE, FALSE, FALSE, FALSE, TRUE, TRUE, TRUE, TRUE])
+ UNION ALL SELECT 'lei_page', unnest(['non_empty', 'list_data']), unnest([0, (SELECT count(*) FROM supplier WHERE s_suppkey % 10 = 4)]), FALSE)""")
+def more_source_suites(spark, sf):
+    """The suites of countries, currency codes, places, legal entities and their pages, over raw records with faults."""
+    raw = lambda name, *columns: table(spark, sf, name).selectExpr(*columns)
+    return R.union([
+        R.run_suite(raw("nation", "CASE WHEN n_nationkey % 11 <> 5 THEN n_name END AS cca2", "cast(n_regionkey AS string) AS cca3", "n_name AS name"), "country", R.SUITES["country"]),
+        R.run_suite(raw("part", "CASE WHEN p_partkey % 31 = 0 THEN 'Z9' ELSE concat('AB', chr(65 + p_size % 26)) END AS AlphabeticCode", "CASE WHEN p_partkey % 3 <> 0 THEN p_name END AS Currency", "'2' AS MinorUnit"), "iso_currency", R.SUITES["iso_currency"]),
+        R.run_suite(raw("supplier", "CASE WHEN s_suppkey % 13 <> 1 THEN cast(s_suppkey div 2 AS string) END AS id", "'node' AS type"), "merchant", R.SUITES["merchant"]),
+        R.run_suite(raw("customer", "cast(c_custkey AS string) AS lei", "CASE WHEN c_custkey % 8 = 3 THEN ' ' ELSE 'ACTIVE' END AS entity_status", "CASE WHEN c_custkey % 9 <> 2 THEN 'x' END AS entity_jurisdiction", "'ISSUED' AS registration_status"), "legal_entity", R.SUITES["legal_entity"]),
+        R.run_suite(raw("supplier", """CASE WHEN s_suppkey % 10 = 4 THEN '{"data": {}}' ELSE '{"data": [1]}' END AS raw"""), "lei_page", R.SUITES["lei_page"]),
+    ])
+
+
 @query("""WITH b AS (SELECT o_orderpriority AS source, count(*) FILTER (o_orderkey % 2 = 0) AS n_records, max(CAST(o_orderdate AS DATE)) FILTER (o_orderkey % 2 = 0) AS latest, o_orderpriority NOT LIKE '1%' AS passed FROM orders GROUP BY 1)
  SELECT source, CASE WHEN passed AND n_records > 0 THEN CAST(latest AS VARCHAR) ELSE '1990-01-01' END AS watermark FROM b UNION ALL SELECT 'no batch', '1990-01-01'""")
 def watermark_advance(spark, sf):
