@@ -80,14 +80,14 @@ def _spelled(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def templates(lines: DataFrame) -> DataFrame:
-    """l1, l2, m1, m2, fixed: the template of each distinct line (f1, f2, l1, l2, line) and its words that are not variable."""
+    """l1, l2, m1, m2, fixed: the template of each distinct line (f1, f2, l1, l2, line) and its words that are not variable. What is joined by leaf is stored, so that a hot leaf can be split."""
     words = lines.select(*LEAF, *LINE, F.posexplode(F.split("line", " ")).alias("pos", "word"))
-    sizes = lines.groupBy(*LEAF).agg(F.count("*").alias("size"))
+    sizes = spool(lines.groupBy(*LEAF).agg(F.count("*").alias("size")), "sizes")
     uses = spool(words.groupBy(*LEAF, "pos", "word").agg(F.count("*").alias("c")), "words")
     most = spool(uses.join(sizes, LEAF).filter("2 * c > size").select(*LEAF, "pos", "word"), "fixed")
     alike = words.join(most, [*LEAF, "pos", "word"]).groupBy(*LINE).agg(F.count("*").alias("same"))
     own = lines.select(*LEAF, *LINE, F.size(F.split("line", " ")).alias("n"), F.size(F.filter(F.split("line", " "), lambda w: w != "<*>")).alias("own"))
-    shared = most.groupBy(*LEAF).agg(F.count_if(F.col("word") != "<*>").cast("int").alias("shared"))
+    shared = spool(most.groupBy(*LEAF).agg(F.count_if(F.col("word") != "<*>").cast("int").alias("shared")), "shared")
     x = own.join(alike, LINE, "left").join(shared, LEAF, "left")
     is_leaf = F.coalesce("same", F.lit(0)) >= SIMILAR * F.col("n")
     return x.select(*LINE, *[F.when(is_leaf, F.col(f)).otherwise(F.col(k)).alias(m) for f, k, m in zip(LEAF, LINE, TEMPLATE, strict=True)], F.when(is_leaf, F.coalesce("shared", F.lit(0))).otherwise(F.col("own")).alias("fixed"))
