@@ -194,7 +194,7 @@ class Star:
             if self.lasting is not None:
                 return self.lasting.extend(name, self.entity(name), natural)
             empty = self.spark.createDataFrame([], f"{natural} string, surrogate_key int")
-            return keys.assign_keys(self.entity(name), empty, natural)
+            return stored(keys.assign_keys(self.entity(name), empty, natural), f"registry-{name}")
 
         return self._once(f"registry of {name}", make)
 
@@ -204,7 +204,7 @@ class Star:
 
     @staticmethod
     def _together(make, names: Sequence[str]) -> None:
-        with ThreadPoolExecutor(4) as pool:
+        with ThreadPoolExecutor(6) as pool:
             list(pool.map(make, names))
 
     def lookup(self, df: DataFrame, column: str, dim: str, alias: str, keep_null: bool = False) -> DataFrame:
