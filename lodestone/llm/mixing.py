@@ -8,9 +8,10 @@ of its span lies inside the budget, which leaves each source within half a docum
 target. What is taken is thus a prefix in the order of the keys, and a source's last one taken says it all:
 only keys and sizes are sorted, and the documents themselves stay where they lie.
 
-Prefix sums run inside key ranges (floor of R(1-exp(-key)), of about ROWS_PER_RANGE rows for the largest
-source), and the ranges' totals are added up in a table of R rows a source, so that a source with a
-third of all rows is spread over tasks. The table of sources itself, a row each, is one task's.
+Prefix sums run inside ranges of keys that are equally wide on a log scale, as many to each doubling as make the
+fullest one hold about ROWS_PER_RANGE rows of the largest source: of keys with weight w a doubling holds at most a quarter, whatever
+w is, so a source with a third of all rows is spread over tasks where its weights are small, too. The ranges' totals
+are added up in a table of a row for each. The table of sources itself, a row each, is one task's.
 
 Null text: size 0. Null source: a source of its own, last. Size-0 documents take 0 words. Rows
 with equal ids share a key and are ordered by size, and by their place in what is stored. Empty table:
@@ -64,6 +65,11 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
     )
 
 
+def key_range(key: Column, rows: int) -> Column:
+    """The range of a key, in the order of keys, where the largest source has so many rows."""
+    return F.floor(F.log2(key) * max(16, rows // (4 * ROWS_PER_RANGE))).cast("int")
+
+
 def mix(docs: DataFrame, size: Column, weight: Callable[[Column], Column], weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, the columns in keep, size, source_size, target, copies (long: how often the mix takes the document). weight: of the column of sizes."""
     docs, own = set_aside(docs)
@@ -74,8 +80,7 @@ def mix(docs: DataFrame, size: Column, weight: Callable[[Column], Column], weigh
     base = docs.withColumn("size", size).withColumn("_key", -F.log(u) / weight(F.col("size")))
     base = spool(base.select(*keep, "size", "_key", F.monotonically_increasing_id().alias("_row")), "keys")
     most = base.groupBy("source").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    ranges = max(64, most // ROWS_PER_RANGE)
-    keys = base.select("source", "doc_id", "size", "_key", "_row", F.floor(ranges * (1 - F.exp(-F.col("_key")))).cast("int").alias("_range"))
+    keys = base.select("source", "doc_id", "size", "_key", "_row", key_range(F.col("_key"), most).alias("_range"))
     parts = spool(keys.groupBy("source", "_range").agg(F.sum("size").alias("_sum")), "ranges")
     sources = targets(parts.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
