@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import put_back, set_aside, slices, spool, table, word_of
+from .common import discard, put_back, set_aside, slices, spool, table, word_of
 from .graph import components
 
 SHINGLE, NUM, DEN = 5, 4, 5
@@ -222,12 +222,16 @@ def links_of(docs: DataFrame) -> DataFrame:
     classes = spool(sketches.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_docs")), "classes")
     reps = sketches.join(classes.select("class_id", "key"), [sketches["key"] == classes["key"], sketches["doc_id"] == classes["class_id"]], "left_semi")
     banded = reps.select(F.explode("bands").alias("band"), "doc_id")
+    # What is joined by band and by component is stored, so that one with very many classes can be split.
     shared = banded.groupBy("band").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last").select("band", "first")
+    banded, shared = spool(banded, "banded"), spool(shared, "bands")
     candidates = components(banded.join(shared, "band").select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
 
-    sizes = candidates.groupBy("comp").agg(F.count("*").alias("size"))
+    candidates = spool(candidates, "candidates")
+    sizes = spool(candidates.groupBy("comp").agg(F.count("*").alias("size")), "sizes")
     placed = candidates.join(sizes, "comp").join(classes.withColumnRenamed("class_id", "node"), "node")
     placed = spool(placed.select(F.col("node").alias("doc_id"), "comp", "size", "n_docs", "key"), "placed")
+    discard(banded, shared, candidates, sizes)
     tasks = max(8, placed.count() // BLOCK)
 
     def payload(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
