@@ -20,7 +20,8 @@ and their counts never leave the executors; documents are gathered and scored in
 the rates of its own distinct words. The driver sees one number for each piece and language.
 
 Null text: empty, which is one end token. Null ids are no held-out ones, and stay null. Repeated rows score
-alike and count as often as they come; rows with equal ids and texts share a block. Empty table, or one without
+alike and count as often as they come; where an id has over REPEATS rows, all are numbered and stored once, so that
+no block gathers them. Empty table, or one without
 training documents: the lattice's first weights. Other columns, whatever their names, are not read.
 """
 
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import discard, n_tasks, spool, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-ROUNDS, MAX_LANGS, BLOCK_BYTES, LONG_WORD, MEMORY, STRETCH = 3, 8, 24 << 20, 40, 0.1, 500_000
+ROUNDS, MAX_LANGS, BLOCK_BYTES, LONG_WORD, MEMORY, STRETCH, REPEATS = 3, 8, 24 << 20, 40, 0.1, 500_000, 100
 MARK, LOG10 = "▁", math.log(10)
 
 
@@ -354,6 +355,12 @@ def sums_of(token: np.ndarray, ends: np.ndarray, logs: np.ndarray, p: np.ndarray
     return out
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs, and the columns that tell rows with equal ids and texts apart: none while no id has over REPEATS rows, else a number stored with the rows."""
+    most = docs.groupBy("doc_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    return (docs, []) if most <= REPEATS else (spool(docs.withColumn("_nth", F.monotonically_increasing_id()), "numbered"), ["_nth"])
+
+
 def score(docs: DataFrame, held_out, path: str = VOCABULARY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; docs: doc_id, text, lang."""
     spark = docs.sparkSession
@@ -369,8 +376,9 @@ def score(docs: DataFrame, held_out, path: str = VOCABULARY) -> DataFrame:
     for k, r in enumerate(top):
         at = F.when(F.col("lang").eqNullSafe(F.lit(r["lang"])), k).otherwise(at)
     blocks = max(2 * n_tasks(spark), size // BLOCK_BYTES)
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"), F.when(held_out, langs).otherwise(at).cast("int").alias("k"), block.alias("block"))
+    docs, numbers = _numbered(docs.withColumn("_held", held_out))
+    block = F.pmod(F.xxhash64("doc_id", "text", *numbers), F.lit(blocks)).cast("int")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("_held").alias("held_out"), F.when(F.col("_held"), langs).otherwise(at).cast("int").alias("k"), block.alias("block"))
     asked = spool(gather(dealt.select("text", "k", "block"), langs), "asked")
     rates, model = train(asked, ends, *load_pieces(path))
     known = asked.select("block", "word").join(rates, "word")
