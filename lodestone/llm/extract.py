@@ -9,7 +9,10 @@ maximum flow's cut is the labelling of least cost, and the blocks on the source'
 The log odds have two parts, neither of which decides alone. What the page says of itself: elements such as
 article, nav, footer, form, and class, id and role, where a name that is a telling word (ad, comments)
 counts more than one that only holds it (ad-free), and one that holds words of both sorts
-(content-with-sidebar) counts nothing. And what the text looks like (length, links, end marks, headings,
+(content-with-sidebar) counts nothing. An element that claims to be content cancels what a form around it says, and
+main what anything around it says; inside one that claims to be content, names that often stand for a part of the text
+(alert, notice) count no more than names that only hold a word. A heading that announces readers' comments speaks
+against all that follows it under the same parent, a link "Reply" against what shares its element. And what the text looks like (length, links, end marks, headings,
 legal phrases): its weights are fitted by logistic regression, drawn towards START, on the
 blocks of at most SAMPLE_PAGES pages, those with the smallest hashes, labelled by the first part; the
 bound keeps the fit off the driver's memory whatever the table's size.
@@ -41,7 +44,7 @@ from .common import table
 
 SAMPLE_PAGES, TEXT_LIMIT, BARE = 400, 3.0, 1.0
 #: Capacities of edges: to the next block and to the next under the same parent, at no distance; their decay by step; what is left across an element that stands for something.
-NEXT, NEAR, DECAY, ACROSS = 1.6, 1.0, 0.25, 0.2
+NEXT, NEAR, DECAY, ACROSS = 2.6, 1.0, 0.5, 0.2
 #: Log odds of what an element says: a telling element or name, a name that holds a telling word, and the most that all of them take away.
 TELLS, HOLDS, CLAIMS, MOST = 6.0, 2.0, 3.0, 8.0
 #: Elements that end a block of text.
@@ -60,6 +63,10 @@ BOILER_WORDS = frozenset(
     "footer header masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted related "
     "replies reply respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Those of them that text inside an article has, too.
+LOOSE_WORDS = frozenset("alert banner disclaimer notice notification widget".split())
+#: Elements that may be wrapped around a whole page.
+WRAP_TAGS = frozenset(("form", "fieldset"))
 CONTENT_WORDS = frozenset("article content entry main post story".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSERS = BLOCK_TAGS | {"button", "select"}
@@ -74,21 +81,21 @@ _end = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW_TAGS}
 class Block:
     """text; linked: characters in links; tag; structure: log odds by what the page says; said: the innermost element that says something; parent: node above its element; depth, and low: the depth of what it shares with the block before."""
 
-    __slots__ = ("text", "linked", "tag", "structure", "said", "parent", "depth", "low")
+    __slots__ = ("text", "linked", "tag", "structure", "said", "node", "parent", "depth", "low")
 
-    def __init__(self, text: str, linked: int, tag: str, structure: float, said: int, parent: int, depth: int, low: int):
-        self.text, self.linked, self.tag, self.structure, self.said, self.parent, self.depth, self.low = text, linked, tag, structure, said, parent, depth, low
+    def __init__(self, text: str, linked: int, tag: str, structure: float, said: int, node: int, parent: int, depth: int, low: int):
+        self.text, self.linked, self.tag, self.structure, self.said, self.node, self.parent, self.depth, self.low = text, linked, tag, structure, said, node, parent, depth, low
 
 
-def _names(attributes: str) -> tuple[float, float]:
-    """(against, for) content, of the names in class, id and role."""
+def _names(attributes: str, inside: bool = False) -> tuple[float, float]:
+    """(against, for) content, of the names in class, id and role; inside: of an element that claims to be content."""
     against = support = 0.0
     for m in _attr.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").split():
             found = {w.lower() for w in _word.findall(name)}
             bad, good = found & BOILER_WORDS, found & CONTENT_WORDS
             if bad and not good:
-                against = max(against, TELLS if len(found) == 1 else HOLDS)
+                against = max(against, TELLS if len(found) == 1 and not (inside and bad <= LOOSE_WORDS) else HOLDS)
             elif good and not bad:
                 support = max(support, CLAIMS if len(found) == 1 else HOLDS)
     return against, support
@@ -160,6 +167,8 @@ class Element(NamedTuple):
     against: float
     support: float
     said: int
+    #: What forms around it say, as part of against.
+    wrapped: float = 0.0
 
 
 def blocks_of(page: str | None) -> list[Block]:
@@ -183,7 +192,7 @@ def blocks_of(page: str | None) -> list[Block]:
             if text:
                 top = stack[-1]
                 above = stack[-2].node if len(stack) > 1 else -1
-                out.append(Block(text, linked, top.tag, top.support - min(MOST, top.against), top.said, above, len(stack), low))
+                out.append(Block(text, linked, top.tag, top.support - min(MOST, top.against), top.said, top.node, above, len(stack), low))
                 low = len(stack)
             pieces.clear()
         linked = 0
@@ -192,13 +201,19 @@ def blocks_of(page: str | None) -> list[Block]:
         nonlocal nodes
         nodes += 1
         top = stack[-1]
-        against, support = _names(attributes) if attributes else (0.0, 0.0)
+        against, support = _names(attributes, top.support > 0) if attributes else (0.0, 0.0)
+        outer, wrapped = top.against, top.wrapped
         if tag in BOILER_TAGS or (tag == "header" and not top.support):
+            if tag in WRAP_TAGS and not against:
+                wrapped += TELLS
             against = max(against, TELLS)
         elif tag in CONTENT_TAGS and not against:
             support = CLAIMS
-        says = against or (support and not top.support)
-        stack.append(Element(tag, nodes, top.against + against, max(top.support, support), nodes if says else top.said))
+        if support and not against:
+            outer = 0.0 if tag == "main" else outer - wrapped
+            wrapped = 0.0
+        says = against or outer != top.against or (support and not top.support)
+        stack.append(Element(tag, nodes, outer + against, max(top.support, support), nodes if says else top.said, wrapped))
         open_tags[tag] += 1
 
     def say(raw: str) -> None:
@@ -250,7 +265,40 @@ def blocks_of(page: str | None) -> list[Block]:
                 if tag not in VOID and not m.attributes.endswith("/"):
                     push(tag, m.attributes)
     flush()
-    return out
+    return _comments(out)
+
+
+#: Headings over readers' comments, and what stands below each of these, in four languages.
+OVER_COMMENTS = re.compile(r"(?:\d+ )?(?:reader |user )?(?:comments?|replies|responses|kommentare?|commentaires?|comentarios?)(?: \(?\d+\)?)?:?|(?:leave|post|write) an? (?:comment|reply):?", re.I)
+BELOW_COMMENT = re.compile(r"reply|antworten|répondre|responder", re.I)
+
+
+def _comments(found: list[Block]) -> list[Block]:
+    """found, with what headings and reply links say of readers' comments."""
+    under, depth, seen = None, 0, set()
+    size = sum(len(b.text) for b in found)
+    at: dict[int, list[Block]] = {}
+    for b in found:
+        at.setdefault(b.node, []).append(b)
+        if b.parent != b.node:
+            at.setdefault(b.parent, []).append(b)
+    for b in found:
+        if under is not None and b.low <= depth:
+            under = None
+        short = len(b.text) < 40
+        if short and b.tag[:1] == "h" and b.tag[1:].isdigit() and OVER_COMMENTS.fullmatch(b.text):
+            under, depth = b.node, b.depth - 2
+        if under is not None:
+            b.structure, b.said = min(b.structure, 0.0) - TELLS, -under
+        elif short and b.linked and BELOW_COMMENT.fullmatch(b.text):
+            # the element that the link is in, or the one above if it has that one for itself; one with most of the page's text is no comment
+            unit, said = b.node if len(at[b.node]) > 1 else b.parent, b.said
+            if unit not in seen and unit != said and 2 * sum(len(x.text) for x in at[unit]) <= size:
+                for x in at[unit]:
+                    if x.said == said:
+                        x.structure, x.said = x.structure - TELLS, -unit
+            seen.add(unit)
+    return found
 
 
 #: Where the fit begins, and what it is drawn to: constant, length, linked share, end mark, under 30 characters, heading, list item, legal or housekeeping phrase, separators.

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -12,6 +13,7 @@ from lodestone.llm import decontaminate, extract, graph, jaccard, lattice, mixin
 from lodestone.llm.common import shared_path, words
 
 DOC = "doc_id long, text string, lang string, source string"
+WHOLE = "/root/testdata/sf0.01"
 LONG, BIG = " ".join(f"word{k}" for k in range(60)), (1 << 53) + 1
 ODD = [(1, None, "en", "a"), (2, "", "en", None), (3, " \n\t ", None, "b"), (4, LONG, "en", "a"), (4, LONG, "en", "a"), (5, LONG, "fr", "a"), (6, LONG + " tail", "de", "c"), (7, "one two", "en", "c"), (8, "x" * 50_000, "en", "a")]
 
@@ -91,6 +93,17 @@ def test_mixing_of_equal_rows(spark):
         assert abs(sum(r["copies"] * r["size"] for r in mine) - mine[0]["target"]) <= 2
 
 
+@pytest.mark.parametrize("weight", [0.05, 0.5, 1.0])
+def test_key_ranges_are_even_for_all_weights(spark, weight):
+    """Ranges follow the keys' order, and none holds more than about its share, whatever the weights."""
+    n, share = 200_000, 5_000
+    keys = spark.range(n).select((-F.log(F.rand(3)) / weight).alias("k"))
+    ranged = keys.select("k", mixing.key_range(F.col("k"), n * mixing.ROWS_PER_RANGE // share).alias("r"))
+    sizes = sorted((r["r"], r["count"], r["lo"], r["hi"]) for r in ranged.groupBy("r").agg(F.count("*").alias("count"), F.min("k").alias("lo"), F.max("k").alias("hi")).collect())
+    assert max(x[1] for x in sizes) < 1.3 * share
+    assert all(a[3] < b[2] for a, b in zip(sizes, sizes[1:]))
+
+
 def test_quality_counts_against_brute_force():
     text = "a b c d a b c x\nline\nline\n\n# * %"
     s = quality.stats_of(text)
@@ -302,6 +315,19 @@ def test_score_of_a_text_by_hand(spark):
     assert math.isclose(rows[3]["score"], want, rel_tol=1e-5)
 
 
+def test_rows_that_repeat_often_are_told_apart(spark, monkeypatch):
+    """Scores don't hang on whether repeats are numbered, and numbered ones go to several blocks."""
+    docs = spark.createDataFrame([(7, "one two three", "en", "a")] * 40 + ODD, DOC)
+    held_out = F.coalesce(F.col("doc_id") == 4, F.lit(False))
+    rows = lambda: sorted((tuple(r) for r in lattice.score(docs, held_out).collect()), key=repr)
+    plain = rows()
+    monkeypatch.setattr(lattice, "REPEATS", 10)
+    numbered, keys = lattice._numbered(docs)
+    assert keys and numbered.select(F.pmod(F.xxhash64("doc_id", "text", *keys), F.lit(8))).filter("doc_id = 7").distinct().count() > 1
+    for a, b in zip(plain, rows(), strict=True):
+        assert a[:5] == b[:5] and math.isclose(a[5], b[5], abs_tol=1e-9) and math.isclose(a[6], b[6], abs_tol=1e-4)
+
+
 def test_scores(odd, empty):
     held = F.col("doc_id") == 7
     rows = lattice.score(odd.select("doc_id", "text", "lang"), held).collect()
@@ -514,13 +540,58 @@ def test_misleading_names_do_not_sink_a_page(wrap):
     assert extract.extract(page, extract.fit([])) == "\n\n".join(art)
 
 
+NAV = "<nav><a href=/>Home</a> <a href=/>News</a></nav>"
+SAID = ("One long sentence of the recipe, which ends here and says a good deal to all who read it.", "Another long sentence of the recipe, with what it has to say, ends here and goes on for a while.")
+REMARK = "Nice recipe, thank you very much, I have tried it with my family and all of them liked it."
+
+
+@pytest.mark.parametrize("page", [
+    "<article>{a}<div class='alert'>{b}</div></article>",
+    "<article>{a}{b}<div class='notice'><p>We use cookies. Sign in to accept our privacy policy.</p></div></article>",
+    "<form id=aspnetForm action=x>{nav}<main>{a}{b}</main><footer>f</footer></form>",
+    "<form action=x>{nav}<div class=content>{a}{b}</div></form>",
+    "<div class=widget><main>{a}{b}</main></div>",
+    "<article>{a}</article><div><h3>3 Comments</h3><div>{c}</div><div>{c}</div></div>{b}",
+    "<article>{a}{b}<h3>Comments</h3><div>{c}</div></article>",
+    "<article>{a}{b}</article><div><p>Anna wrote:</p>{c}<a href=/r>Reply</a></div>",
+    "<article>{a}{b}<div><p>Anna wrote:</p>{c}<p><a href=/r>Reply</a></p></div></article>",
+    "<article>{a}{b}<a href=/r>Reply</a></article>",
+    "<article>{a}{b}<form><p>Sign up for our mail. Subscribe.</p><label>Mail</label><input></form></article>",
+])
+def test_wrappers_notices_and_comments_without_names(page):
+    part = {"nav": NAV, "a": f"<p>{SAID[0]}</p>", "b": f"<p>{SAID[1]}</p>", "c": f"<p>{REMARK}</p>"}
+    text = extract.extract(NAV + page.format(**part), extract.fit([]))
+    assert text.removesuffix("\n\nReply") == "\n\n".join(SAID)
+
+
+def test_cut_on_the_given_pages_without_telling_elements():
+    """With article, nav, footer and names taken away, the cut still finds the articles, and is right more often than its blocks' own odds."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table(f"{WHOLE}/pages.parquet")["html"].to_pylist()
+    w, wrong_alone, wrong_cut, blocks, differ = extract.fit(pages), 0, 0, 0, 0
+    for page in pages:
+        truth = [b.structure > 0 for b in extract.blocks_of(page)]
+        found = extract.blocks_of(re.sub(r"<(/?)(?:article|nav|footer)\b[^>]*>", r"<\1div>", re.sub(r" class=\"[^\"]*\"", "", page or "")))
+        side, odds = extract.label(found, w) if found else ([], [])
+        assert len(side) == len(truth)
+        blocks += len(truth)
+        changed = [s != (o > 0) for s, o in zip(side, odds, strict=True)]
+        differ += any(changed)
+        wrong_alone += sum((o > 0) != t for o, t in zip(odds, truth, strict=True))
+        wrong_cut += sum(s != t for s, t in zip(side, truth, strict=True))
+    print("pages", len(pages), "changed by the cut", differ, "blocks", blocks, "wrong alone", wrong_alone, "wrong with the cut", wrong_cut)
+    assert differ and wrong_cut < wrong_alone
+
+
 def test_long_and_deep_pages():
     import time
 
     w, rng, start = extract.fit([]), np.random.default_rng(1), time.time()
     flat = "".join(f"<p>{'word ' * int(rng.integers(1, 30))}{'.' if rng.random() < 0.5 else ''}</p>" for _ in range(100_000))
     deep = "".join(f"<div>text {k}." for k in range(100_000)) + "</p></div>" * 100_000
-    assert extract.extract(flat, w) and extract.extract(deep, w)
+    replies = "<div>" + "<p>word</p><a href=/>Reply</a>" * 50_000
+    assert extract.extract(flat, w) and extract.extract(deep, w) and extract.extract(replies, w) is not None
     assert time.time() - start < 60
 
 
