@@ -13,18 +13,25 @@ from ..functions.scalars import reward
 def qualify_offers(txns: DataFrame, offers: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Each approved transaction with the first offer (by offer_id) of its program that is valid on its date and fits its code; keep: more columns of txns.
 
-    An offer lies in one or two buckets of days of its own width, the least power of two that it fits in, so its number of rows
-    doesn't hang on how long it is valid; a transaction looks into its day's bucket of each width that offers have.
+    Which offer that is hangs on program, date and code alone, so no transaction meets all offers that fit it. An offer's days are
+    the fewest blocks of 2^n days that start at a multiple of 2^n, at most two of each n; of each block, program and code only the
+    first offer stays. Each program, date and code that transactions have looks into the one block of each n that its date is in.
     """
-    day = lambda c: F.unix_date(F.col(c))
-    o = offers.filter("valid_from <= valid_to").withColumn("_width", F.expr("CAST(ceil(log2(datediff(valid_to, valid_from) + 1)) AS INT)"))
-    first, last = (F.expr(f"floor(unix_date({c}) / power(2, _width))") for c in ("valid_from", "valid_to"))
-    b = o.withColumn("_bucket", F.explode(F.sequence(first, last))).alias("o")
-    widths = o.agg(F.array_sort(F.collect_set("_width")).alias("_widths"))  # one row, of at most 22 widths
-    a = txns.filter("status = 'APPROVED'").crossJoin(F.broadcast(widths)).withColumn("_width", F.explode("_widths")).drop("_widths")
-    a = a.withColumn("_bucket", F.floor(day("txn_date") / F.pow(F.lit(2), "_width"))).alias("t")
-    fits = F.expr("t.program_id = o.program_id AND t._width = o._width AND t._bucket = o._bucket AND t.txn_date BETWEEN o.valid_from AND o.valid_to AND (o.eligible_mcc IS NULL OR o.eligible_mcc = t.mcc)")
-    best = a.join(b, fits).groupBy("t.transaction_id").agg(F.min_by(F.struct("t.amount", "t.txn_date", *[f"t.{c}" for c in keep], "o.*"), F.col("o.offer_id")).alias("x"))
+    o = offers.filter("valid_from <= valid_to").withColumns({"_from": F.unix_date("valid_from"), "_to": F.unix_date("valid_to") + 1})
+    blocks = F.expr("""flatten(transform(sequence(0, CAST(floor(log2(_to - _from)) AS INT)), n -> transform(
+        filter(array(struct(-shiftright(-_from, n) AS at, -shiftright(-_from, n) AS odd), struct(shiftright(_to, n) - 1 AS at, shiftright(_to, n) AS odd)),
+               b -> -shiftright(-_from, n) < shiftright(_to, n) AND b.odd & 1 = 1), b -> struct(n, b.at))))""")
+    o = o.select("program_id", "eligible_mcc", F.struct("offer_id", "offer_type", "offer_value", "min_amount").alias("_offer"), F.explode(blocks).alias("_block"))
+    o = o.groupBy("program_id", "eligible_mcc", F.col("_block.n").alias("_n"), F.col("_block.at").alias("_at")).agg(F.min_by("_offer", F.col("_offer.offer_id")).alias("_offer"))
+    a = txns.filter("status = 'APPROVED'").select("transaction_id", "amount", "txn_date", "program_id", "mcc", *keep)
+    sizes = o.agg(F.array_sort(F.collect_set("_n")).alias("_sizes"))  # one row, of at most 22 sizes
+    tried = a.select("program_id", "mcc", "txn_date").filter("program_id IS NOT NULL AND txn_date IS NOT NULL").distinct().crossJoin(F.broadcast(sizes)).withColumn("_n", F.explode("_sizes")).drop("_sizes")
+    tried = tried.withColumns({"_at": F.expr("shiftright(unix_date(txn_date), _n)"), "_code": F.explode(F.array("mcc", F.lit(None)))}).alias("t")
+    fits = F.expr("t.program_id = o.program_id AND t._code <=> o.eligible_mcc AND t._n = o._n AND t._at = o._at")
+    first = tried.join(o.alias("o"), fits).groupBy("t.program_id", "t.mcc", "t.txn_date").agg(F.min_by("o._offer", F.col("o._offer.offer_id")).alias("_offer")).alias("f")
+    a = a.alias("a").join(first, F.expr("a.program_id = f.program_id AND a.mcc <=> f.mcc AND a.txn_date = f.txn_date"))
+    # rows that share an id count as one transaction
+    best = a.groupBy("a.transaction_id").agg(F.min_by(F.struct("a.amount", "a.txn_date", *[f"a.{c}" for c in keep], "f._offer.*"), F.col("f._offer.offer_id")).alias("x"))
     out = best.select("transaction_id", "x.amount", "x.txn_date", *[f"x.{c}" for c in keep], "x.offer_id", "x.offer_type", "x.offer_value", "x.min_amount")
     paid = reward(F.col("amount"), F.col("offer_type"), F.col("offer_value"), F.col("min_amount"))
     return out.withColumn("reward_amount", paid).withColumn("qualification_status", F.when(F.col("reward_amount") > 0, "QUALIFIED").otherwise("NOT_QUALIFIED"))

@@ -66,3 +66,21 @@ def test_offers_of_any_length_against_all_pairs(spark):
             want[k] = min(hit)
     assert {r["transaction_id"]: r["offer_id"] for r in rules.qualify_offers(t, o).collect()} == want and len(want) > 100
     assert rules.qualify_offers(t, o.limit(0)).count() == 0
+
+
+def _each(seq):
+    return [seq.apply(n) for n in range(seq.size())]
+
+
+def test_transactions_dont_meet_all_offers_that_fit(spark):
+    n = 3000
+    o = spark.range(n).selectExpr("CAST(id AS INT) AS offer_id", "1 AS program_id", "CAST(NULL AS STRING) AS eligible_mcc", "date_add(DATE '2000-01-01', CAST(id % 30 AS INT)) AS valid_from", "DATE '2000-12-31' AS valid_to", "'FIXED_AMOUNT' AS offer_type", "1 AS offer_value", "0 AS min_amount")
+    t = spark.range(n).selectExpr("id AS transaction_id", "1 AS program_id", "'m1' AS mcc", "'APPROVED' AS status", "date_add(DATE '2000-03-01', CAST(id % 20 AS INT)) AS txn_date", "CAST(10 AS DECIMAL(18,2)) AS amount")
+    out = rules.qualify_offers(t, o)
+    assert [tuple(r) for r in out.groupBy("offer_id").count().collect()] == [(0, n)]
+    store = spark._jsparkSession.sharedState().statusStore()
+    run = store.executionsList().last().executionId()
+    values = store.executionMetrics(run)
+    rows = [m.accumulatorId() for node in _each(store.planGraph(run).allNodes()) if "Join" in node.name() for m in _each(node.metrics()) if m.name() == "number of output rows"]
+    found = [int(values.get(k).get().replace(",", "")) for k in rows if values.get(k).isDefined()]
+    assert found and max(found) <= 2 * n
