@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
 from .folds import fold
 
 ENVELOPE = """payload struct<op:string,before:string,after:string,
@@ -110,6 +111,7 @@ CHANGES = ("inserted", "updated", "deleted")
 
 def fold_rows(events: DataFrame, key: str, state: DataFrame | None = None, **limits: int) -> DataFrame:
     """(key, kafka_offset, disposition, state, is_last): a row an event other than a tombstone of (key, kafka_offset, operation, source_lsn, digest, record), and at a key's end a row with its state and is_last. state: a stored one (key, state).
+    Events that are stored and numbered (_row) are not written again.
 
     In window functions (see folds); a key whose late events take more rounds than those, by limits, goes through one task in order.
     """
@@ -127,14 +129,15 @@ def fold_rows(events: DataFrame, key: str, state: DataFrame | None = None, **lim
     gone = F.col("e.operation").eqNullSafe(F.lit("d"))
     held = F.struct(F.col("e.source_lsn").alias("lsn"), F.col("e.deleted").alias("deleted"), F.when(~gone, F.col("e.digest")).alias("digest"), F.when(~gone, F.col("e.record")).alias("record"))
     out = said.unionByName(last.select(key, none.cast("long").alias("kafka_offset"), none.cast("string").alias("disposition"), held.alias("state"), F.lit(True).alias("is_last")))
-    return out if rest is None else out.unionByName(_in_order(rest, key))
+    return out if rest is None else out.unionByName(stored(_in_order(rest, key), "in-order", "zstd"))
 
 
 def _with_state(events: DataFrame, key: str, state: DataFrame | None) -> DataFrame:
     """The events that count, and for each stored state a row that comes before its key's events."""
-    x = events.filter("operation IS NULL OR operation <> 't'").select(key, F.lit(True).alias("_new"), F.col("kafka_offset").cast("long").alias("kafka_offset"), "operation", F.col("source_lsn").cast("long").alias("source_lsn"), "digest", "record", F.lit(False).alias("_deleted"))
+    ready = ["_row"] if "_row" in events.columns else []
+    x = events.filter("operation IS NULL OR operation <> 't'").select(*ready, key, F.lit(True).alias("_new"), F.col("kafka_offset").cast("long").alias("kafka_offset"), "operation", F.col("source_lsn").cast("long").alias("source_lsn"), "digest", "record", F.lit(False).alias("_deleted"))
     if state is not None:
-        old = state.select(key, F.lit(False).alias("_new"), F.lit(None).cast("long").alias("kafka_offset"), F.lit(None).cast("string").alias("operation"), F.col("state.lsn").alias("source_lsn"), "state.digest", "state.record", F.col("state.deleted").alias("_deleted"))
+        old = state.select(*[F.lit(-1).cast("long").alias(c) for c in ready], key, F.lit(False).alias("_new"), F.lit(None).cast("long").alias("kafka_offset"), F.lit(None).cast("string").alias("operation"), F.col("state.lsn").alias("source_lsn"), "state.digest", "state.record", F.col("state.deleted").alias("_deleted"))
         x = x.unionByName(old)
     return x.withColumn("_given", ~F.col("_new"))
 
@@ -146,7 +149,7 @@ def fold_in_order(events: DataFrame, key: str, state: DataFrame | None = None) -
 
 def _in_order(x: DataFrame, key: str) -> DataFrame:
     by = [key, *ORDER]
-    x = x.drop("_given")
+    x = x.drop("_given", "_row")
     kind = x.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import JSON, record_hash
+from ..functions.scalars import JSON
 from ..sources.stored import stored
 from . import cdc
 from .checks import ColumnSpec, TableSpec
@@ -158,21 +158,33 @@ def typed_events(bronze: DataFrame, spec: TableSpec) -> DataFrame:
     return x.withColumn("_reason", F.when(F.col("_op") != "t", reason)).drop("_problem", "_image")
 
 
-def judged(bronze: DataFrame, spec: TableSpec, checkpoint: DataFrame | None = None) -> DataFrame:
-    """A stored row an event: key, kafka_offset, operation, source_lsn, digest, record (its typed image as JSON), early (what it is without a look at any state; null: to be folded), reason. Images are parsed once."""
+def judged(bronze: DataFrame, spec: TableSpec, checkpoint: DataFrame | None = None, mode: str = "log") -> DataFrame:
+    """A stored row an event: _row (its number), key, kafka_offset, operation, source_lsn, record (its typed image as JSON, columns in order of name; null for deletes of a state table), early (what it is without a look at any state; null: to be folded), reason. Images are parsed once."""
     if checkpoint is not None:
         seen = checkpoint.select("source_topic", "kafka_partition", F.col("kafka_offset").alias("_seen"))
         bronze = bronze.join(seen, ["source_topic", "kafka_partition"], "left")
         bronze = bronze.withColumn("operation", F.when(F.col("kafka_offset") <= F.col("_seen"), "seen").otherwise(F.col("operation")))
-    names, op = [c.name for c in spec.columns], F.col("_op")
+    op = F.col("_op")
     early = F.when(op == "seen", "duplicates_skipped").when(op == "t", "tombstone_ignored").when(F.col("_reason").isNotNull(), "quarantined")
     x = typed_events(bronze, spec).withColumn("early", early)
-    record = F.to_json(F.struct(*names), JSON)
+    needed = F.col("early").isNull() if mode == "log" else F.col("early").isNull() & ~op.eqNullSafe(F.lit("d"))
     kept = x.select(
-        F.when(op != "seen", F.col(spec.key)).alias(spec.key), F.col("_off").alias("kafka_offset"), op.alias("operation"), F.col("_lsn").alias("source_lsn"),
-        F.when(F.col("early").isNull(), record_hash(names)).alias("digest"), F.when(F.col("early").isNull(), record).alias("record"), "early", F.when(F.col("early") == "quarantined", F.col("_reason")).alias("reason"),
+        F.monotonically_increasing_id().alias("_row"), F.when(op != "seen", F.col(spec.key)).alias(spec.key), F.col("_off").alias("kafka_offset"), op.alias("operation"), F.col("_lsn").alias("source_lsn"),
+        F.when(needed, _record(spec)).alias("record"), "early", F.when(F.col("early") == "quarantined", F.col("_reason")).alias("reason"),
     )
-    return stored(kept, "judged")
+    return stored(kept, "judged", "zstd")
+
+
+def _record(spec: TableSpec) -> Column:
+    """What record_hash() is the hash of."""
+    return F.to_json(F.struct(*sorted(c.name for c in spec.columns)), JSON)
+
+
+def _by_record(state: DataFrame, spec: TableSpec) -> DataFrame:
+    """state with its record, written as judged() writes it, in place of the digest."""
+    s = state.withColumn("_r", F.from_json("state.record", schema_of(spec), JSON))
+    record = F.when(F.col("state.record").isNotNull(), F.to_json(F.struct(*[F.col(f"_r.{n}").alias(n) for n in sorted(c.name for c in spec.columns)]), JSON))
+    return s.select(spec.key, F.struct("state.lsn", "state.deleted", record.alias("digest"), F.lit(None).cast("string").alias("record")).alias("state"))
 
 
 def process(bronze: DataFrame, spec: TableSpec, mode: str, state: DataFrame | None = None, checkpoint: DataFrame | None = None) -> DataFrame:
@@ -180,12 +192,19 @@ def process(bronze: DataFrame, spec: TableSpec, mode: str, state: DataFrame | No
 
     Events up to the checkpoint are duplicates_skipped; tombstones are tombstone_ignored; events that
     can't be used, or that break the table's rules, are quarantined with a reason. In a log, an appended event's
-    state is the event itself.
+    state is the event itself. A state table's events are compared by their records, which hold all that digests would tell;
+    digests are taken of the states at the end.
     """
     key, none = spec.key, F.lit(None)
-    x = judged(bronze, spec, checkpoint)
-    good = x.filter("early IS NULL").select(key, "kafka_offset", "operation", "source_lsn", "digest", "record")
-    folded = cdc.fold_log_rows(good, key, state) if mode == "log" else cdc.fold_rows(good, key, state)
+    x = judged(bronze, spec, checkpoint, mode)
+    good = x.filter("early IS NULL")
+    if mode == "log":
+        folded = cdc.fold_log_rows(good.select(key, "kafka_offset", "operation", "source_lsn", F.sha2("record", 256).alias("digest"), "record"), key, state)
+    else:
+        good = good.select("_row", key, "kafka_offset", "operation", "source_lsn", F.col("record").alias("digest"), none.cast("string").alias("record"))
+        folded = cdc.fold_rows(good, key, None if state is None else _by_record(state, spec))
+        held = F.struct("state.lsn", "state.deleted", F.sha2("state.digest", 256).alias("digest"), F.col("state.digest").alias("record"))
+        folded = folded.withColumn("state", F.when(F.col("is_last"), held))
     broken = F.col("disposition").isin("conflict_update_after_delete", "conflict_same_lsn", "duplicate_primary_key")
     folded = folded.select(key, "kafka_offset", F.when(broken, "quarantined").otherwise(F.col("disposition")).alias("disposition"), F.when(broken, F.col("disposition")).alias("reason"), "state", "is_last")
     rest = x.filter("early IS NOT NULL").select(key, "kafka_offset", F.col("early").alias("disposition"), "reason", none.cast(cdc.STATE).alias("state"), F.lit(False).alias("is_last"))

@@ -50,7 +50,7 @@ class _Ordered:
 def _stored_and_counted(df: DataFrame, what: Column, name: str) -> tuple[DataFrame, int]:
     """df, stored, and an aggregate over it that is taken on the way."""
     seen = Observation()
-    out = stored(df.observe(seen, what.alias("n")), name)
+    out = stored(df.observe(seen, what.alias("n")), name, "zstd")
     return out, seen.get["n"] or 0
 
 
@@ -63,9 +63,13 @@ def fold(
     rows: with _given, true for a key's stored state, which comes first in order and gets no _said. becomes: a struct, the
     state after a changing row. say(state before): what is said of a row; those in changes change the state. position and
     opens (true, false or null) make the guess. chunk: a number that rises with the order; without it keys are not split.
+    Rows that have a _row, a number that no two of a key share, are stored already and are not written again.
     """
-    rows = rows.withColumns({"_row": F.monotonically_increasing_id(), "_chunk": F.lit(0).cast("long") if chunk is None else F.coalesce(chunk, F.lit(-1)).cast("long")})
-    rows, n_rows = _stored_and_counted(rows, F.count("*"), "fold-rows")
+    rows = rows.withColumn("_chunk", F.lit(0).cast("long") if chunk is None else F.coalesce(chunk, F.lit(-1)).cast("long"))
+    if "_row" in rows.columns:
+        n_rows = rows.filter("NOT _given").count() if chunk is not None else 0
+    else:
+        rows, n_rows = _stored_and_counted(rows.withColumn("_row", F.monotonically_increasing_id()), F.count("*"), "fold-rows")
     many = chunk is not None and n_rows > split and not rows.groupBy(key).count().filter(F.col("count") > split).isEmpty()
     o = _Ordered(key, [*order, "_row"], many)
     x = o.before(rows, "_top", position, largest=True)

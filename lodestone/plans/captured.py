@@ -65,17 +65,19 @@ def run_table(spark: SparkSession, bronze: DataFrame, root: str, name: str, publ
         image = F.when(F.col("operation") == "d", F.col("before")).otherwise(F.col("after"))
         touched = events.select(F.get_json_object(image, f"$.{spec.key}").alias(spec.key)).distinct()
         state = state.join(touched, spec.key, "left_semi")
-    done = stored(cdc_tables.process(events, spec, mode, state), "captured")
+    done = cdc_tables.process(events, spec, mode, state)
+    if mode == "log":
+        done = stored(done, "captured", "zstd")  # a state table's is read from what its fold has stored
     on_step("processed")
 
     folders = {kind: ledger.folder(kind) for kind in KINDS}
-    write = lambda df, kind: df.write.parquet(f"{ledger.root}/{folders[kind]}")
+    write = lambda df, kind: df.write.parquet(f"{ledger.root}/{folders[kind]}", compression="zstd")
     write(cdc_tables.state_of(done, spec), "states")
     on_step("states")
     states = [*last.get("states", []), folders["states"]]
     if len(states) > compact:
         merged = ledger.folder("states")
-        read_state(ledger, {"states": states}, name).write.parquet(f"{ledger.root}/{merged}")
+        read_state(ledger, {"states": states}, name).write.parquet(f"{ledger.root}/{merged}", compression="zstd")
         states = [merged]
     if mode == "log":
         write(done.filter("disposition = 'appended'").select("kafka_offset", "state"), "log")
@@ -113,12 +115,15 @@ def run_all(spark: SparkSession, bronze: DataFrame, root: str, at_once: int = 4,
 
 
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A state table's live typed rows as of its last commit."""
+    """A state table's live typed rows as of its last commit: the published ones, or those of its states."""
     ledger = Ledger(spark, f"{root}/{name}")
-    state = read_state(ledger, ledger.last(), name)
-    spec = cdc_tables.specs()[name][0]
+    spec, last = cdc_tables.specs()[name][0], ledger.last()
+    schema = f"{cdc_tables.schema_of(spec)}, record_hash string, source_lsn long"
+    if last.get("rows"):
+        return spark.read.schema(schema).parquet(f"{ledger.root}/{last['rows']}")
+    state = read_state(ledger, last, name)
     if state is None:
-        return spark.createDataFrame([], f"{cdc_tables.schema_of(spec)}, record_hash string, source_lsn long")
+        return spark.createDataFrame([], schema)
     return cdc_tables.current_rows(state, spec)
 
 

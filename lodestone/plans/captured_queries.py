@@ -70,7 +70,7 @@ def run_twice(spark, sf: str, name: str) -> str:
     middle = events.agg(F.max("kafka_offset")).first()[0] or 0
     parts = events.withColumn("_first", F.col("kafka_offset") <= middle // 2)
     for first in (True, False):
-        parts.filter(F.col("_first") == first).drop("_first").write.mode("append").partitionBy("source_table", "kafka_partition").parquet(path)
+        parts.filter(F.col("_first") == first).drop("_first").write.mode("append").partitionBy("source_table", "kafka_partition").parquet(path, compression="zstd")
         schema = parts.drop("_first").schema
         captured.run_table(spark, spark.read.schema(schema).parquet(path), root, name)
     return root

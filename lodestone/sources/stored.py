@@ -32,8 +32,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: a lost executor then costs no recomputation."""
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: a lost executor then costs no recomputation. compression: Parquet's; the session's by default."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
