@@ -145,6 +145,8 @@ JOINS = {
     "rewards": [("currency", "currency_key", {"currency_code": "currency_code"}), ("offer", "offer_key", {"offer_id": "offer_id", "offer_type": "offer_type", "campaign_key": "campaign_key"})],
 }
 DATES = (("transaction", "transaction_timestamp"), ("settlement", "settlement_date"), ("reconciliation", "reconciled_date"), ("transaction_event", "event_timestamp"), ("reward_event", "event_timestamp"))
+#: Entities whose days are all days of the one that they are made from: they can't widen the calendar, so it doesn't make them. The star's gate finds days that it lacks.
+DAYS_OF = {"reward_event": "transaction"}
 CALENDAR = ("date_key", "full_date", "year", "quarter", "month", "month_name", "day", "day_of_week", "day_name", "week_of_year", "is_weekend")
 
 
@@ -234,7 +236,7 @@ class Star:
         return x.unionByName(self.spark.range(1).select(*[F.expr(given.get(f.name, "NULL")).cast(f.dataType).alias(f.name) for f in x.schema]))
 
     def _dates(self) -> DataFrame:
-        ends = [self.entity(e).agg(F.min(F.col(c).cast("date")).alias("a"), F.max(F.col(c).cast("date")).alias("b")) for e, c in DATES]
+        ends = [self.entity(e).agg(F.min(F.col(c).cast("date")).alias("a"), F.max(F.col(c).cast("date")).alias("b")) for e, c in DATES if e not in DAYS_OF]
         days = reduce(DataFrame.unionByName, ends).agg(F.sequence(F.min("a"), F.max("b")).alias("d")).select(F.explode("d").alias("full_date"))
         d = F.col("full_date")
         names = {"month_name": F.date_format(d, "MMMM"), "day_name": F.date_format(d, "EEEE")}

@@ -2,11 +2,14 @@
 
 import datetime
 import random
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import history
 from lodestone.plans import rules
+from lodestone.plans.gold import DATES, DAYS_OF, Star
 
 HISTORY = "k string, name string, effective_from date, effective_to date, is_current boolean"
 D = datetime.date
@@ -84,3 +87,25 @@ def test_transactions_dont_meet_all_offers_that_fit(spark):
     rows = [m.accumulatorId() for node in _each(store.planGraph(run).allNodes()) if "Join" in node.name() for m in _each(node.metrics()) if m.name() == "number of output rows"]
     found = [int(values.get(k).get().replace(",", "")) for k in rows if values.get(k).isDefined()]
     assert found and max(found) <= 2 * n
+
+
+def test_calendar_without_entities_that_cant_widen_it(spark, tmp_path):
+    """Days of rewards are days of transactions, also with repeated ids, nulls, times of day and offers of every day; so the calendar reads no offers."""
+    for name in ("region", "nation", "customer", "supplier"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    part.withColumns({"p_size": F.lit(7), "p_partkey": F.col("p_partkey") * 2}).write.parquet(str(tmp_path / "part.parquet"))
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").withColumn("o_orderstatus", F.lit("F")).filter("o_orderkey % 1009 <> 0")
+    late = orders.withColumn("o_orderdate", F.expr("o_orderdate + INTERVAL '23:59:59' HOUR TO SECOND"))
+    odd = orders.limit(5).withColumn("o_orderdate", F.lit(None).cast(orders.schema["o_orderdate"].dataType))
+    orders.unionByName(late).unionByName(odd).write.parquet(str(tmp_path / "orders.parquet"))
+    star = Star(spark, str(tmp_path))
+    assert DAYS_OF and {*DAYS_OF, *DAYS_OF.values()} <= {e for e, _ in DATES}
+    day = {e: star.entity(e).select(F.col(c).cast("date").alias("day")).distinct() for e, c in DATES}
+    for entity, source in DAYS_OF.items():
+        assert day[entity].count() > 10 and day[entity].join(day[source], "day", "left_anti").count() == 0
+    got = star.dimension("date")
+    ends = reduce(DataFrame.unionByName, day.values()).agg(F.min("day"), F.max("day")).first()
+    assert tuple(got.agg(F.min("full_date"), F.max("full_date"), F.count("*")).first()) == (*ends, (ends[1] - ends[0]).days + 1)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "p_partkey" not in plan and "Join" not in plan
