@@ -30,6 +30,22 @@ def repeats_by_name(keys: DataFrame, names: Sequence[str]) -> DataFrame:
     return one.unpivot([], [F.col(f"`{n}`") for n in names], "check_name", "n_violations")
 
 
+def domain_counts(uses: Sequence[tuple[DataFrame, Sequence[tuple[int, int, Column]]]]) -> DataFrame:
+    """(domain, repeats, orphans, nulls), arrays by place: each frame puts values into places (domain, place, value), and place 0 of a domain has its keys.
+
+    repeats: values that a place has more than once, null being one; orphans: its rows whose value isn't among the keys; nulls: its rows
+    without a value. Each frame is read once, and all values are grouped once: nothing is joined, whatever the size of parents.
+    """
+    width = 1 + max(place for _, puts in uses for _, place, _ in puts)
+    put = lambda domain, place, value: F.struct(F.lit(domain).alias("domain"), F.lit(place).alias("place"), value.cast("string").alias("value"))
+    rows = [df.select(F.explode(F.array(*[put(*p) for p in puts])).alias("x")).select("x.*") for df, puts in uses]
+    each = reduce(DataFrame.unionByName, rows).groupBy("domain", "value").agg(*[F.count_if(F.col("place") == k).alias(f"n{k}") for k in range(width)])
+    by_place = lambda of: F.array(*[of(F.col(f"n{k}")) for k in range(width)])
+    rows_where = lambda which: by_place(lambda n: F.sum(F.when(which, n).otherwise(0)))
+    unknown = F.col("value").isNotNull() & (F.col("n0") == 0)
+    return each.groupBy("domain").agg(by_place(lambda n: F.count_if(n > 1)).alias("repeats"), rows_where(unknown).alias("orphans"), rows_where(F.col("value").isNull()).alias("nulls"))
+
+
 def orphan_counts(child: DataFrame, parents: Mapping[str, tuple[str, DataFrame, str, int | None]], more: Mapping[str, Column]) -> DataFrame:
     """One row: for each name the rows of child whose column isn't a key of the parent, and the aggregates of more, in one pass over child. parents: name -> (column, parent, key, exempt value); without an exempt value only nulls pass."""
     x, counts = child, []

@@ -1,12 +1,10 @@
 """The gate over the entities before they become a star: keys, references, amounts, one report that can raise.
 
-One grouping of all keys, and one pass over each entity for all its references and amounts.
+One pass over each entity, and one grouping of all values of keys and of references to them.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,21 +53,38 @@ AMOUNTS = {
 
 def report(star: Star) -> DataFrame:
     """(check_name, n_violations)."""
-    names = [f"unique {e}.{c}" for e, columns in KEYS.items() for c in columns]
-    keyed = reduce(DataFrame.unionByName, [gates.named_keys(star.entity(e), {f"unique {e}.{c}": [c] for c in columns}) for e, columns in KEYS.items()])
-    out = [gates.repeats_by_name(keyed, names)]
-    for e in KEYS:
-        rules = [r for r in REFERENCES if r[0] == e]
-        parents, more = {}, {f"{e}: {n}": F.count_if(F.expr(broken)) for n, broken in AMOUNTS.get(e, {}).items()}
-        for _, column, parent, key, optional, which in rules:
-            rows = star.entity(parent)
-            parents[f"reference {e}.{column}"] = (column, rows if which is None else rows.filter(which), key, None)
-            if not optional:
-                more[f"missing {e}.{column}"] = F.count_if(F.col(column).isNull())
-        one = gates.orphan_counts(star.entity(e), parents, more)
-        if one.columns:
-            out.append(one.unpivot([], [F.col(f"`{c}`") for c in one.columns], "check_name", "n_violations"))
-    return reduce(DataFrame.unionByName, out)
+    # a parent's key is place 0 of a domain, and each column that refers to it another place
+    domains: dict[tuple[str, str, str | None], list[tuple[str, str]]] = {}
+    for e, column, parent, key, _, which in REFERENCES:
+        domains.setdefault((parent, key, which), []).append((e, column))
+    at = {child: (n, place) for n, children in enumerate(domains.values()) for place, child in enumerate(children, 1)}
+    puts: dict[tuple[str, str | None], list] = {}
+    for n, ((parent, key, which), children) in enumerate(domains.items()):
+        if which is None:
+            at.setdefault((parent, key), (n, 0))
+        puts.setdefault((parent, which), []).append((n, 0, F.col(key)))
+        for place, (e, column) in enumerate(children, 1):
+            puts.setdefault((e, None), []).append((n, place, F.col(column)))
+    n, checks = len(domains), {}
+    for e, columns in KEYS.items():
+        for c in columns:
+            if (e, c) not in at:
+                at[e, c], n = (n, 0), n + 1
+                puts.setdefault((e, None), []).append((*at[e, c], F.col(c)))
+            checks[f"unique {e}.{c}"] = ("repeats", *at[e, c])
+    for e, column, _, _, optional, _ in REFERENCES:
+        checks[f"reference {e}.{column}"] = ("orphans", *at[e, column])
+        if not optional:
+            checks[f"missing {e}.{column}"] = ("nulls", *at[e, column])
+    for e, rules in AMOUNTS.items():
+        for name, broken in rules.items():
+            # a domain of the rule's own, in which rows that break it have no value
+            puts.setdefault((e, None), []).append((n, 0, F.when(~F.coalesce(F.expr(broken), F.lit(False)), "kept")))
+            checks[f"{e}: {name}"], n = ("nulls", n, 0), n + 1
+    found = gates.domain_counts([(star.entity(e) if which is None else star.entity(e).filter(which), values) for (e, which), values in puts.items()])
+    # a row a domain
+    one = found.agg(*[F.coalesce(F.max(F.when(F.col("domain") == domain, F.col(kind)[place])), F.lit(0)).alias(name) for name, (kind, domain, place) in checks.items()])
+    return one.unpivot([], [F.col(f"`{name}`") for name in checks], "check_name", "n_violations")
 
 
 def require(star: Star, allow: tuple[str, ...] = ()) -> None:

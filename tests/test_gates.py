@@ -52,3 +52,24 @@ def test_marks_are_literals_in_the_scan(spark, tmp_path):
     assert x.count() == 9 and watermarks.after_mark(df, "at", marks, "b").count() == 100
     plan = x._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(at" in plan and "Join" not in plan
+
+
+def test_domain_counts_against_single_checks(spark):
+    child = spark.createDataFrame([(1, "a", 5), (2, "b", None), (2, None, None), (3, "z", 9), (3, "z", 9)], "k int, p string, q int")
+    parent = spark.createDataFrame([("a",), ("b",), ("b",), (None,), (None,)], "p string")
+    uses = [(child, [(0, 1, F.col("p")), (1, 0, F.col("q")), (2, 0, F.col("k"))]), (parent, [(0, 0, F.col("p"))]), (parent.filter("p = 'a'"), [(3, 0, F.col("p"))]), (child, [(3, 1, F.col("p"))]), (child.limit(0), [(4, 0, F.col("k"))])]
+    got = {r["domain"]: r for r in gates.domain_counts(uses).collect()}
+    assert sorted(got) == [0, 1, 2, 3]
+    for domain, place, df, c in ((0, 0, parent, "p"), (0, 1, child, "p"), (1, 0, child, "q"), (2, 0, child, "k")):
+        assert got[domain]["repeats"][place] == gates.repeated_keys(df, [c]).count()
+        assert got[domain]["nulls"][place] == df.filter(F.col(c).isNull()).count()
+    assert got[0]["orphans"][1] == gates.orphans(child, "p", parent, "p").count() == 2
+    assert got[3]["orphans"][1] == gates.orphans(child, "p", parent.filter("p = 'a'"), "p").count() == 3
+
+
+def test_dataset_gate_joins_no_parents(spark):
+    """The report has no join beside those that the entities are made by, and makes each entity once, so what is shuffled doesn't hang on how large a parent is."""
+    star = Star(spark, SMALL)
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    entities = {*dataset_gate.KEYS, *(parent for _, _, parent, *_ in dataset_gate.REFERENCES)}
+    assert joins(dataset_gate.report(star)) <= sum(joins(star.entity(e)) for e in entities)
